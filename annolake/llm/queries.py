@@ -1,14 +1,18 @@
 """The queries of the numbered operators, and their SQL where there is one."""
 
-from annolake.llm import mixing, secrets, url_filter
+from annolake.llm import decontaminate, line_dedup, mixing, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_secrets": secrets.op7_secrets,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
