@@ -1,10 +1,12 @@
 """The queries of the numbered operators, and their SQL where there is one."""
 
-from annolake.llm import decontaminate, line_dedup, mixing, secrets, url_filter
+from annolake.llm import chat_format, decontaminate, line_dedup, mixing, secrets, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_warc": warc.op2_warc,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op7_secrets": secrets.op7_secrets,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
@@ -12,7 +14,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
