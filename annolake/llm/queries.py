@@ -1,13 +1,16 @@
 """The queries of the numbered operators, and their SQL where there is one."""
 
-from annolake.llm import chat_format, decontaminate, line_dedup, mixing, secrets, url_filter, warc
+from annolake.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash, mixing, secrets, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_warc": warc.op2_warc,
+    "op3_minhash_dedup": minhash.op3_minhash_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_secrets": secrets.op7_secrets,
+    "op8_language_id": language_id.op8_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
@@ -17,6 +20,7 @@ ORACLES = {
     "op2_warc": warc.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
+    "op6_embedding_dedup": embedding_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
