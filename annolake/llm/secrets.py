@@ -21,7 +21,7 @@ KINDS = ("assign", "access", "hex", "random")
 #: A token's inferred encoding: the smallest alphabet that holds all its characters.
 ENCODINGS = (("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16), ("base32", r"^[A-Z2-7]+=*$", 32), ("base62", r"^[A-Za-z0-9]+$", 62), ("base64", r"^[A-Za-z0-9+/_-]+=*$", 64))
 #: Text changes its kind of character (lower, upper, digit, mark) in so great a part of all places at most.
-TEXT_CHANGES = 0.15
+TEXT_CHANGES = 0.08
 #: A battery test rejects randomness below this two-sided tail (3.29 standard deviations).
 BATTERY_Z = 3.29
 FALSE_DISCOVERY = 0.01
@@ -140,13 +140,13 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
     d = d.withColumn("base", F.array_sort(F.concat("a", "c", "h")))
     d = d.withColumn("r", F.filter("r", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
     # each row is a document of its own: its number rides along only to bring accepted tokens back to it
-    found = cut(d.select("doc_id", F.transform("base", lambda x: x.dropFields("m")).alias("base"), "r").withColumn("row", F.when(F.size("r") > 0, F.expr("uuid()"))))
+    found = cut(d.select("doc_id", F.transform("base", lambda x: x.dropFields("m")).alias("base"), "r").withColumn("row", F.expr("uuid()")))
     tested = battery(found.select("row", F.explode("r").alias("x")).select("row", "x", F.col("x.m").alias("m")))
     bounds = discoveries(tested, rate)
     good = tested.where("random").withColumn("length_class", length_class(F.col("n"))).join(F.broadcast(bounds), "length_class").where("p_text <= p_most")
     per_row = good.groupBy("row").agg(F.array_sort(F.collect_list(F.col("x").dropFields("m"))).alias("random"))
-    out = found.join(per_row, "row", "left")
-    return out.select("doc_id", "base", F.coalesce("random", F.expr("filter(base, x -> false)")).alias("random"))
+    some, none = found.where(F.size("r") > 0).join(per_row, "row", "left"), found.where(F.size("r") == 0).withColumn("random", F.filter("base", lambda x: F.lit(False)))
+    return some.unionByName(none).select("doc_id", "base", F.coalesce("random", F.filter("base", lambda x: F.lit(False))).alias("random"))
 
 
 # --------------------------------------------------------------------------- query
