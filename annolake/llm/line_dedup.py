@@ -17,6 +17,7 @@ from annolake.llm.common import LOWER, U64, chunks, cut, mix, range_hashes, utf8
 #: Bits of each filter (8 MB). A fuller filter suspects more lines, which are then confirmed; the result is the same.
 FILTER_BITS = 1 << 26
 SEGMENT_BYTES = 1 << 16
+SALTS = 16
 STRIP = np.zeros(256, dtype=bool)
 STRIP[[9, 10, 11, 12, 13, 32]] = True
 STRIP_BYTES = bytes(np.flatnonzero(STRIP).tolist())
@@ -169,7 +170,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: i
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(first)).alias("doc_id"), "text")
     suspects = cut(ids.mapInArrow(suspect_finder(shared, bits, min_chars), "doc_id long, key binary"))
     repeated = suspects.groupBy("key", "doc_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    drops = suspects.join(repeated, "key").where("doc_id != keeper").groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
+    # a line of a third of all documents is dealt over SALTS tasks by doc_id; each meets a copy of its key's one row
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    keepers = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drops = salted.join(keepers, ["key", "salt"]).where("doc_id != keeper").groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
     columns = [*docs.columns, "n_lines", "n_dropped"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(first)))
