@@ -156,7 +156,9 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     extra = ["payload"] if with_payload else []
     names = {"page_id": "original_page", "payload_digest": "d", "payload_bytes": "b", **({"payload": "x"} if with_payload else {})}
     originals = raw.where("record_type = 'response'").dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_to_id"), *[F.col(k).alias(v) for k, v in names.items()])
-    out = raw.join(originals, "refers_to_id", "left")
+    # responses refer to nothing and stay out of the join, where they would be one key
+    revisits = raw.where("record_type = 'revisit'").join(originals, "refers_to_id", "left")
+    out = raw.where("record_type = 'response'").unionByName(revisits, allowMissingColumns=True)
     return out.select("page_id", "record_type", F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("payload_digest", "d").alias("payload_digest"), F.col("original_page").alias("refers_to"), "target_uri", *[F.coalesce(c, "x").alias(c) for c in extra])
 
 
