@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,6 @@ def fingerprint(text: Column, spans: Column) -> Column:
 def word_diff(a: Column, b: Column) -> Column:
     """array<struct<op, text>>: equal, add and remove runs of words. There is no built-in alignment of two
     sequences; batches go through Arrow."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<op:string,text:string>>")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []

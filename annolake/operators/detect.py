@@ -127,11 +127,12 @@ def literal_matches(text: Column, terms: list[str], word_edges: bool = True) ->
 def whitelist(docs: DataFrame, terms: dict[str, list[str]], skip_overlapping: bool = False, source: str = "whitelist") -> DataFrame:
     """Spans of whole-word, case-insensitive hits of each label's terms, each (start, end, label) once."""
     docs = documents(docs)
-    found = []
-    for label in sorted(terms):
-        # one search for each term, as hits of different terms may overlap
-        for term in sorted({t.strip().lower() for t in terms[label] if t.strip()}):
-            found.append(F.transform(literal_matches(F.col("text"), [term]), lambda m, x=label: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(x).alias("label"), F.lit(1.0).alias("confidence"), F.lit(source).alias("source"))))
+
+    def hits(term, label):
+        return F.transform(literal_matches(F.col("text"), [term]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"), F.lit(1.0).alias("confidence"), F.lit(source).alias("source")))
+
+    # one search for each term, as hits of different terms may overlap
+    found = [hits(term, label) for label in sorted(terms) for term in sorted({t.strip().lower() for t in terms[label] if t.strip()})]
     new = F.array_distinct(F.concat(*found)).cast(SPANS) if found else no_spans()
     return accumulate(docs, new, skip_overlapping)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,8 +181,6 @@ def leakage_by_label(docs: DataFrame) -> DataFrame:
 def over_redaction(text: Column, output: Column, spans: Column) -> Column:
     """Characters outside spans that a sequence match finds deleted or replaced. Sequence matching has no
     built-in form; batches go through Arrow."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(a: pd.Series, b: pd.Series, s: pd.Series) -> pd.Series:
         out = []
