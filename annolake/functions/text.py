@@ -17,16 +17,25 @@ def matches(text: Column, pattern: str) -> Column:
     stand. Empty matches can't be placed, so the pattern must not match the empty string.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
+    starts = running(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")), lambda x: F.length(x["gap"]), lambda x: F.length(x["hit"]))
+    both = F.arrays_zip(starts.alias("start"), found.alias("text"))
+    scan = F.transform(both, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
+    return F.when(text.rlike(pattern), scan).otherwise(F.array().cast(MATCHES))
+
+
+def running(items: Column, before, size) -> Column:
+    """Where each of ``items`` starts if ``before(item)`` places come before it and it takes ``size(item)`` itself.
+
+    The fold's state is copied at every step, so it holds the starts as one string, which is copied as bytes; an array
+    of rows would be copied row by row.
+    """
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"))).alias("out"))
+        start = acc["at"] + before(x)
+        return F.struct((start + size(x)).alias("at"), F.concat(acc["out"], start.cast("string"), F.lit(" ")).alias("out"))
 
-    scan = F.aggregate(both, state, step)["out"]
-    return F.when(text.rlike(pattern), scan).otherwise(F.array().cast(MATCHES))
+    return F.split(F.rtrim(F.aggregate(items, state, step)["out"]), " ").cast("array<int>")
 
 
 def quote(term: str) -> str:
@@ -62,10 +71,8 @@ def find_all(text: Column, needle: Column) -> Column:
     """Places of the leftmost non-overlapping occurrences of ``needle``; none of an empty one. The pieces between them
     are cut once, and their running length gives the places."""
     n = F.length(needle)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     pieces = F.split(text, literal(needle), -1)
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + n).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(x)).alias("out"))
-    scan = F.aggregate(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), state, step)["out"]
+    scan = running(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.length, lambda x: n)
     return F.when((n > 0) & F.contains(text, needle), scan).otherwise(F.array().cast("array<int>"))
 
 
