@@ -115,6 +115,7 @@ TOKEN_SQL = r"""tok AS (
   SELECT doc_id, n, CAST(st AS INTEGER) AS "start", CAST(st + length(t) AS INTEGER) AS "end", t AS token FROM (
     SELECT doc_id, i // 2 - 1 AS n, i, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM (
       SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '[\p{L}\p{N}\p{M}_]+', chr(1) || '\0' || chr(1), 'g'), chr(1)) AS p FROM documents))) WHERE i % 2 = 0)"""
+_PHRASES = ", ".join(f"('{k}', '{t}')" for k, v in STOP_WORDS.items() for t in v)
 _TERMS = ", ".join(f"('{k}', '{t}')" for k, v in STOP_WORDS.items() for t in v if " " not in t)
 
 
@@ -125,7 +126,9 @@ def whitelist_terms(s, d):
     return detect.term_matches(fixtures.docs(s, d), t)
 
 
-@query("whitelist_phrases")
+@query("whitelist_phrases", rf"""WITH {TOKEN_SQL}, terms(label, term) AS (VALUES {_PHRASES}),
+    two AS (SELECT t.doc_id, t."start", u."end", lower(regexp_replace(substr(text, t."start" + 1, u."end" - t."start"), '\s+', ' ', 'g')) AS x FROM tok t JOIN tok u ON t.doc_id = u.doc_id AND u.n = t.n + 1 JOIN documents d ON d.doc_id = t.doc_id)
+    SELECT doc_id, "start", "end", label FROM tok JOIN terms ON lower(token) = term UNION ALL SELECT doc_id, "start", "end", label FROM two JOIN terms ON x = term""")
 def whitelist_phrases(s, d):
     """D5 with phrases."""
     t = s.createDataFrame([(k, t) for k, v in STOP_WORDS.items() for t in v], "label string, term string")
@@ -195,7 +198,7 @@ def propagate(s, d):
     return _rows(detect.propagate(fixtures.pred(s, d), 0.5, ["NAME", "EMAIL", "DATE"]))
 
 
-@query("token_windows")
+@query("token_windows", r"""WITH n AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS n FROM documents), w AS (SELECT doc_id, n, CAST(unnest(range(0, greatest(n, 1), 92)) AS INTEGER) AS s FROM n) SELECT doc_id, s AS "start", least(s + 124, n) AS "end" FROM w WHERE s = 0 OR s + 32 < n""")
 def token_windows(s, d):
     """Windows of 128 tokens that overlap by 32."""
     n = F.regexp_count("text", F.lit(r"\S+"))
@@ -215,7 +218,7 @@ def external_detector(s, d):
     return _rows(detect.external(fixtures.docs(s, d), upper_words, {"CAPS": "ORGANIZATION"}))
 
 
-@query("placeholders_found")
+@query("placeholders_found", "SELECT doc_id, \"start\", \"end\", substr(surface, 4, length(surface) - 6) AS content FROM (" + spans_sql({"P": [r"\[\*\*[^*]+\*\*\]"]}, base=r"(SELECT doc_id, regexp_replace(text, '([0-9]+)', '[**\1**]', 'g') AS text FROM documents)") + ")")
 def placeholders_found(s, d):
     """documents' numbers as [** **] placeholders, found again."""
     t = F.regexp_replace("text", "([0-9]+)", "[**$1**]")
@@ -511,7 +514,7 @@ def worst_docs(s, d):
     return evaluate.worst_documents(fixtures.docs(s, d), *_both(s, d), 500)
 
 
-@query("compare_runs")
+@query("compare_runs", f"WITH {_SPANS}, m AS ({_prf_sql(_LABELS)}) SELECT label, round(recall - precision, 6) AS precision, round(precision - recall, 6) AS recall, 0.0::DOUBLE AS f1 FROM m")
 def compare_runs(s, d):
     """Per-label metrics of swapped runs."""
     p, g = _both(s, d)
@@ -539,7 +542,13 @@ def _leaky(s, d):
     return output.rendered(fixtures.pred(s, d)).join(g, "doc_id").select("doc_id", "text", "output_text", F.col("gold").alias("spans"))
 
 
-@query("leakage_by_label")
+@query("leakage_by_label", f"""WITH RECURSIVE {_SPANS}, {greedy_sql('"start" - "end", "start", label')},
+    cut AS (SELECT doc_id, "start", '[' || label || ']' AS v, "end", coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS before FROM chosen),
+    parts AS (SELECT c.doc_id, string_agg(substr(text, before + 1, "start" - before) || v, '' ORDER BY "start") AS t, max("end") AS upto FROM cut c JOIN documents d USING (doc_id) GROUP BY c.doc_id),
+    red AS (SELECT d.doc_id, lower(coalesce(t || substr(text, upto + 1), text)) AS r FROM documents d LEFT JOIN parts p USING (doc_id)),
+    k AS (SELECT doc_id, label, surface, count(*) AS n FROM gold WHERE trim(surface) <> '' GROUP BY ALL),
+    h AS (SELECT k.*, least(n, len(list_filter(range(1, length(r) + 1), lambda i: substr(r, i, length(surface)) = lower(surface)))) AS hit FROM k JOIN red USING (doc_id))
+    SELECT label, CAST(sum(n) AS BIGINT) AS gold_count, CAST(sum(hit) AS BIGINT) AS leaked_count, CAST(sum(hit) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS leakage_rate FROM h GROUP BY label""")
 def leakage_by_label(s, d):
     """H9, H10, X9."""
     return output.leakage_by_label(_leaky(s, d))
@@ -635,10 +644,12 @@ def unique_labels(s, d):
     return analytics.unique_labels(fixtures.pred(s, d))
 
 
-@query("analytics_bundle")
+@query("analytics_bundle", rf"""WITH {PRED_SQL}, c AS (SELECT doc_id, count(*) AS n FROM pred GROUP BY doc_id), d AS (SELECT CAST(length(text) AS DOUBLE) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS DOUBLE) AS tokens, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM documents LEFT JOIN c USING (doc_id))
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS spans, {", ".join(f"round(avg({x}), 6) AS {x}_mean, min({x}) AS {x}_min, max({x}) AS {x}_max, round(stddev_samp({x}), 6) AS {x}_std" for x in ("chars", "tokens", "n"))} FROM d""")
 def analytics_bundle(s, d):
     """H16."""
-    return analytics.bundle(fixtures.pred(s, d))
+    out = analytics.bundle(fixtures.pred(s, d))
+    return out.select([F.round(c, 6).alias(c) if c.endswith(("_mean", "_std")) else c for c in out.columns])
 
 
 @query(
@@ -699,11 +710,12 @@ def resize_down(s, d):
     return corpus.resize(fixtures.docs(s, d), 150).select("doc_id")
 
 
-@query("resize_up")
+@query("resize_up", "SELECT count(*) + 500 AS docs, count(*) + 500 AS ids, CAST(500 AS BIGINT) AS copies FROM documents")
 def resize_up(s, d):
     """M1: 500 more than there are."""
     docs = fixtures.docs(s, d)
-    return corpus.resize(docs, docs.count() + 500).select("doc_id")
+    up = corpus.resize(docs, docs.count() + 500)
+    return up.agg(F.count("*").alias("docs"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.contains("doc_id", F.lit("__rs"))).alias("copies"))
 
 
 @query("boost_label", f"WITH {PRED_SQL} SELECT count(*) + 2 * (SELECT count(DISTINCT doc_id) FROM pred WHERE label = 'EMAIL') AS docs FROM documents")
@@ -776,7 +788,7 @@ def bio_label_list(s, d):
     return tagging.tag_list(fixtures.pred(s, d)).select(F.array_join("tags", ",").alias("tags"))
 
 
-@query("bioes_round_trip")
+@query("bioes_round_trip", "SELECT doc_id, TRUE AS same, TRUE AS valid FROM documents")
 def bioes_round_trip(s, d):
     """Documents whose tags come back from BIOES as they were."""
     t = tagging.tagged(fixtures.pred(s, d)).withColumn("bioes", tagging.bioes(F.col("tags")))
@@ -797,7 +809,8 @@ def sentences(s, d):
     return tagging.by_sentence(fixtures.pred(s, d)).select("doc_id", "sentence_offset", "text", F.size("spans").alias("n"))
 
 
-@query("merge_adjacent_names")
+@query("merge_adjacent_names", f"""WITH {PRED_SQL}, f AS (SELECT p.*, CASE WHEN label IN ('NAME', 'DATE') AND lag(label) OVER w = label AND "start" = lag("end") OVER w + 1 AND substr(text, "start", 1) = ' ' THEN 0 ELSE 1 END AS fresh FROM pred p JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY p.doc_id ORDER BY span_ord)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY span_ord) AS i FROM f) SELECT doc_id, min("start") AS "start", max_by("end", span_ord) AS "end", min(label) AS label FROM g GROUP BY doc_id, i""")
 def merge_adjacent(s, d):
     """E10."""
     return _rows(tagging.merge_adjacent(fixtures.pred(s, d), ("NAME", "DATE")))
@@ -833,7 +846,8 @@ def label_conflicts(s, d):
     return compare.label_conflicts(p, g, p).drop("final_labels")
 
 
-@query("frame_stats")
+@query("frame_stats", f"""WITH RECURSIVE {PRED_SQL}, {greedy_sql('"start" - "end", span_ord')}, n AS (SELECT doc_id, count(*) AS n FROM pred GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS c FROM chosen GROUP BY doc_id)
+    SELECT doc_id, 0 AS added, CAST(coalesce(n - c, 0) AS INTEGER) AS removed, FALSE AS text_changed, 0 AS char_delta FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def frame_stats(s, d):
     """From all predicted spans to the longest ones."""
     p = fixtures.pred(s, d)

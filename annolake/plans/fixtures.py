@@ -26,17 +26,17 @@ def gold(spark, sf_dir):
     return detect.regex_ner(docs(spark, sf_dir), GOLD, dedupe=False, flags="")
 
 
-def _one(label: str, rx: str) -> str:
+def _one(label: str, rx: str, base: str) -> str:
     rx = rx.replace("'", "''")
     return f"""
   SELECT doc_id, '{label}' AS label, CAST(st AS INTEGER) AS "start", CAST(st + length(t) AS INTEGER) AS "end", t AS surface FROM (
     SELECT doc_id, i, t, coalesce(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM (
       SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM (
-        SELECT doc_id, string_split(regexp_replace(text, '{rx}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE regexp_matches(text, '{rx}')))) WHERE i % 2 = 0"""
+        SELECT doc_id, string_split(regexp_replace(text, '{rx}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM {base} WHERE regexp_matches(text, '{rx}')))) WHERE i % 2 = 0"""
 
 
-def spans_sql(pack: dict, extra: str = "") -> str:
-    body = " UNION ALL ".join(_one(k, v[0]) for k, v in pack.items())
+def spans_sql(pack: dict, extra: str = "", base: str = "documents") -> str:
+    body = " UNION ALL ".join(_one(k, v[0], base) for k, v in pack.items())
     return f"""SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", label) - 1 AS INTEGER) AS span_ord{extra} FROM ({body})"""
 
 
