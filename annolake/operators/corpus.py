@@ -20,11 +20,13 @@ def shuffle_key(doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string")))
 
 
-def ranked(df: DataFrame, key: Column, by: list[str] = (), tie: str = "doc_id", name: str = "rank") -> DataFrame:
-    """Adds the 0-based place in the order of ``key`` (hexadecimal digits, evenly spread) within ``by``: counts of key
-    ranges are added up, and rows ranked within their range."""
+def ranked(df: DataFrame, key: Column, by: list[str] = (), tie: str = "doc_id", name: str = "rank", ranges: Column | None = None) -> DataFrame:
+    """Adds the 0-based place in the order of ``key`` within ``by``: counts of ranges of the key are added up, and rows
+    ranked within their range. ``ranges``: a range's name, in the key's order; the key's first two hexadecimal digits
+    if there is none."""
     by = list(by)
-    d = df.withColumn("__key", key).withColumn("__range", F.substring("__key", 1, 2))
+    d = df.withColumn("__key", key)
+    d = d.withColumn("__range", F.substring("__key", 1, 2) if ranges is None else ranges)
     sums = d.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__range").alias("__r"), before.alias("__before"))
@@ -33,6 +35,17 @@ def ranked(df: DataFrame, key: Column, by: list[str] = (), tie: str = "doc_id",
     return d.join(starts, on).withColumn(name, (F.col("__before") + place).cast("long")).select(*df.columns, name)
 
 
+def sorted_ranges(df: DataFrame, column: str, sample: int = 4096) -> Column:
+    """Numbers of RANGES ranges of a column's values, about alike in size: their bounds come from a fixed-size sample of
+    distinct values, so that ranks in sorted order need no task that sees them all."""
+    drawn = df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(column), column).limit(sample).distinct().collect()
+    values = sorted(r[0] for r in drawn)
+    bounds = values[:: max(1, len(values) // RANGES)]
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column)))
+
+
 # --------------------------------------------------------------------------- splits
 
 
@@ -87,7 +100,7 @@ def reassign_splits(docs: DataFrame, fractions: dict[str, float], seed: int = 42
     if not names:
         return docs
     counts = largest_remainder(docs.count(), [fractions[k] for k in names])
-    r = ranked(docs, shuffle_key(F.col("doc_id"), seed)) if shuffle else docs.withColumn("rank", (F.row_number().over(W.orderBy("doc_id")) - 1).cast("long"))
+    r = ranked(docs, shuffle_key(F.col("doc_id"), seed)) if shuffle else ranked(docs, F.col("doc_id"), ranges=sorted_ranges(docs, "doc_id"))
     out, upto = F.lit(None).cast("string"), sum(counts)
     for name, n in zip(reversed(names), reversed(counts)):
         upto -= n
@@ -160,10 +173,8 @@ def merge(sources: list[DataFrame]) -> DataFrame:
 
 
 def interleave(sources: DataFrame, source: str = "source_index", order: str = "doc_id") -> DataFrame:
-    """``position`` of each document when sources take turns: its rank in its source, then the source. Places
-    of a turn follow from how many sources are that long, so ranks within sources are all that is sorted."""
-    place = F.row_number().over(W.partitionBy(source).orderBy(order)) - 1
-    return sources.withColumn("turn", place.cast("long"))
+    """``turn`` of each document when sources take turns: its rank in its source; sort by turn, then source."""
+    return ranked(sources, F.col(order), [source], order, "turn", sorted_ranges(sources, order))
 
 
 def capped_counts(n: int, weights: list[float], caps: list[int]) -> list[int]:
