@@ -442,7 +442,7 @@ def macro_prf(s, d):
     return evaluate.macro(evaluate.per_label(*_both(s, d))).select("label_count", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("mode_bundle")
+@query("mode_bundle", " UNION ALL ".join(f"SELECT '{m}' AS mode, tp, fp, fn, precision, recall, f1 FROM ({ORACLES[q]})" for m, q in (("strict", "strict_prf"), ("exact_boundary", "boundary_prf"), ("partial_overlap", "partial_prf"), ("char_level", "char_prf"))))
 def mode_bundle(s, d):
     """H26."""
     return evaluate.bundle(*_both(s, d))
