@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Stored:
+    """A table written, compressed, to the shared folder, for what is read several times; ``drop`` frees its files."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{shared_dir(self.spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
+
+
 # --------------------------------------------------------------------------- components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(u, v) undirected links of longs -> (node, component): the smallest node reachable. Self links are allowed.
+    """(u, v) undirected links of longs -> (node, component): the smallest node reachable. Self links are ignored, and a
+    node without others isn't in the result.
 
     Alternates large-star and small-star steps (grouped minimum, then a join back), each linear in the links; a hub's
     links are split by adaptive skew handling since no step gathers a neighbourhood. Rounds grow with the logarithm of
     the longest chain.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
-    nodes = cut(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct())
+    nodes = cut(e.select(F.col("u").alias("node")).union(e.select("v")).distinct())
     before = None
     while True:
         # large star: every neighbour above u is tied to the least of u and its neighbours
@@ -67,7 +84,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -20,19 +20,20 @@ WINDOW = 1024
 RANGE_BITS = 10
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the vectors that can link, and these as unit rows in double precision; all of the first's length."""
-    rows, keep = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v is None or any(x is None for x in v):
-            continue
-        x = np.asarray(v, dtype=np.float64)
-        top = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
-        if top > 0:
-            x = x / top
-            rows.append(x / np.sqrt(x @ x))
-            keep.append(i)
-    return np.asarray(keep, dtype=np.int64), rows
+def unit_rows(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, unit rows in double precision) for each length of vector; all components are finite, some not zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    size = np.diff(at)
+    out = []
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        x = values[at[rows][:, None] + np.arange(n)]
+        x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow in the squares
+        out.append((rows, x / np.sqrt((x * x).sum(1, keepdims=True))))
+    return out
 
 
 def bit_keys(passes: int, bits: int, seed: int):
@@ -42,16 +43,14 @@ def bit_keys(passes: int, bits: int, seed: int):
 
     def run(batches):
         for batch in batches:
-            keep, rows = unit_rows(batch.column("embedding"))
             ids = batch.column("cls").to_numpy()
-            for size in sorted({len(r) for r in rows}):
-                own = [i for i, r in enumerate(rows) if len(r) == size]
-                x = np.stack([rows[i] for i in own])
+            for own, x in unit_rows(batch.column("embedding")):
+                size = x.shape[1]
                 if size not in planes:
                     planes[size] = np.random.default_rng([seed, size]).standard_normal((size, passes * bits))
                 signs = (x @ planes[size] > 0).reshape(len(own), passes, bits).astype(np.int64)
                 key = (signs << np.arange(bits - 1, -1, -1)).sum(2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[keep[own]], passes)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(own))), pa.array(key.ravel())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[own], passes)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(own))), pa.array(key.ravel())], schema=schema)
 
     return run
 
@@ -76,16 +75,13 @@ def window_links(threshold: float):
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("cls").to_numpy()
-        keep, rows = unit_rows(table.column("embedding").combine_chunks())
         u, v = [], []
-        for size in sorted({len(r) for r in rows}):
-            own = np.asarray([i for i, r in enumerate(rows) if len(r) == size])
-            x = np.stack([rows[i] for i in own])
+        for own, x in unit_rows(table.column("embedding")):
             a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
             label = forest(len(own), a, b)
             linked = np.flatnonzero(label != np.arange(len(own)))
-            u.append(ids[keep[own[linked]]])
-            v.append(ids[keep[own[label[linked]]]])
+            u.append(ids[own[linked]])
+            v.append(ids[own[label[linked]]])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.Table.from_arrays([pa.array(cat(u)), pa.array(cat(v))], schema=schema)
 
@@ -98,12 +94,9 @@ def tile_counts(threshold: float):
 
     def run(table: pa.Table) -> pa.Table:
         ids, tile, copies = (table.column(c).to_numpy() for c in ("cls", "tile", "copies"))
-        keep, rows = unit_rows(table.column("embedding").combine_chunks())
         first, second = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         out_ids, out_n = [], []
-        for size in sorted({len(r) for r in rows}):
-            own = np.asarray([i for i, r in enumerate(rows) if len(r) == size])
-            x, k = np.stack([rows[i] for i in own]), keep[own]
+        for k, x in unit_rows(table.column("embedding")):
             left, right = np.flatnonzero(tile[k] == first), np.flatnonzero(tile[k] == second)
             if not len(left) or not len(right):
                 continue

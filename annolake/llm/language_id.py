@@ -18,6 +18,8 @@ SAMPLE_DOCS = 400
 ROUNDS = 4
 PSEUDO_COUNT = 0.1
 MAX_PIECE = 16
+#: Bytes of text whose different words are scored together.
+CHUNK = 1_000_000
 #: A run of letters is one word up to so many bytes, and several beyond.
 MAX_WORD = 32
 LETTER = np.zeros(256, dtype=bool)
@@ -143,8 +145,12 @@ def learn(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOC
     language, those with the least hash of doc_id. Ids are chosen without reading texts, by a limit within groups that
     each task applies first; None if there is nothing to learn from."""
     ids = docs.where(training_part(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("r", rank).where(F.col("r") <= sample_docs).select("doc_id", F.col("lang").alias("l")).distinct()
+    # by their share of a language, about twice as many ids as are wanted come under a bound of the hash: only these are ranked
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = ids.join(F.broadcast(counts), "lang").withColumn("u", unit).where(F.col("u") * F.col("n") < 2 * sample_docs + 100)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("u", "doc_id"))
+    chosen = near.withColumn("r", rank).where(F.col("r") <= sample_docs).select("doc_id", F.col("lang").alias("l")).distinct()
     rows = docs.join(F.broadcast(chosen), "doc_id").where(F.col("lang") == F.col("l")).where(F.col("text").rlike(r"\p{L}")).select("lang", "text").toArrow().to_pylist()
     by_lang: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
@@ -163,7 +169,7 @@ def predictor(model, columns: list[str], schema: pa.Schema):
         for batch in batches:
             data, at = utf8(batch.column("text"))
             best, score = [], []
-            for first, last in chunks(at, 4_000_000):
+            for first, last in chunks(at, CHUNK):
                 words = Words(data[at[first] : at[last]], at[first : last + 1] - at[first])
                 log_p = forward(words, lookup, p)
                 sums = np.stack([np.bincount(words.row, weights=log_p[words.word, j], minlength=last - first) for j in range(len(names))], 1)

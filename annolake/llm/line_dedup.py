@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from annolake.llm.common import LOWER, U64, chunks, cut, mix, range_hashes, utf8
 
-#: Bits of each filter (8 MB). A fuller filter suspects more lines, which are then confirmed; the result is the same.
-FILTER_BITS = 1 << 26
+#: Bits of each filter (4 MB). A fuller filter suspects more lines, which are then confirmed; the result is the same.
+FILTER_BITS = 1 << 25
 SEGMENT_BYTES = 1 << 16
 SALTS = 16
 STRIP = np.zeros(256, dtype=bool)

@@ -406,4 +406,40 @@ def test_lines_equal_brute_force(spark, bits):
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (5, 5)] + [(100 + i, 101 + i) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got[3] == 1 and got[11] == 10 and got[160] == 100 and got[1199] == 1000 and got[5] == 5
+    assert got[3] == 1 and got[11] == 10 and got[160] == 100 and got[1199] == 1000 and 5 not in got
+
+
+# --------------------------------------------------------------------------- pipeline
+
+
+def test_pipeline_equals_brute_force(spark):
+    import pandas as pd
+
+    import corpus_pipeline
+
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if any(c.isalpha() for c in r.text or "")]
+    kept = {int(i): t for i, _, _, t in brute_lines([(r.doc_id, r.text) for r in docs])}
+    group = brute_groups(kept)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    left = [r for r in docs if group[r.doc_id] == r.doc_id and not brute_contamination(kept[r.doc_id], items)[1]]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r.doc_id, kept[r.doc_id], r.source) for r in left], columns=["doc_id", "text", "source"]))
+    want = sorted((r[0], r[1], r[4]) for r in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE}) WHERE taken > 0").fetchall())
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.size, r.taken) for r in out) == want
+    assert all(r.text == kept[r.doc_id] and r.n_chars == len(r.text) for r in out)
+
+
+def test_pipeline_stages_on_awkward_documents(spark):
+    import corpus_pipeline
+
+    docs, rows = awkward(spark)
+    ids = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "mix_sources":
+            assert out.schema == docs.schema
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        ids.append(sorted(str(r.doc_id) for r in out.collect()))
+    assert ids[0] == ["3", "4", "4", "6", "8", "None"] and ids[1] == ids[0]
+    assert ids[2] == ["3", "6", "8", "None"]
