@@ -84,7 +84,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000
 
 
 def powers(base: int, n: int) -> np.ndarray:

@@ -70,18 +70,18 @@ def filter_builder(bits: int, min_chars: int):
     """One pair of filters for each task, sent on by non-empty segments, compressed."""
 
     def run(batches):
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             data, at = utf8(batch.column("text"))
             for first, last in chunks(at):
                 h = line_keys(data[at[first] : at[last]], at[first : last + 1] - at[first], min_chars)[3]
                 h, n = np.unique(h, return_counts=True)
                 s = slots(h, bits)
-                again = (n > 1) | once[s].all(0)
-                twice[s[:, again]] = True
-                once[s] = True
-        pack = lambda x: np.packbits(x).reshape(-1, min(SEGMENT_BYTES, bits // 8))
-        a, b = pack(once), pack(twice)
+                place, bit = s >> 3, (128 >> (s & 7)).astype(np.uint8)
+                again = (n > 1) | ((once[place] & bit) != 0).all(0)
+                np.bitwise_or.at(twice, place[:, again], bit[:, again])
+                np.bitwise_or.at(once, place, bit)
+        a, b = (x.reshape(-1, min(SEGMENT_BYTES, bits // 8)) for x in (once, twice))
         full = np.flatnonzero(a.any(1))
         for part in np.array_split(full, max(1, len(full) // 64)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([zlib.compress(a[i].tobytes(), 1) for i in part], pa.binary()), pa.array([zlib.compress(b[i].tobytes(), 1) for i in part], pa.binary())], names=["segment", "once", "twice"])
