@@ -18,6 +18,10 @@ from annolake.llm.common import LOWER, U64, chunks, cut, mix, range_hashes, utf8
 FILTER_BITS = 1 << 25
 SEGMENT_BYTES = 1 << 16
 SALTS = 16
+#: Repeated keys (16 bytes and a doc_id each) that may be broadcast, so that texts need no shuffle; more are joined.
+BROADCAST_KEYS = 200_000
+#: Bytes of the texts whose lines are dropped at a time.
+DROP_BYTES = 2_000_000
 STRIP = np.zeros(256, dtype=bool)
 STRIP[[9, 10, 11, 12, 13, 32]] = True
 STRIP_BYTES = bytes(np.flatnonzero(STRIP).tolist())
@@ -103,62 +107,86 @@ def filter_merger(batches):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(b.tobytes(), 1)], pa.binary())], names=["segment", "twice"])
 
 
+def suspects_of(data: np.ndarray, at: np.ndarray, twice: np.ndarray, bits: int, min_chars: int) -> tuple[np.ndarray, list[bytes]]:
+    """Rows and key digests of the lines, once for each text, that the filter has seen twice."""
+    row, start, end, h = line_keys(data, at, min_chars)
+    seen = lambda s: ((twice[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)
+    s = slots(h, bits)
+    hit = np.flatnonzero(seen(s[0]) & seen(s[1]))
+    raw = LOWER[data].tobytes() if len(hit) else b""
+    return row[hit], [digest(raw[start[i] : end[i]]) for i in hit]
+
+
 def suspect_finder(shared, bits: int, min_chars: int):
     def run(batches):
-        twice = shared.value
-        seen = lambda s: ((twice[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1).astype(bool)
         for batch in batches:
             data, at = utf8(batch.column("text"))
-            rows, keys = [], []
             for first, last in chunks(at):
-                own = data[at[first] : at[last]]
-                row, start, end, h = line_keys(own, at[first : last + 1] - at[first], min_chars)
-                s = slots(h, bits)
-                hit = np.flatnonzero(seen(s[0]) & seen(s[1]))
-                raw = LOWER[own].tobytes()
-                rows.append(row[hit] + first)
-                keys += [digest(raw[start[i] : end[i]]) for i in hit]
-            rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())).cast(pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
+                rows, keys = suspects_of(data[at[first] : at[last]], at[first : last + 1] - at[first], shared.value, bits, min_chars)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows + first, pa.int64())).cast(pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
     return run
 
 
-def line_dropper(schema: pa.Schema, columns: list[str], min_chars: int):
+def without_lines(text: str | None, drop) -> tuple[str | None, int, int]:
+    """The text without the lines whose keys' digests are in ``drop``, its lines before, and how many went."""
+    if not drop:
+        return text, (text or "").count("\n") + 1, 0
+    lines = text.encode().split(b"\n")
+    stay = [x for x in lines if digest(key_of(x)) not in drop]
+    return b"\n".join(stay).decode(), len(lines), len(lines) - len(stay)
+
+
+def line_dropper(schema: pa.Schema, columns: list[str], drops_of):
+    """Rows in runs of about DROP_BYTES of text; ``drops_of(batch)`` gives each row's dropped digests, or None."""
+
     def run(batches):
         for batch in batches:
-            texts, drops = batch.column("text").to_pylist(), batch.column("__drop").to_pylist()
-            kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(texts, drops):
-                if not drop:
-                    kept.append(text)
-                    n_lines.append((text or "").count("\n") + 1)
-                    n_dropped.append(0)
-                    continue
-                drop, lines = set(drop), text.encode().split(b"\n")
-                stay = [x for x in lines if digest(key_of(x)) not in drop]
-                kept.append(b"\n".join(stay).decode())
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(stay))
-            new = {"text": pa.array(kept, schema.field("text").type), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c).cast(schema.field(c).type) for c in columns], schema=schema)
+            at = utf8(batch.column("text"))[1]
+            for first, last in chunks(at, DROP_BYTES):
+                part = batch.slice(first, last - first)
+                done = [without_lines(text.as_py(), drop) for text, drop in zip(part.column("text"), drops_of(part))]
+                new = {c: pa.array([x[i] for x in done], schema.field(c).type) for i, c in enumerate(("text", "n_lines", "n_dropped"))}
+                yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c).cast(schema.field(c).type) for c in columns], schema=schema)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = FILTER_BITS) -> DataFrame:
+def joined_drops(part: pa.RecordBatch):
+    return (set(x.as_py() or ()) for x in part.column("__drop"))
+
+
+def table_drops(shared, keepers, bits: int, min_chars: int):
+    """Drops from a broadcast table of repeated keys and their keepers."""
+
+    def run(part: pa.RecordBatch):
+        data, at = utf8(part.column("text"))
+        ids, out = part.column("__id").to_pylist(), [None] * len(part)
+        for first, last in chunks(at):
+            rows, keys = suspects_of(data[at[first] : at[last]], at[first : last + 1] - at[first], shared.value, bits, min_chars)
+            for row, key in zip((rows + first).tolist(), keys):
+                if keepers.value.get(key, ids[row]) != ids[row]:
+                    out[row] = out[row] or set()
+                    out[row].add(key)
+        return out
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with the lines dropped from text, plus n_lines (before) and n_dropped.
 
     A line's key: blanks and \\t\\n\\v\\f\\r stripped at both ends, A-Z lower-cased. Keys of min_chars code points or
     more found under min_docs different doc_ids or more lose all their lines except under the largest doc_id. Rows
     with the same doc_id are one document; rows with null doc_id are one that comes before all others. Null text stays
     null and counts as one empty line. Filters have a fixed size, broadcast once; a hot line costs one suspect row for
-    each document, summed up map-side. Empty tables give no rows; columns n_lines and n_dropped of docs are replaced.
+    each document, summed up map-side. Up to broadcast_keys confirmed keys go to the tasks with their keepers and texts
+    stay where they are; beyond that, dropped keys are joined to the texts by doc_id. Empty tables give no rows; columns n_lines and n_dropped of docs are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "__drop")])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "__drop", "__id")])
     texts = docs.select("text")
     parts = texts.mapInArrow(filter_builder(bits, min_chars), "segment long, once binary, twice binary")
     merged = parts.repartition("segment").mapInArrow(filter_merger, "segment long, twice binary")
@@ -169,16 +197,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: i
     first = -(1 << 63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(first)).alias("doc_id"), "text")
     suspects = cut(ids.mapInArrow(suspect_finder(shared, bits, min_chars), "doc_id long, key binary"))
-    repeated = suspects.groupBy("key", "doc_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    # a line of a third of all documents is dealt over SALTS tasks by doc_id; each meets a copy of its key's one row
-    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    keepers = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    drops = salted.join(keepers, ["key", "salt"]).where("doc_id != keeper").groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
+    repeated = cut(suspects.groupBy("key", "doc_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs).select("key", "keeper"))
     columns = [*docs.columns, "n_lines", "n_dropped"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(first)))
+    if repeated.count() <= broadcast_keys:
+        table = repeated.toArrow()
+        keepers = spark.sparkContext.broadcast(dict(zip(table.column("key").to_pylist(), table.column("keeper").to_pylist())))
+        return keyed.mapInArrow(line_dropper(to_arrow_schema(schema), columns, table_drops(shared, keepers, bits, min_chars)), schema)
+    # a line of a third of all documents is dealt over SALTS tasks by doc_id; each meets a copy of its key's one row
+    salted = suspects.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted_keepers = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drops = salted.join(salted_keepers, ["key", "salt"]).where("doc_id != keeper").groupBy("doc_id").agg(F.collect_set("key").alias("__drop"))
     joined = keyed.join(drops.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
-    return joined.mapInArrow(line_dropper(to_arrow_schema(schema), columns, min_chars), schema)
+    return joined.mapInArrow(line_dropper(to_arrow_schema(schema), columns, joined_drops), schema)
 
 
 # --------------------------------------------------------------------------- query

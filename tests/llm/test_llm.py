@@ -389,14 +389,14 @@ def brute_lines(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits", [1 << 26, 1 << 10])
-def test_lines_equal_brute_force(spark, bits):
+@pytest.mark.parametrize(("bits", "broadcast_keys"), [(1 << 26, 1000), (1 << 10, 1000), (1 << 10, 3)])
+def test_lines_equal_brute_force(spark, bits, broadcast_keys):
     rng = random.Random(6)
     pool = ["this line is said by many " + "x" * i for i in range(12)] + ["  THIS line is said by many \t\r", "short one", "é" * 20, "é" * 19, "", "   ", "y" * 5000]
     docs = [(i, "\n".join(rng.choice(pool + ["line %d of its own, only here" % rng.randrange(10**9)]) for _ in range(rng.randint(0, 9)))) for i in range(70)]
     docs += [(None, "this line is said by many \nz"), (500, None), (501, ""), (502, "\n" * 3), (69, pool[0]), (69, pool[0])]
     df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, n_lines string").repartition(5)
-    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.dedup_lines(df, bits=bits).collect())
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.dedup_lines(df, bits=bits, broadcast_keys=broadcast_keys).collect())
     assert got == brute_lines(docs)
 
 
