@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.llm.common import U64, Stored, chunks, connected_components, cut, grams, lengths_to_ids, mix, utf8, words
@@ -17,8 +18,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5  # at 0.8: 1 - (1 - 0.8**5)**24 = 0.99993
 #: Bands of the first round. What it links leaves buckets of one component, which later rounds pass over.
 FIRST_BANDS = 6
-#: Leaders of a bucket from the third round on; a bucket of n gives at most LEADERS * n pairs a round.
-LEADERS = 6
+#: Leader rounds before what is still open is joined exactly.
+LEADER_ROUNDS = 2
+#: Classes of one shingle's list that one task of the exact join holds against the others.
+LIST_BLOCK = 512
 #: Ids of candidates that may be broadcast to fetch their texts; more are met in a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bits of an arrival's hash that choose the register, and that give the time.
@@ -162,16 +165,63 @@ def verifier(k: int, threshold: float):
     return run
 
 
+def shares(k: int):
+    """(cls, element, share) of every shingle of a text: shares are weights of sum 1."""
+    schema = pa.schema([("cls", pa.int64()), ("element", pa.int64()), ("share", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            ids = batch.column("doc_id").to_numpy()
+            for first, last in chunks(at, 1_000_000):
+                row, element, weight = weighted(*shingles(*words(data[at[first] : at[last]], at[first : last + 1] - at[first]), k))
+                share = weight / np.bincount(row, weights=weight, minlength=last - first)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][row]), pa.array(element.view(np.int64)), pa.array(share)], schema=schema)
+
+    return run
+
+
+def open_pairs(texts: DataFrame, component: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(u, v) of texts (doc_id, text) in different components (node, component): every pair whose probability Jaccard
+    can reach the threshold, found without comparing all.
+
+    Let A be the share of a's mass on shingles that b has too, B that of b. The term of a common shingle is at most
+    1 / (1/a_i + (1 - B)/b_i), a concave function of degree 1 of (a_i, b_i), so that the sum of the terms is at most
+    1 / (1/A + 1/B - 1), which for sets is their similarity itself. In one order of all shingles, rare ones first, what
+    comes before the first common one isn't common: with masses p and q before it, 1/(1-p) + 1/(1-q) <= 1 + 1/threshold.
+    So the pair meets in a list of that shingle, both with masses of at most 1 - threshold before it and one of them
+    with at most 1 - 2 threshold / (1 + threshold). Passages that a crowd just under the threshold shares come later
+    than that and give no pairs.
+    """
+    most = 1 + 1 / threshold + 1e-9
+    short, long = 1 - 2 / most, 1 - 1 / (most - 1)
+    elements = cut(texts.mapInArrow(shares(k), "cls long, element long, share double"))
+    common = cut(elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"))
+    known = F.broadcast(common) if common.count() <= BROADCAST_IDS else common
+    before = F.sum("share").over(W.partitionBy("cls").orderBy(F.coalesce("n", F.lit(1)), "element").rowsBetween(W.unboundedPreceding, -1))
+    rare = elements.join(known, "element", "left").withColumn("before", F.coalesce(before, F.lit(0.0))).where((F.col("before") <= long) & F.col("n").isNotNull())
+    listed = cut(rare.select("element", "cls", "before").join(component.withColumnRenamed("node", "cls"), "cls"))
+    is_short = F.col("before") <= short
+    lists = listed.groupBy("element").agg(F.count(F.when(is_short, 1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 0 AND lo < hi")
+    # a list's short side is dealt over blocks, its long side goes to each of them
+    lists = cut(lists.select("element", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")))
+    small = lists.count() <= BROADCAST_IDS
+    at = listed.join(F.broadcast(lists) if small else lists, "element")
+    a = at.where(is_short).select("element", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("before").alias("p"))
+    b = at.select("element", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("before").alias("q"))
+    met = a.join(b, (a["element"] == b["element"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb")) & (1 / (1 - F.col("p")) + 1 / (1 - F.col("q")) <= most))
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, component_id, kept): class_id is the least doc_id of the same words in the same order,
     component_id the least doc_id reachable over links of probability Jaccard >= threshold, kept whether it is it.
 
     Each class is compared once. The first round ties every class of a bucket of FIRST_BANDS bands to one leader, by one
-    order for all bands, so that a bucket of n gives n - 1 pairs at most and a large group of copies few for each. The
-    second does so in all buckets that hold several components then, and later rounds try their classes against LEADERS
-    other leaders at once, by four orders over the bands, until a round links nothing more. Pairs are tried once, and a pair inside one component never again. A bucket of any size is
-    thus gone through in linear steps and no partner is capped; what a fixpoint of all leaders could still miss are
-    two classes that share only buckets where neither has led and all leaders linked just one of them.
+    order for all bands, so that a bucket of n gives n - 1 pairs at most and a large group of copies few for each; the
+    second does so in all buckets that hold several components then. Classes of buckets that are open after that are
+    joined exactly (open_pairs): all pairs of them in different components that can reach the threshold are verified,
+    in whatever bucket they are, so two candidates of one bucket are never left uncompared.
 
     Words: A-Z lower-cased, runs of letters, digits and characters beyond ASCII; shorter texts are one shingle. Null
     texts and texts without words link with nothing. Rows that repeat a doc_id must be the same document, which links
@@ -190,32 +240,35 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = SIMILA
     small = candidates.count() <= BROADCAST_IDS
     texts = Stored(named.join(F.broadcast(candidates) if small else candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     component = candidates.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
-    tried, turn = None, 0
-    while True:
-        wide = turn >= 2
-        tied = members if turn else members.where(F.col("band") < FIRST_BANDS)
-        order = F.xxhash64(F.col("cls"), F.lit(turn), F.pmod("band", F.lit(4 if wide else 1)), F.col("nth"))
-        ordered = tied.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(LEADERS - 1 if wide else 0))))
-        leaders = ordered.groupBy("bucket", "nth").agg(F.min(F.struct(order.alias("o"), "cls", "component")).alias("l")).select("bucket", F.col("l.cls").alias("leader"), F.col("l.component").alias("leader_component")).distinct()
-        pairs = tied.join(leaders, "bucket").where("component != leader_component").select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct()
+    tried = None
+    for turn in range(LEADER_ROUNDS + 1):
+        if members.isEmpty():
+            break
+        if turn < LEADER_ROUNDS:
+            tied = members if turn else members.where(F.col("band") < FIRST_BANDS)
+            order = F.xxhash64(F.col("cls"), F.lit(turn))
+            leaders = tied.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "cls", "component")).alias("l")).select("bucket", F.col("l.cls").alias("leader"), F.col("l.component").alias("leader_component"))
+            pairs = tied.join(leaders, "bucket").where("component != leader_component").select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct()
+        else:
+            rest = members.select(F.col("cls").alias("doc_id")).distinct()
+            pairs = open_pairs(texts.read().join(F.broadcast(rest) if small else rest, "doc_id", "left_semi"), component, k, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = cut(pairs)
         side = lambda n: texts.read().select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
         found = cut(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(verifier(k, threshold), "u long, v long"))
-        if wide and found.isEmpty():
-            break
         # only components that were linked just now meet again; all others keep their name
         at = lambda n: component.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
         linked = found.join(at("u"), "u").join(at("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
         renamed = cut(connected_components(linked).where("node != component").select(F.col("node").alias("component"), F.col("component").alias("new")))
         rename = lambda df: df.join(renamed, "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
         component = cut(rename(component))
+        if turn == LEADER_ROUNDS:
+            break
         members = rename(members)
         open_buckets = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         members = cut(members.join(open_buckets, "bucket", "left_semi"))
         tried = pairs if tried is None else cut(tried.union(pairs))
-        turn += 1
     texts.drop()
     out = signed.read().select("doc_id", "same").join(classes, "same").join(component.withColumnRenamed("node", "cls"), "cls", "left")
     known = out.select("doc_id", "cls", F.coalesce("component", "cls").alias("component")).dropDuplicates(["doc_id"])

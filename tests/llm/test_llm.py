@@ -177,6 +177,19 @@ def test_minhash_awkward_and_hot(spark):
     assert {r.component_id for r in minhash.near_duplicates(spark.createDataFrame(hot, "doc_id long, text string")).collect()} == {0}
 
 
+def test_minhash_crowd_just_under_the_threshold(spark):
+    """1,000 documents at 0.78 to each other by a shared passage, 40 of them in pairs at 0.816."""
+    passage = " ".join("t%d" % i for i in range(82))
+    own = {i: ["o%dx%d" % (i, j) for j in range(11)] for i in range(1000)}
+    for i in range(0, 40, 2):
+        own[i + 1][:2] = own[i][:2]
+    docs = [(i, f"{passage} {' '.join(w)}") for i, w in own.items()]
+    assert abs(jaccard(shingles_of(docs[50][1]), shingles_of(docs[51][1])) - 0.78) < 1e-9
+    assert 0.8 < jaccard(shingles_of(docs[0][1]), shingles_of(docs[1][1])) < 0.82
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 if i < 40 else i for i in own}
+
+
 # --------------------------------------------------------------------------- 4
 
 
