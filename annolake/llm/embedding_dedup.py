@@ -4,6 +4,8 @@ across passes."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +14,12 @@ from pyspark.sql import functions as F
 
 from annolake.llm.common import connected_components, cut
 
+#: Passes of one round.
 PASSES = 16
+#: Rounds go on until a link at the threshold is missed with so small an estimated probability.
+MISS = 1e-4
+#: Vectors of a tile where all that is left is compared.
+TILE = 2048
 BITS = 48
 #: Vectors of one window; each is compared with all others of its window.
 WINDOW = 1024
@@ -88,6 +95,79 @@ def window_links(threshold: float):
     return run
 
 
+def tile_links(threshold: float):
+    """A spanning forest of the verified links between two tiles, or within one, as (u, v)."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, tile = table.column("cls").to_numpy(), table.column("tile").to_numpy()
+        first, second = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own, x in unit_rows(table.column("embedding")):
+            left, right = np.flatnonzero(tile[own] == first), np.flatnonzero(tile[own] == second)
+            a, b = np.nonzero(x[left] @ x[right].T >= threshold)
+            label = forest(len(own), left[a], right[b])
+            linked = np.flatnonzero(label != np.arange(len(own)))
+            u.append(ids[own[linked]])
+            v.append(ids[own[label[linked]]])
+        return pa.Table.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], schema=schema)
+
+    return run
+
+
+def tiled(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with their tile among ``tiles``, once for each pair (a, b) of tiles, a <= b, that theirs is one of."""
+    m = vectors.withColumn("tile", (F.pmod(F.xxhash64("cls"), F.col("tiles"))).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("a"), F.greatest("tile", o).alias("b")))
+    return m.withColumn("pair", F.explode(pairs)).select("*", "pair.a", "pair.b").drop("pair", "tiles")
+
+
+def sorted_passes(classes: DataFrame, threshold: float, passes: int, window: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) links of one round of passes, and (cls, gain): the log of the estimated probability that the round misses
+    a link of cls at the threshold.
+
+    A vector is compared with all of its slot (half a window) and of the slots beside it. If it differs from the
+    nearest keys beyond these within L bits, whatever has its first L bits is among them, and a vector at the threshold
+    has with probability (1 - arccos(threshold) / pi)**L, whatever the others are.
+    """
+    keys = cut(classes.select("cls", "embedding").mapInArrow(bit_keys(passes, BITS, seed), "cls long, pass int, key long"))
+    keys = keys.withColumn("range", F.shiftright("key", BITS - RANGE_BITS))
+    sums = keys.groupBy("pass", "range").agg(F.count("*").alias("n"))
+    starts = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("pass").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(W.partitionBy("pass", "range").orderBy("key", "cls")) - 1 + F.col("before")
+    half = window // 2
+    placed = cut(keys.join(starts, ["pass", "range"]).withColumn("slot", F.floor(place / half).cast("long")).select("cls", "pass", "key", "slot"))
+    ends = cut(placed.groupBy("pass", "slot").agg(F.min("key").alias("first"), F.max("key").alias("last")))
+    under, over = ends.select("pass", (F.col("slot") + 2).alias("slot"), F.col("last").alias("under")), ends.select("pass", (F.col("slot") - 2).alias("slot"), F.col("first").alias("over"))
+    shared = lambda c: F.when(F.col(c).isNull(), -1).when(F.col(c) == F.col("key"), BITS).otherwise(BITS - F.length(F.bin(F.col("key").bitwiseXOR(F.col(c)))))
+    bits = F.greatest(shared("under"), shared("over")) + 1
+    miss = F.when(bits > BITS, 1.0).otherwise(F.greatest(1 - F.pow(F.lit(1 - math.acos(threshold) / math.pi), bits), F.lit(1e-9)))
+    gain = cut(placed.join(under, ["pass", "slot"], "left").join(over, ["pass", "slot"], "left").groupBy("cls").agg(F.sum(F.log(miss)).alias("gain")))
+    # a vector stands in the window that begins at its half and in the one before
+    spread = placed.select("cls", "pass", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("win"))
+    links = spread.join(classes.select("cls", "embedding"), "cls").groupBy("pass", "win").applyInArrow(window_links(threshold), "u long, v long")
+    return cut(links.distinct()), gain
+
+
+def found_links(classes: DataFrame, threshold: float, passes: int, window: int, seed: int) -> DataFrame:
+    """(u, v) links that join all components: rounds of passes over the vectors that could still miss a link, then all
+    pairs of these as soon as that is less work than the rounds that are still needed."""
+    links, rest, turn = None, classes.select("cls", "embedding").withColumn("log_miss", F.lit(0.0)), 0
+    while True:
+        new, gain = sorted_passes(rest, threshold, passes, window, seed + 1000 * turn)
+        links = new if links is None else links.union(new)
+        after = rest.join(gain, "cls").withColumn("log_miss", F.col("log_miss") + F.col("gain"))
+        # a pair is missed no more likely than either of its vectors misses it: whoever is sure needn't come again
+        rest = cut(after.where(F.col("log_miss") > math.log(MISS)).select("cls", "embedding", "log_miss", "gain"))
+        n, worst, mean = rest.agg(F.count("*"), F.max("log_miss"), F.avg("gain")).first()
+        rest, turn = rest.drop("gain"), turn + 1
+        if not n:
+            return links
+        if mean > -1e-6 or n / 2 <= (worst - math.log(MISS)) / -mean * passes * 2 * window:
+            all_pairs = tiled(rest.select("cls", "embedding", F.lit(-(-n // TILE)).alias("tiles")))
+            return links.union(all_pairs.groupBy("a", "b").applyInArrow(tile_links(threshold), "u long, v long"))
+
+
 def tile_counts(threshold: float):
     """For two tiles of one component: (class, weight of the classes of the other tile that it links with)."""
     schema = pa.schema([("cls", pa.int64()), ("links", pa.int64())])
@@ -119,8 +199,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PA
 
     Equal vectors are one class, which is compared once and counts with its copies. A pass orders the classes by its
     key over 2**RANGE_BITS ranges of it, numbers them through with sums of the ranges, and cuts the order into windows
-    that overlap by half; a window sends on a spanning forest of its links. Components of the united forests are
-    final; links within one are then counted exactly by tiles of ``window`` vectors, which are counts, not pairs.
+    that overlap by half; a window sends on a spanning forest of its links. After a round of ``passes``, vectors that
+    could still miss a link by more than MISS go through further rounds among themselves, or are all compared where that
+    is less work, so that neither more rows nor dense groups lose links. Components of the united forests are final; links within one are then counted exactly by tiles of ``window`` vectors, which are counts, not pairs.
     Verified cosines are of unit rows in double precision; a class's copies link with each other.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and stand for themselves,
@@ -132,23 +213,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, passes: int = PA
     rows = vectors.select("vec_id", "embedding").withColumn("ok", F.coalesce(finite & F.col("vec_id").isNotNull(), F.lit(False))).withColumn("same", text)
     ids = rows.select("vec_id", "ok", "same")
     classes = cut(rows.where("ok").groupBy("same").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    keys = cut(classes.select("cls", "embedding").mapInArrow(bit_keys(passes, BITS, seed), "cls long, pass int, key long"))
-    keys = keys.withColumn("range", F.shiftright("key", BITS - RANGE_BITS))
-    sums = keys.groupBy("pass", "range").agg(F.count("*").alias("n"))
-    starts = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("pass").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(W.partitionBy("pass", "range").orderBy("key", "cls")) - 1 + F.col("before")
-    half = window // 2
-    placed = keys.join(starts, ["pass", "range"]).withColumn("slot", F.floor(place / half).cast("long"))
-    # a vector stands in the window that begins at its half and in the one before
-    spread = placed.select("cls", "pass", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("win"))
-    links = spread.join(classes.select("cls", "embedding"), "cls").groupBy("pass", "win").applyInArrow(window_links(threshold), "u long, v long")
+    links = found_links(classes, threshold, passes, window, seed)
     comps = cut(connected_components(links.distinct()))
     members = comps.join(classes, comps["node"] == classes["cls"]).select("component", "cls", "copies", "embedding")
     sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / window).cast("int").alias("tiles"))
-    m = members.join(sizes, "component").withColumn("tile", (F.pmod(F.xxhash64("cls"), F.col("tiles"))).cast("int"))
     # each tile meets each other tile of its component once: (a, b) with a <= b
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("tile", o).alias("a"), F.greatest("tile", o).alias("b")))
-    m = m.withColumn("pair", F.explode(pairs)).select("component", "cls", "copies", "embedding", "tile", "pair.a", "pair.b")
+    m = tiled(members.join(sizes, "component"))
     counted = m.groupBy("component", "a", "b").applyInArrow(tile_counts(threshold), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
     about = classes.select("same", "cls", "copies").join(comps.withColumnRenamed("node", "cls"), "cls", "left").join(counted, "cls", "left")
     out = ids.join(about, "same", "left")

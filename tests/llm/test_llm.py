@@ -281,6 +281,26 @@ def test_embeddings_edge_cases_and_tiles(spark):
     assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in (300, 302, 304, None)] == [(0, 300, True), (0, 302, True), (0, 304, True), (0, None, True)]
 
 
+def test_embeddings_in_a_dense_group(spark):
+    """2,000 vectors of which 1,000 are at cosine 0.8 to each other, and lone and grouped pairs at 0.91."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((2000, 256)))
+    center = unit(rng.standard_normal(256))
+    x[:1000] = unit(np.sqrt(0.8) * center + np.sqrt(0.2) * unit(x[:1000] - np.outer(x[:1000] @ center, center)))
+    for i in [*range(0, 60, 2), *range(1000, 1060, 2)]:
+        off = unit(rng.standard_normal(256))
+        off = unit(off - (off @ x[i]) * x[i])
+        x[i + 1] = 0.91 * x[i] + np.sqrt(1 - 0.91**2) * off
+    link = np.triu(x @ x.T >= 0.9, 1)
+    assert link.sum() == 60
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, window=32).collect()}
+    for u, v in zip(*np.nonzero(link)):
+        assert got[v].component_id == u and (got[u].n_links, got[v].n_links) == (1, 1)
+    assert sum(r.n_links for r in got.values()) == 120
+
+
 # --------------------------------------------------------------------------- 7
 
 
