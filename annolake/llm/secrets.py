@@ -19,9 +19,19 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 
 #: A token's inferred encoding: the smallest alphabet that holds all its characters.
-ENCODINGS = (("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16), ("base32", r"^[A-Z2-7]+=*$", 32), ("base62", r"^[A-Za-z0-9]+$", 62), ("base64", r"^[A-Za-z0-9+/_-]+=*$", 64))
+ENCODINGS = (
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16),
+    ("letters", r"^(?:[a-z]+|[A-Z]+)$", 26),
+    ("base32", r"^(?:[a-z2-7]+|[A-Z2-7]+)$", 32),
+    ("base36", r"^(?:[a-z0-9]+|[A-Z0-9]+)$", 36),
+    ("base62", r"^[A-Za-z0-9]+$", 62),
+    ("base64", r"^[A-Za-z0-9+/_-]+=*$", 64),
+)
 #: Text changes its kind of character (lower, upper, digit, mark) in so great a part of all places at most.
 TEXT_CHANGES = 0.08
+#: Of two neighbouring letters of text one is a vowel, one not, in so great a part of all places at least; two letters of
+#: it are equal with this chance; the sum of its letters' cubed shares.
+TEXT_VOWEL_CHANGES, TEXT_EQUAL, TEXT_CUBES = 0.6, 0.07, 0.0065
 #: A battery test rejects randomness below this two-sided tail (3.29 standard deviations).
 BATTERY_Z = 3.29
 FALSE_DISCOVERY = 0.01
@@ -62,8 +72,9 @@ def battery(tokens: DataFrame, token: str = "m") -> DataFrame:
     chi-squared: counts of the alphabet's characters against equal shares, as a standard normal. Runs: changes between
     kinds of character against what the alphabet's shares lead to. Serial correlation: of adjacent characters' places
     in the alphabet. ``random``: none of the three is off by more than BATTERY_Z on the side that text is (too uneven,
-    too few changes, correlated). ``p_text``: the binomial tail of at least so many changes in text of this length.
-    Padding is not counted.
+    too few changes, correlated). Letters of one case are of one kind, so that vowels and consonants are their kinds;
+    text changes these too often. ``p_text``: the tail of text of this length for its changes of kind, equal letters
+    and changes of vowel and consonant together, as far as the alphabet has them. Padding is not counted.
     """
     body = F.regexp_replace(token, "=+$", "")
     t = tokens.withColumn("body", body).withColumn("n", F.length("body"))
@@ -84,19 +95,35 @@ def battery(tokens: DataFrame, token: str = "m") -> DataFrame:
     t = t.withColumn("z_uniform", (chi - (a - 1)) / F.sqrt(2 * (a - 1) * (1 - 1 / n)))
     pairs = lambda col: F.arrays_zip(F.slice(col, 1, F.size(col) - 1).alias("x"), F.slice(col, 2, F.size(col) - 1).alias("y"))
     t = t.withColumn("changes", F.size(F.filter(pairs("kinds"), lambda p: p["x"] != p["y"])))
-    # shares of the kinds in the alphabet: hex 6/16 letters; base32 26/32; base62 and base64 26, 26, 10 and marks
-    same = F.when(a == 16, (6 * 6 + 10 * 10) / 256).when(a == 32, (26 * 26 + 6 * 6) / 1024).when(a == 62, (26 * 26 * 2 + 100) / 62**2).otherwise((26 * 26 * 2 + 100 + 4) / 64**2)
+    # shares of the kinds in the alphabet: hex 6/16 letters; letters 5/26 vowels; base32 26/32; base36 26/36; base62 and base64 26, 26, 10 and marks
+    letters_only = a == 26
+    same = F.when(a == 16, (6 * 6 + 10 * 10) / 256).when(letters_only, (5 * 5 + 21 * 21) / 26**2).when(a == 32, (26 * 26 + 6 * 6) / 1024).when(a == 36, (26 * 26 + 10 * 10) / 36**2).when(a == 62, (26 * 26 * 2 + 100) / 62**2).otherwise((26 * 26 * 2 + 100 + 4) / 64**2)
     m = n - 1
-    t = t.withColumn("z_runs", (F.col("changes") - m * (1 - same)) / F.sqrt(m * same * (1 - same)))
+    # vowels 1, other letters 0, all else null
+    vowel = lambda c: F.when(F.lower(c).isin(*"aeiou"), 1).when(c.rlike("[A-Za-z]"), 0)
+    t = t.withColumn("vowels", F.transform("chars", vowel)).withColumn("beside", F.filter(pairs("vowels"), lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    t = t.withColumn("vowel_changes", F.size(F.filter("beside", lambda p: p["x"] != p["y"])))
+    t = t.withColumn("z_runs", (F.when(letters_only, F.col("vowel_changes")).otherwise(F.col("changes")) - m * (1 - same)) / F.sqrt(m * same * (1 - same)))
     mean = F.aggregate("places", F.lit(0.0), lambda s, x: s + x) / n
     t = t.withColumn("mean", mean)
     t = t.withColumn("var", F.aggregate("places", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))))
     t = t.withColumn("cov", F.aggregate(pairs("places"), F.lit(0.0), lambda s, p: s + (p["x"] - F.col("mean")) * (p["y"] - F.col("mean"))))
     t = t.withColumn("z_serial", F.when(F.col("var") > 0, F.col("cov") / F.col("var") * F.sqrt(n)).otherwise(F.sqrt(n)))
     zt = (F.col("changes") - 0.5 - m * TEXT_CHANGES) / F.sqrt(m * TEXT_CHANGES * (1 - TEXT_CHANGES))
-    t = t.withColumn("p_text", F.when(zt <= 0, F.lit(1.0)).otherwise(_normal_tail(zt)))
-    t = t.withColumn("random", (F.col("z_uniform") < BATTERY_Z) & (F.col("z_runs") > -BATTERY_Z) & (F.abs("z_serial") < BATTERY_Z))
-    return t.drop("body", "chars", "kinds", "places", "squares", "mean", "var", "cov")
+    # how far the letters, in one case, are from text: fewer equal ones, fewer changes of vowel and consonant
+    only = F.lower(F.regexp_replace("body", "[^A-Za-z]", ""))
+    runs_of = F.regexp_extract_all(F.array_join(F.array_sort(F.split(only, "")), ""), F.lit(r"((.)\2*)"), F.lit(1))
+    equal = F.aggregate(runs_of, F.lit(0.0), lambda s, r: s + (F.length(r) * (F.length(r) - 1)).cast("double"))
+    k, mb = F.length(only).cast("double"), F.size("beside").cast("double")
+    ze = (TEXT_EQUAL - equal / (k * (k - 1))) / F.sqrt(2 * TEXT_EQUAL * (1 - TEXT_EQUAL) / (k * (k - 1)) + 4 * (TEXT_CUBES - TEXT_EQUAL**2) / k)
+    zv = (mb * TEXT_VOWEL_CHANGES - F.col("vowel_changes") - 0.5) / F.sqrt(mb * TEXT_VOWEL_CHANGES * (1 - TEXT_VOWEL_CHANGES))
+    parts = F.array(F.when(~letters_only, zt), F.when((a != 16) & (k >= 8), ze), F.when((a != 16) & (mb >= 4), zv))
+    known = F.filter(parts, lambda z: z.isNotNull())
+    z = F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size(known))
+    t = t.withColumn("z_text", z).withColumn("p_text", F.when(F.col("z_text") > 0, _normal_tail(F.col("z_text"))).otherwise(1.0))
+    off_runs = F.when(letters_only, F.col("z_runs") < BATTERY_Z).otherwise(F.col("z_runs") > -BATTERY_Z)
+    t = t.withColumn("random", (F.col("z_uniform") < BATTERY_Z) & off_runs & (F.abs("z_serial") < BATTERY_Z))
+    return t.drop("body", "chars", "kinds", "places", "squares", "mean", "var", "cov", "vowels", "beside", "vowel_changes", "z_text")
 
 
 def length_class(n: Column) -> Column:

@@ -336,6 +336,24 @@ def test_battery_tells_random_tokens_from_words(spark):
     assert (hit.s, hit.e, hit.kind) == (3, 43, "random")
 
 
+def test_random_tokens_of_each_alphabet_are_found(spark):
+    rng = random.Random(12)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base36": lower + digits, "base32": lower + "234567", "letters": lower, "upper": lower.upper(), "base62": lower + lower.upper() + digits, "base64": lower + lower.upper() + digits + "+/"}
+    rows = [(name, n, "".join(rng.choice(a) for _ in range(n))) for name, a in alphabets.items() for n in (16, 32, 64, 128) for _ in range(50)]
+    rows += [("text", n, "".join(rng.choice(["the", "ing", "erna", "tion", "keit", "lich", "schaft", "ver", "en", "ment", "ado", "que"]) for _ in range(n))[:n]) for n in (16, 32, 64, 128) for _ in range(100)]
+    df = spark.createDataFrame([(i, f"ab {t} cd") for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: bool(r.random) for r in secrets.find_secrets(df).collect()}
+    share = collections.defaultdict(list)
+    for i, (name, n, _) in enumerate(rows):
+        share[name, n].append(got[i])
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    print(share)
+    for (name, n), found in share.items():
+        least = {"base36": 0.5, "base62": 0.9, "base64": 0.9}.get(name, 0.0) if n == 16 else 0.6 if n == 32 else 0.9
+        assert found <= 0.02 if name == "text" else found >= least, (name, n, found)
+
+
 # --------------------------------------------------------------------------- 8
 
 
