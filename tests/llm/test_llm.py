@@ -262,6 +262,26 @@ def test_chat_spans_and_rewrites(spark):
     assert text == forgetful([("user", "hi"), ("assistant", "yo"), ("user", "hm")])
 
 
+def test_chat_templates_see_all_of_a_long_conversation(spark):
+    turns = [("system", "be brief")] + [("assistant" if i % 2 else "user", "t%d" % i) for i in range(150)]
+    df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+    def numbered(turns):
+        assert turns[0][0] == "system" and all(r == ("assistant" if i % 2 else "user") for i, (r, _) in enumerate(turns[1:]))
+        return f"[{turns[0][1]}]" + "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(turns))
+
+    def late(turns):
+        return "".join(f"{t if len(turns) <= 120 or i else 'gone'}\n" for i, (_, t) in enumerate(turns))
+
+    for template in (numbered, late):
+        rows = sorted(chat_format.format_conversations(df, template).collect(), key=lambda r: r.turn_no)
+        text = ""
+        for r in rows:
+            text = text[: len(text) - r.dropped] + r.piece
+        assert text == template(turns)
+        assert [r.turn_no for r in rows if r.rewrites] == ([120] if template is late else [])
+
+
 # --------------------------------------------------------------------------- 6
 
 
