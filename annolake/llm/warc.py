@@ -125,13 +125,21 @@ def archive_reader(with_payload: bool):
                 data, unzip, at = memoryview(content.as_buffer()), zlib.decompressobj(31), 0
 
                 def read(n):
-                    nonlocal at
-                    while at < len(data):
+                    nonlocal at, unzip
+                    while True:
+                        if unzip.eof:  # a file may be several gzip members, such as one for each record
+                            at -= len(unzip.unused_data)
+                            unzip = zlib.decompressobj(31)
+                            if at == len(data):
+                                return b""
+                        if at == len(data):
+                            if not at:
+                                return b""
+                            raise ValueError("an archive ends within a gzip member")
                         part = data[at : at + 65536]
                         at += len(part)
                         if out := unzip.decompress(part):
                             return out
-                    return unzip.flush()
 
                 rows = []
                 for fields, block in records(read):
@@ -150,7 +158,7 @@ def archive_reader(with_payload: bool):
 def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     """The records of the archives below ``path``, digests and sizes taken from the payloads as they were read; what
     revisits have is filled in from their originals. Files come through Spark's reader, so any store will do; a task
-    unpacks one file as a stream."""
+    holds one packed file and unpacks it, all its gzip members, as a stream. A file that is cut short is an error."""
     raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(archive_reader(with_payload), RECORDS)
     raw = raw if with_payload else cut(raw.drop("payload"))
     extra = ["payload"] if with_payload else []

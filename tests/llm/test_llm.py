@@ -91,6 +91,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[1].target_uri == "http://a/%20b%0A" and by[2].target_uri is None
 
 
+def test_warc_members_and_cut_files(spark, tmp_path):
+    import gzip
+
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{i}>\r\nWARC-Source-Row: {i}\r\nContent-Length: {len(body) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n{body}\r\n\r\n".encode()
+    bodies = ["one", "", "x" * 200000, "four"]
+    whole = b"".join(gzip.compress(record(i, b)) for i, b in enumerate(bodies))
+    (tmp_path / "whole.warc.gz").write_bytes(whole)
+    got = {r.page_id: r.payload for r in warc.read_archives(spark, str(tmp_path / "whole.warc.gz"), with_payload=True).collect()}
+    assert got == dict(enumerate(bodies))
+    (tmp_path / "cut.warc.gz").write_bytes(whole[:-4])
+    with pytest.raises(Exception, match="ends within a gzip member"):
+        warc.read_archives(spark, str(tmp_path / "cut.warc.gz"), with_payload=True).collect()
+
+
 # --------------------------------------------------------------------------- 3
 
 
