@@ -528,3 +528,10 @@ def test_pipeline_stages_on_awkward_documents(spark):
         ids.append(sorted(str(r.doc_id) for r in out.collect()))
     assert ids[0] == ["3", "4", "4", "6", "8", "None"] and ids[1] == ids[0]
     assert ids[2] == ["3", "6", "8", "None"]
+
+
+def test_pipeline_keeps_documents_when_no_language_can_be_learnt(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words"), (2, "12 .."), (3, None)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == [1]
