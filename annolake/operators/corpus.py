@@ -239,9 +239,9 @@ def transform_preview(docs: DataFrame, drop: list[str] = (), mapping: dict | Non
 
 
 def unique_names(df: DataFrame, base: str, order: list[str], name: str = "stem") -> DataFrame:
-    """Base, base__2, base__3 in order."""
-    r = F.row_number().over(W.partitionBy(base).orderBy(*order))
-    return df.withColumn(name, F.when(r == 1, F.col(base)).otherwise(F.concat(base, F.lit("__"), r.cast("string"))))
+    """Base, base__2, base__3 in order; a base of any share of the rows is ranked over ranges of the order."""
+    d = ranked(df, F.col(order[0]), [base], tie=order[-1], name="__nth", ranges=sorted_ranges(df, order[0]))
+    return d.withColumn(name, F.when(F.col("__nth") == 0, F.col(base)).otherwise(F.concat(base, F.lit("__"), (F.col("__nth") + 1).cast("string")))).drop("__nth")
 
 
 UNSPLIT = UNSPLIT

@@ -517,3 +517,15 @@ def test_differences(spark):
     assert f(a) == f(make(spark, [(9, "abcd", [(1, 2, "B"), (0, 1, "A")])])) != f(b)
     w = spark.createDataFrame([("a b c", "a x c")], "a string, b string").select(compare.word_diff(F.col("a"), F.col("b")).alias("d")).first().d
     assert [(x.op, x.text) for x in w] == [("equal", "a"), ("remove", "b"), ("add", "x"), ("equal", "c")]
+
+
+def test_unique_names_rank_a_hot_base_over_ranges(spark):
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "b") for i in range(900)] + [(None, "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
+    named = corpus.unique_names(df, "source", ["doc_id"])
+    want, seen = {}, {}
+    for i, s in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        seen[s] = seen.get(s, 0) + 1
+        want[i] = s if s is None or seen[s] == 1 else f"{s}__{seen[s]}"
+    assert {r.doc_id: r.stem for r in named.collect()} == want and named.columns == ["doc_id", "source", "stem"]
+    assert "__range" in named._jdf.queryExecution().optimizedPlan().toString()
