@@ -8,7 +8,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.llm.common import U64, Stored, chunks, connected_components, cut, grams, lengths_to_ids, mix, utf8, words
@@ -18,10 +17,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5  # at 0.8: 1 - (1 - 0.8**5)**24 = 0.99993
 #: Bands of the first round. What it links leaves buckets of one component, which later rounds pass over.
 FIRST_BANDS = 6
-#: Leader rounds before what is still open is joined exactly.
+#: Leader rounds before what is still open is compared in blocks.
 LEADER_ROUNDS = 2
-#: Classes of one shingle's list that one task of the exact join holds against the others.
-LIST_BLOCK = 512
+#: Bytes of shingles of one block of an open bucket; a task holds two blocks.
+BLOCK_BYTES = 8_000_000
+#: Classes that are compared with as many others at a time, and shingles of these at a time.
+TILE, COLUMNS = 256, 8192
 #: Ids of candidates that may be broadcast to fetch their texts; more are met in a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bits of an arrival's hash that choose the register, and that give the time.
@@ -165,52 +166,152 @@ def verifier(k: int, threshold: float):
     return run
 
 
-def shares(k: int):
-    """(cls, element, share) of every shingle of a text: shares are weights of sum 1."""
-    schema = pa.schema([("cls", pa.int64()), ("element", pa.int64()), ("share", pa.float64())])
+def shingle_lists(k: int):
+    """(cls, bytes, elements, weights): a text's different shingles in order, 8 bytes each, and how often each occurs, 4
+    bytes each; no weights if all are 1."""
+    schema = pa.schema([("cls", pa.int64()), ("bytes", pa.int64()), ("elements", pa.binary()), ("weights", pa.binary())])
 
     def run(batches):
         for batch in batches:
             data, at = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("doc_id")
             for first, last in chunks(at, 1_000_000):
                 row, element, weight = weighted(*shingles(*words(data[at[first] : at[last]], at[first : last + 1] - at[first]), k))
-                share = weight / np.bincount(row, weights=weight, minlength=last - first)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first:last][row]), pa.array(element.view(np.int64)), pa.array(share)], schema=schema)
+                edge = np.searchsorted(row, np.arange(last - first + 1))
+                own = [(element[x:y], weight[x:y].astype(np.float32)) for x, y in zip(edge[:-1], edge[1:])]
+                elements = [e.tobytes() for e, _ in own]
+                weights = [w.tobytes() if (w != 1).any() else b"" for _, w in own]
+                size = [len(e) + len(w) for e, w in zip(elements, weights)]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(size, pa.int64()), pa.array(elements, pa.binary()), pa.array(weights, pa.binary())], schema=schema)
 
     return run
 
 
-def open_pairs(texts: DataFrame, component: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(u, v) of texts (doc_id, text) in different components (node, component): every pair whose probability Jaccard
-    can reach the threshold, found without comparing all.
+def mass_bounds(x: list, y: list) -> np.ndarray:
+    """For each a of x and b of y, lists of (elements, weights): at least their probability Jaccard.
 
     Let A be the share of a's mass on shingles that b has too, B that of b. The term of a common shingle is at most
     1 / (1/a_i + (1 - B)/b_i), a concave function of degree 1 of (a_i, b_i), so that the sum of the terms is at most
-    1 / (1/A + 1/B - 1), which for sets is their similarity itself. In one order of all shingles, rare ones first, what
-    comes before the first common one isn't common: with masses p and q before it, 1/(1-p) + 1/(1-q) <= 1 + 1/threshold.
-    So the pair meets in a list of that shingle, both with masses of at most 1 - threshold before it and one of them
-    with at most 1 - 2 threshold / (1 + threshold). Passages that a crowd just under the threshold shares come later
-    than that and give no pairs.
+    1 / (1/A + 1/B - 1), which for sets is their similarity itself.
     """
-    most = 1 + 1 / threshold + 1e-9
-    short, long = 1 - 2 / most, 1 - 1 / (most - 1)
-    elements = cut(texts.mapInArrow(shares(k), "cls long, element long, share double"))
-    common = cut(elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"))
-    known = F.broadcast(common) if common.count() <= BROADCAST_IDS else common
-    before = F.sum("share").over(W.partitionBy("cls").orderBy(F.coalesce("n", F.lit(1)), "element").rowsBetween(W.unboundedPreceding, -1))
-    rare = elements.join(known, "element", "left").withColumn("before", F.coalesce(before, F.lit(0.0))).where((F.col("before") <= long) & F.col("n").isNotNull())
-    listed = cut(rare.select("element", "cls", "before").join(component.withColumnRenamed("node", "cls"), "cls"))
-    is_short = F.col("before") <= short
-    lists = listed.groupBy("element").agg(F.count(F.when(is_short, 1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 0 AND lo < hi")
-    # a list's short side is dealt over blocks, its long side goes to each of them
-    lists = cut(lists.select("element", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks")))
-    small = lists.count() <= BROADCAST_IDS
-    at = listed.join(F.broadcast(lists) if small else lists, "element")
-    a = at.where(is_short).select("element", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("before").alias("p"))
-    b = at.select("element", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("before").alias("q"))
-    met = a.join(b, (a["element"] == b["element"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb")) & (1 / (1 - F.col("p")) + 1 / (1 - F.col("q")) <= most))
-    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    flat = lambda z: (np.repeat(np.arange(len(z)), [len(e) for e, _ in z]), np.concatenate([e for e, _ in z]), np.concatenate([w / w.sum() for _, w in z]).astype(np.float32))
+    (rx, ex, sx), (ry, ey, sy) = flat(x), flat(y)
+    both = np.intersect1d(ex, ey)
+    if x is y:  # what one text alone has is common to nothing
+        e, n = np.unique(ex, return_counts=True)
+        both = e[n > 1]
+    a, b = np.zeros((len(x), len(y)), np.float32), np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        part = both[at : at + COLUMNS]
+
+        def dense(rows, elements, shares, n):
+            place = np.minimum(np.searchsorted(part, elements), len(part) - 1)
+            ok = part[place] == elements
+            share, has = np.zeros((n, len(part)), np.float32), np.zeros((n, len(part)), np.float32)
+            share[rows[ok], place[ok]], has[rows[ok], place[ok]] = shares[ok], 1
+            return share, has
+
+        share_x, has_x = dense(rx, ex, sx, len(x))
+        share_y, has_y = (share_x, has_x) if x is y else dense(ry, ey, sy, len(y))
+        a += share_x @ has_y.T
+        b += has_x @ share_y.T
+    with np.errstate(divide="ignore"):
+        return 1 / (1 / a + 1 / b - 1)
+
+
+def links_within(lists: list, component: np.ndarray, side: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of (elements, weights) that tie together all components linked here; every pair of different components (and
+    different sides, if given) is compared, or ruled out by mass_bounds, until its components are tied."""
+    root: dict[int, int] = {}
+
+    def find(c):
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    order, out = np.argsort(component, kind="stable"), []
+    parts = [order[i : i + TILE] for i in range(0, len(order), TILE)]
+    for i, p in enumerate(parts):
+        x = [lists[r] for r in p]
+        for q in parts[i:]:
+            apart = component[p][:, None] != component[q][None, :]
+            if side is not None:
+                apart &= side[p][:, None] != side[q][None, :]
+            if not apart.any():
+                continue
+            bound = np.where(apart, mass_bounds(x, x if q is p else [lists[r] for r in q]), 0)
+            u, v = np.nonzero((np.triu(bound) if q is p else bound) >= threshold - 1e-4)
+            for at in np.argsort(-bound[u, v], kind="stable"):
+                r, t = int(p[u[at]]), int(q[v[at]])
+                a, b = find(int(component[r])), find(int(component[t]))
+                if a != b and probability_jaccard(*lists[r], *lists[t]) >= threshold - 1e-12:
+                    root[a] = b
+                    out.append((r, t))
+    return out
+
+
+def tile_linker(threshold: float):
+    """Links of a group of tiles, each (bucket, i, j): two blocks of a bucket's classes, or one with itself."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        column = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "cls", "component")}
+        e, w = table.column("elements"), table.column("weights")
+        order = np.lexsort((column["j"], column["i"], column["bucket"]))
+        key = np.stack([column[c][order] for c in ("bucket", "i", "j")])
+        edge = np.r_[np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]), len(order)]
+        u, v = [], []
+        for first, last in zip(edge[:-1], edge[1:]):
+            rows = order[first:last]
+            lists = []
+            for r in rows.tolist():
+                elements, weights = np.frombuffer(e[r].as_py(), U64), np.frombuffer(w[r].as_py(), np.float32)
+                lists.append((elements, weights.astype(np.float64) if len(weights) else np.ones(len(elements))))
+            side = column["block"][rows] if key[1, first] != key[2, first] else None
+            for a, b in links_within(lists, column["component"][rows], side, threshold):
+                u.append(int(column["cls"][rows[a]]))
+                v.append(int(column["cls"][rows[b]]))
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+    return run
+
+
+def open_links(members: DataFrame, texts: DataFrame, k: int, threshold: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(u, v): links that tie together what is linked within the buckets of ``members`` (bucket, cls, component).
+
+    A bucket's classes are dealt over blocks of about block_bytes of shingles; each two blocks meet in one task, and
+    buckets of one block share tasks. Only links leave a task, at most one for each class, never a bucket's pairs.
+    """
+    held = Stored(texts.mapInArrow(shingle_lists(k), "cls long, bytes long, elements binary, weights binary"))
+    sized = cut(members.join(held.read().select("cls", "bytes"), "cls"))
+    blocks = cut(sized.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).withColumn("blocks", F.greatest(F.ceil(F.col("bytes") / block_bytes), F.lit(1)).cast("int")))
+    packs = max(1, -(-int(blocks.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // block_bytes))
+    placed = sized.join(blocks.select("bucket", "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(packs))).otherwise(F.xxhash64("bucket", "i", "j"))
+    dealt = placed.select(tile.alias("tile"), "bucket", "i", "j", "block", "cls", "component").join(held.read().drop("bytes"), "cls")
+    found = cut(dealt.groupBy("tile").applyInArrow(tile_linker(threshold), "u long, v long"))
+    held.drop()
+    return found
+
+
+def rename(df: DataFrame, renamed: DataFrame) -> DataFrame:
+    return df.join(renamed, "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
+
+
+def united(component: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) after the links found, and (component, new) of those that changed: only components that were
+    linked just now meet, all others keep their name."""
+    at = lambda n: component.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    linked = found.join(at("u"), "u").join(at("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    renamed = cut(connected_components(linked).where("node != component").select(F.col("node").alias("component"), F.col("component").alias("new")))
+    return cut(rename(component, renamed)), renamed
+
+
+def with_open_buckets(members: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    several = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    return cut(members.join(several, "bucket", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -219,9 +320,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = SIMILA
 
     Each class is compared once. The first round ties every class of a bucket of FIRST_BANDS bands to one leader, by one
     order for all bands, so that a bucket of n gives n - 1 pairs at most and a large group of copies few for each; the
-    second does so in all buckets that hold several components then. Classes of buckets that are open after that are
-    joined exactly (open_pairs): all pairs of them in different components that can reach the threshold are verified,
-    in whatever bucket they are, so two candidates of one bucket are never left uncompared.
+    second does so in all buckets that hold several components then. Leaders leave the buckets that they have led. What
+    is in buckets that are still open is compared in blocks (open_links): all of a bucket's classes in different
+    components, so two candidates of one bucket are never left uncompared.
 
     Words: A-Z lower-cased, runs of letters, digits and characters beyond ASCII; shorter texts are one shingle. Null
     texts and texts without words link with nothing. Rows that repeat a doc_id must be the same document, which links
@@ -241,37 +342,30 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = SIMILA
     texts = Stored(named.join(F.broadcast(candidates) if small else candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     component = candidates.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
     tried = None
-    for turn in range(LEADER_ROUNDS + 1):
+    for turn in range(LEADER_ROUNDS):
         if members.isEmpty():
             break
-        if turn < LEADER_ROUNDS:
-            tied = members if turn else members.where(F.col("band") < FIRST_BANDS)
-            order = F.xxhash64(F.col("cls"), F.lit(turn))
-            leaders = tied.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "cls", "component")).alias("l")).select("bucket", F.col("l.cls").alias("leader"), F.col("l.component").alias("leader_component"))
-            pairs = tied.join(leaders, "bucket").where("component != leader_component").select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct()
-        else:
-            rest = members.select(F.col("cls").alias("doc_id")).distinct()
-            pairs = open_pairs(texts.read().join(F.broadcast(rest) if small else rest, "doc_id", "left_semi"), component, k, threshold)
+        tied = members if turn else members.where(F.col("band") < FIRST_BANDS)
+        order = F.xxhash64(F.col("cls"), F.lit(turn))
+        leaders = cut(tied.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "cls", "component")).alias("l")).select("bucket", F.col("l.cls").alias("leader"), F.col("l.component").alias("leader_component")))
+        pairs = tied.join(leaders, "bucket").where("component != leader_component").select(F.least("cls", "leader").alias("u"), F.greatest("cls", "leader").alias("v")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = cut(pairs)
         side = lambda n: texts.read().select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
         found = cut(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(verifier(k, threshold), "u long, v long"))
-        # only components that were linked just now meet again; all others keep their name
-        at = lambda n: component.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-        linked = found.join(at("u"), "u").join(at("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        renamed = cut(connected_components(linked).where("node != component").select(F.col("node").alias("component"), F.col("component").alias("new")))
-        rename = lambda df: df.join(renamed, "component", "left").withColumn("component", F.coalesce("new", "component")).drop("new")
-        component = cut(rename(component))
-        if turn == LEADER_ROUNDS:
-            break
-        members = rename(members)
-        open_buckets = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        members = cut(members.join(open_buckets, "bucket", "left_semi"))
-        tried = pairs if tried is None else cut(tried.union(pairs))
-    texts.drop()
+        component, renamed = united(component, found)
+        led = members.join(leaders.select("bucket", "leader"), "bucket", "left").where("leader IS NULL OR cls != leader").drop("leader")
+        members = with_open_buckets(rename(led, renamed))
+        tried = pairs
+    if not members.isEmpty():
+        rest = members.select(F.col("cls").alias("doc_id")).distinct()
+        few = texts.read().join(F.broadcast(rest) if small else rest, "doc_id", "left_semi")
+        component, _ = united(component, open_links(members.select("bucket", "cls", "component"), few, k, threshold))
     out = signed.read().select("doc_id", "same").join(classes, "same").join(component.withColumnRenamed("node", "cls"), "cls", "left")
-    known = out.select("doc_id", "cls", F.coalesce("component", "cls").alias("component")).dropDuplicates(["doc_id"])
+    known = cut(out.select("doc_id", "cls", F.coalesce("component", "cls").alias("component")).dropDuplicates(["doc_id"]))
+    texts.drop()
+    signed.drop()
     all_docs = docs.select("doc_id").join(known, "doc_id", "left")
     component_id = F.coalesce("component", "doc_id")
     return all_docs.select("doc_id", F.coalesce("cls", "doc_id").alias("class_id"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
