@@ -1,6 +1,6 @@
 """Operator 4: mixing sources to target weights. Hash-random keys order each source's documents, two-level prefix sums
-of token counts run over ranges of the key, and each source is cut at its exact budget, epochs repeating if needed.
-DataFrame functions only."""
+of token counts run over ranges of the key and within the range of the cut, and each source is cut at its exact budget,
+epochs repeating if needed. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from annolake.llm.common import cut
 
 #: Hexadecimal digits of the key that number its range: 16**3 ranges a source.
 RANGE_DIGITS = 3
+#: Sources whose budgets and cuts may be broadcast; those of more are joined.
+BROADCAST_SOURCES = 200_000
 
 
 def token_count(text: Column) -> Column:
@@ -46,35 +48,57 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def source_cuts(sized: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """For each source: source_size, target, epochs, and the place of the cut: __cut, the last place in the source's order
+    that gives words in the last, broken epoch, and __part, what each document at it gives; null and 0 without such an
+    epoch.
+
+    ``sized``: source, size, __place, __range. (source, range) sums come first, added up map-side; only documents of
+    the one range of each source that holds its cut are then put in order.
+    """
+    ranges = cut(sized.groupBy("source", "__range").agg(F.sum("size").alias("size")))
+    targets = source_targets(ranges, weights, cap)
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
+    budgets = cut(targets.withColumn("epochs", epochs).withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")))
+    upto = F.sum("size").over(W.partitionBy("source").orderBy("__range"))
+    joined = ranges.withColumn("upto", upto).alias("a").join(budgets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    at_cut = joined.where("upto >= rest AND upto - size < rest").select(F.col("a.source").alias("__s"), F.col("__range").alias("__r"), (F.col("rest") - F.col("upto") + F.col("size")).alias("left"))
+    near = sized.join(held(at_cut), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
+    # equal places are one: its words are shared evenly by its documents
+    places = near.groupBy("source", "__place").agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("left").alias("left"))
+    total = F.sum("words").over(W.partitionBy("source").orderBy("__place"))
+    last = places.withColumn("upto", total).where("upto >= left AND upto - words < left").select(F.col("source").alias("__s"), F.col("__place").alias("__cut"), F.expr("(left - upto + words) div n").alias("__part"))
+    return budgets.join(last, F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "source_size", "target", "epochs", "__cut", F.coalesce("__part", F.lit(0)).alias("__part"))
+
+
+def held(by_source: DataFrame) -> DataFrame:
+    """A table of one row a source, broadcast up to BROADCAST_SOURCES of them."""
+    by_source = cut(by_source)
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: str = "mix-1:", range_digits: int = RANGE_DIGITS, size: Column | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, source and any others) plus size, source_size, target, taken.
 
     ``size``: words of a document, if not those of the column text, which then need not be there.
 
     Budget of a source: its target, rounded. Whole epochs take each document once; the rest goes to the documents of
-    the least keys, and the one at the cut gives only as many words as are left. A hot source is dealt over
-    16**range_digits key ranges; sums of ranges are added up first and only then meet the documents of one range, so
-    no task holds a source. Null text has size 0; null sources are one source; null doc_ids and ids that occur again
-    are ordered by size; a table without words takes nothing; an empty table gives no rows.
+    the least keys, and the one at the cut gives only as many words as are left. Documents themselves are never
+    shuffled: sums of 16**range_digits key ranges find the range of a source's cut, the documents of that range find
+    the cut, and each document then compares its own place with it. Null text has size 0; null sources are one source;
+    null doc_ids and ids that occur again are ordered by size, and rows equal in both share their place's words evenly,
+    rounded down; a table without words takes nothing; an empty table gives no rows.
     """
     clash = {"size", "source_size", "target", "taken"}
     kept = docs.drop(*[c for c in docs.columns if c.lower() in clash])
-    sized = kept.withColumn("size", token_count(F.col("text")) if size is None else size).withColumn("__key", hash_key(F.col("doc_id"), seed)).withColumn("__range", F.substring("__key", 1, range_digits))
-    # (source, range) sums are a table of their own: the two windows below read it, not the texts
-    ranges = cut(sized.groupBy("source", "__range").agg(F.sum("size").alias("size")))
-    targets = source_targets(ranges, weights, cap)
-    before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = ranges.select("source", "__range", before.alias("__before"))
-    plan = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("__s"), F.col("__range").alias("__r"), "__before", "source_size", "target")
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
-    within = W.partitionBy("source", "__range").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__start")))
-    out = out.withColumn("__start", start).withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-    return out.select(*kept.columns, "size", "source_size", "target", "taken")
+    key = hash_key(F.col("doc_id"), seed)
+    sized = kept.withColumn("size", token_count(F.col("text")) if size is None else size).withColumn("__place", F.struct(key.alias("k"), "doc_id", "size"))
+    narrow = sized.select("source", "size", "__place", F.substring("__place.k", 1, range_digits).alias("__range"))
+    cuts = source_cuts(cut(narrow) if size is None else narrow, weights, cap)
+    out = sized.join(held(cuts.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s")))
+    part = F.when(F.col("__place") < F.col("__cut"), F.col("size")).when(F.col("__place") == F.col("__cut"), F.col("__part")).otherwise(F.lit(0))
+    taken = F.col("epochs") * F.col("size") + F.coalesce(part, F.lit(0))
+    return out.withColumn("taken", taken.cast("long")).select(*kept.columns, "size", "source_size", "target", "taken")
 
 
 # --------------------------------------------------------------------------- query
