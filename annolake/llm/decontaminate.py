@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from annolake.llm.common import U64, chunks, grams, mix, utf8, words
 
-#: Benchmark words of one block. A larger benchmark is scanned for in blocks, each broadcast (about 20 MB) for itself.
+#: Benchmark words of one block (about 20 MB). A larger benchmark is scanned for in blocks, of which a task holds one.
 BLOCK_WORDS = 1_000_000
 ADDED = ("n_words", "n_hit", "items", "runs")
 
@@ -97,17 +97,18 @@ def known_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def blocks(bench: DataFrame, n: int, k: int, most: int = BLOCK_WORDS) -> Iterator[Block]:
-    """Reads (item_id, text) row by row; the driver holds one block's text at a time."""
+    """Reads (item_id, text) row by row; the driver holds one block's text at a time. An item is never split."""
     ids, texts, size = [], [], 0
+    n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
 
     def made():
         data, at = utf8(pa.array(texts, pa.string()))
         return Block(ids, *words(data, at), n, k)
 
-    for row in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).toLocalIterator():
+    for row in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")).alias("text")).select("*", n_words).toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
-        size += row[1].count(" ") + 1
+        size += row[2] + 1
         if size >= most:
             yield made()
             ids, texts, size = [], [], 0
@@ -115,42 +116,42 @@ def blocks(bench: DataFrame, n: int, k: int, most: int = BLOCK_WORDS) -> Iterato
         yield made()
 
 
-def scanner(block, keep: list[str], schema: pa.Schema):
-    """Adds what one block finds to n_hit, items and runs of earlier ones; one narrow pass over whole texts."""
+def scanner(found: list, keep: list[str], schema: pa.Schema):
+    """Adds n_words, n_hit, items and runs by one narrow pass over whole texts. Blocks are visited in turn for each batch
+    of rows; only the present one is in memory, read again from the executor's copy of its broadcast."""
 
     def run(batches):
-        b = block.value if block is not None else None
         for batch in batches:
             data, at = utf8(batch.column("text"))
+            parts = [(first, *words(data[at[first] : at[last]], at[first : last + 1] - at[first])) for first, last in chunks(at)]
+            hits = [([], []) for _ in parts]  # (start, end) of windows; (row, item)
+            for block in found:
+                b = block.value
+                for (_, hashes, begin), (places, named) in zip(parts, hits):
+                    s, m, row, item = b.hits(hashes, begin)
+                    places.append((s, s + m))
+                    named += [(r, b.items[i]) for r, i in set(zip(row.tolist(), item.tolist()))]
+                if len(found) > 1:
+                    del b, block._value
             n_words, n_hit, items, runs = [], [], [], []
-            old_items = batch.column("items").to_pylist() if "items" in batch.schema.names else None
-            old_runs = batch.column("runs").to_pylist() if old_items is not None else None
-            for first, last in chunks(at):
-                own = at[first : last + 1] - at[first]
-                hashes, begin = words(data[at[first] : at[last]], own)
-                s, m, row, item = b.hits(hashes, begin) if b is not None else (np.zeros(0, np.int64),) * 4
+            for (_, hashes, begin), (places, named) in zip(parts, hits):
                 cover = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + m, -1)
-                got = [[] for _ in range(last - first)]
-                for r, i in sorted(set(zip(row.tolist(), item.tolist()))):
-                    got[r].append(b.items[i])
-                if old_items is not None:
-                    for r in range(last - first):
-                        got[r] += old_items[first + r]
-                        for x, y in zip(old_runs[first + r][::2], old_runs[first + r][1::2]):
-                            cover[begin[r] + x] += 1
-                            cover[begin[r] + y] -= 1
+                for s, e in places:
+                    np.add.at(cover, s, 1)
+                    np.add.at(cover, e, -1)
                 hit = np.cumsum(cover[:-1]) > 0
                 total = np.r_[0, np.cumsum(hit)]
                 counts = total[begin[1:]] - total[begin[:-1]]
-                own_runs = [[] for _ in range(last - first)]
+                n_rows = len(begin) - 1
+                own_runs, got = [[] for _ in range(n_rows)], [set() for _ in range(n_rows)]
                 for r in np.flatnonzero(counts):
                     edge = np.flatnonzero(np.diff(np.r_[False, hit[begin[r] : begin[r + 1]], False].astype(np.int8)))
                     own_runs[r] = edge.tolist()
+                for r, item in named:
+                    got[r].add(item)
                 n_words.append(np.diff(begin))
                 n_hit.append(counts)
-                items += [sorted(set(x)) for x in got]
+                items += [sorted(x) for x in got]
                 runs += own_runs
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             new = [pa.array(cat(n_words), pa.int64()), pa.array(cat(n_hit), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))]
@@ -165,7 +166,8 @@ def find_contamination(docs: DataFrame, bench: DataFrame, n: int = 10, k: int =
 
     Words: A-Z lower-cased, runs of letters, digits and characters beyond ASCII. A window is n consecutive words of an
     item, or all of a shorter one; a document word inside any occurrence of a window is hit. Documents are never
-    shuffled or gathered: each block of the benchmark is a narrow pass, so hot passages cost no more than others. Null
+    shuffled or gathered: one narrow pass visits the benchmark's blocks in turn, so hot passages cost no more than
+    others, and a task's memory doesn't grow with the benchmark. Null
     and empty texts and items have no words; repeated items count once by id; documents' own columns of the added
     names are replaced; empty tables give no rows, or rows without hits.
     """
@@ -175,13 +177,9 @@ def find_contamination(docs: DataFrame, bench: DataFrame, n: int = 10, k: int =
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     keep = docs.columns if keep is None else [c for c in keep if c in docs.columns]
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.LongType()))]
-    found = [spark.sparkContext.broadcast(b) for b in blocks(bench, n, k)] or [None]
-    out = docs.select(*dict.fromkeys([*keep, "text"]))
-    for i, block in enumerate(found):
-        columns = list(keep) if i == len(found) - 1 else list(dict.fromkeys([*keep, "text"]))
-        schema = T.StructType([docs.schema[c] for c in columns] + added)
-        out = out.mapInArrow(scanner(block, columns, to_arrow_schema(schema)), schema)
-    return out
+    found = [spark.sparkContext.broadcast(b) for b in blocks(bench, n, k)]
+    schema = T.StructType([docs.schema[c] for c in keep] + added)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scanner(found, list(keep), to_arrow_schema(schema)), schema)
 
 
 # --------------------------------------------------------------------------- query
