@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from annolake.llm.common import LOWER, U64, chunks, cut, mix, range_hashes, utf8
 
-#: Bits of each filter (4 MB). A fuller filter suspects more lines, which are then confirmed; the result is the same.
-FILTER_BITS = 1 << 25
+#: Bits of each filter: a power of two, about BITS_A_LINE for each line of LINE_CHARS characters, within these bounds
+#: (512 KB to 32 MB). A fuller filter suspects more lines, which are then confirmed; the result is the same.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
+BITS_A_LINE, LINE_CHARS = 8, 64
 SEGMENT_BYTES = 1 << 16
 SALTS = 16
 #: Repeated keys (16 bytes and a doc_id each) that may be broadcast, so that texts need no shuffle; more are joined.
@@ -173,13 +175,14 @@ def table_drops(shared, keepers, bits: int, min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = FILTER_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with the lines dropped from text, plus n_lines (before) and n_dropped.
 
     A line's key: blanks and \\t\\n\\v\\f\\r stripped at both ends, A-Z lower-cased. Keys of min_chars code points or
     more found under min_docs different doc_ids or more lose all their lines except under the largest doc_id. Rows
     with the same doc_id are one document; rows with null doc_id are one that comes before all others. Null text stays
-    null and counts as one empty line. Filters have a fixed size, broadcast once; a hot line costs one suspect row for
+    null and counts as one empty line. Filters have ``bits`` bits, by the texts' lengths if None, 32 MB at most, and are
+    broadcast once; a hot line costs one suspect row for
     each document, summed up map-side. Up to broadcast_keys confirmed keys go to the tasks with their keepers and texts
     stay where they are; beyond that, dropped keys are joined to the texts by doc_id. Empty tables give no rows; columns n_lines and n_dropped of docs are replaced.
     """
@@ -188,6 +191,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: i
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "__drop", "__id")])
     texts = docs.select("text")
+    if bits is None:
+        n_lines = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // LINE_CHARS
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(n_lines * BITS_A_LINE).bit_length()))
     parts = texts.mapInArrow(filter_builder(bits, min_chars), "segment long, once binary, twice binary")
     merged = parts.repartition("segment").mapInArrow(filter_merger, "segment long, twice binary")
     twice = np.zeros((max(1, bits // 8 // SEGMENT_BYTES), min(SEGMENT_BYTES, bits // 8)), dtype=np.uint8)
