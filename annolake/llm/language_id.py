@@ -17,22 +17,24 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS = 400
 ROUNDS = 4
 PSEUDO_COUNT = 0.1
-MAX_PIECE = 16
 #: Bytes of text whose different words are scored together.
 CHUNK = 1_000_000
-#: A run of letters is one word up to so many bytes, and several beyond.
-MAX_WORD = 32
+#: Runs of letters of training texts are one word up to so many bytes, and several, cut between characters, beyond. Runs
+#: of texts whose language is asked for are never cut.
+TRAIN_WORD = 48
+#: Places after which running probabilities of a word are brought back near 1.
+RESCALE = 8
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[128:] = True
 
 
 def vocabulary(path: str = VOCABULARY) -> list[bytes]:
-    """The pieces of a sentencepiece model as lower-case UTF-8, a word's beginning as a blank, then all single bytes."""
+    """All pieces of a sentencepiece model as lower-case UTF-8, a word's beginning as a blank, then all single bytes."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).replace("▁", " ").encode().translate(LOWER.tobytes()) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-    return sorted(p for p in pieces if 1 < len(p) <= MAX_PIECE) + [bytes([b]) for b in range(256)]
+    return sorted(p for p in pieces if len(p) > 1 and not p.isspace()) + [bytes([b]) for b in range(256)]
 
 
 class Lookup:
@@ -46,6 +48,7 @@ class Lookup:
         self.order = np.argsort(h)
         self.known = h[self.order]
         self.size = len(pieces)
+        self.lengths = sorted({1} | {len(p) for p in pieces})
 
     def ids(self, data: np.ndarray, total: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
         """The piece that data[start : start + n] is, -1 for none."""
@@ -58,21 +61,24 @@ class Lookup:
 
 
 class Words:
-    """Different words of some bytes, longest first, each after a blank if it begins a run of letters."""
+    """Different words of some bytes, longest first, each after a blank if it begins a run of letters. A word is a whole
+    run, or with ``most`` up to so many bytes of it, cut between characters."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
+    def __init__(self, data: np.ndarray, at: np.ndarray, most: int | None = None):
         data = LOWER[data]
         inside = LETTER[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[at] = True
         start = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]][: len(data)]))
         end = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False][: len(data)])) + 1
-        # long runs fall into several words
-        parts = -(-(end - start) // MAX_WORD)
+        most = most or max(1, int((end - start).max(initial=1)))
+        parts = -(-(end - start) // most)
         of = lengths_to_ids(parts)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = start[of] + nth * MAX_WORD
-        last = np.minimum(first + MAX_WORD, end[of])
+        first = start[of] + nth * most
+        for _ in range(3):  # back to where a character begins
+            first -= (nth > 0) & ((data[first] & 0xC0) == 0x80)
+        last = np.where(np.append(nth[1:] > 0, False), np.append(first[1:], 0), end[of])
         self.row = np.searchsorted(at, first, "right") - 1
         h = range_hashes(data, first, last) ^ (nth > 0).astype(U64)
         _, pick, self.word = np.unique(h, return_index=True, return_inverse=True)
@@ -95,7 +101,9 @@ class Words:
         """(end, size, words, pieces) for all pieces that end in each place of the words."""
         for i in range(1, int(self.length[0]) + 1 if len(self.length) else 1):
             live = int(np.searchsorted(-self.length, -i, "right"))
-            for n in range(1, min(i, MAX_PIECE) + 1):
+            for n in lookup.lengths:
+                if n > i:
+                    break
                 ids = lookup.ids(self.data, self.total, self.at[:live] + i - n, n)
                 w = np.flatnonzero(ids >= 0)
                 if len(w):
@@ -103,19 +111,39 @@ class Words:
 
 
 def forward(words: Words, lookup: Lookup, p: np.ndarray) -> np.ndarray:
-    """log P(word) for each word and language, over all segmentations."""
-    top = int(words.length[0]) if len(words.length) else 0
-    alpha = np.zeros((top + 1, len(words.length), p.shape[1]))
+    """log P(word) for each word and language, over all segmentations. Only as many places as the longest piece has are
+    kept, and probabilities are brought back near 1 every few places, so that words may have any length."""
+    top, ring = (int(words.length[0]) if len(words.length) else 0), lookup.lengths[-1] + 1
+    alpha = np.zeros((ring, len(words.length), p.shape[1]))
+    scale, out = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:])
     alpha[0] = 1
+
+    def ended(i):
+        first, last = np.searchsorted(-words.length, [-i, -i + 1], "left")
+        if first < last:
+            out[first:last] = np.log(alpha[i % ring, first:last]) + scale[first:last]
+        if i % RESCALE == 0 and first:
+            most = alpha[:, :first].max(0)
+            alpha[:, :first] /= most
+            scale[:first] += np.log(most)
+
+    now = 0
     for i, n, w, ids in words.steps(lookup):
-        alpha[i][w] += alpha[i - n][w] * p[ids]
-    return np.log(alpha[words.length, np.arange(len(words.length))]) if top else np.zeros((0, p.shape[1]))
+        if i != now:
+            if now:
+                ended(now)
+            alpha[i % ring, : int(np.searchsorted(-words.length, -i, "right"))] = 0
+            now = i
+        alpha[i % ring][w] += alpha[(i - n) % ring][w] * p[ids]
+    if now:
+        ended(now)
+    return out if top else np.zeros((0, p.shape[1]))
 
 
 def fit(texts: list[str], lookup: Lookup, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities by expectation maximisation: expected counts of pieces over all segmentations of the words."""
     data, at = utf8(pa.array(texts, pa.string()))
-    words = Words(data, at)
+    words = Words(data, at, TRAIN_WORD)
     count = np.bincount(words.word, minlength=len(words.length)).astype(float)
     steps = list(words.steps(lookup))
     p = np.full(lookup.size, 1.0 / lookup.size)
