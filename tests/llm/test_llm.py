@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,33 @@ def test_minhash_crowd_just_under_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 if i < 40 else i for i in own}
 
 
+def test_open_buckets_in_small_blocks(spark):
+    """Whatever the blocks, the same components are tied, and no link is below the threshold."""
+    rng = random.Random(3)
+    base = ["b%d" % i for i in range(120)]
+    docs = {}
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(120)] = "e%d" % rng.randrange(400)
+        docs[i] = " ".join(w)
+    texts = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    members = spark.createDataFrame([(b, i, i) for b in (1, 2) for i in docs], "bucket long, cls long, component long")
+    shingles = {i: shingles_of(t) for i, t in docs.items()}
+    want = {frozenset((i, j)) for i in docs for j in docs if i < j and jaccard(shingles[i], shingles[j]) >= 0.8}
+    roots = []
+    for size in (1 << 30, 9000):
+        links = [(r.u, r.v) for r in minhash.open_links(members, texts, 5, 0.8, size).collect()]
+        assert {frozenset(x) for x in links} <= want
+        root = {i: i for i in docs}
+        for u, v in links:
+            a, b = root[u], root[v]
+            root = {i: min(a, b) if r in (a, b) else r for i, r in root.items()}
+        assert all(root[min(x)] == root[max(x)] for x in want)
+        roots.append(root)
+    assert roots[0] == roots[1] and len(set(roots[0].values())) > 1
+
+
 # --------------------------------------------------------------------------- 4
 
 
@@ -420,6 +448,31 @@ def test_forward_sums_all_segmentations():
     assert abs(np.exp(language_id.forward(words, language_id.Lookup(pieces), p))[0, 0] - total(b" abc")) < 1e-12
 
 
+def test_forward_over_long_runs():
+    """Runs of any length, in any script, equal a plain sum in logarithms; pieces of any length count."""
+    pieces = language_id.vocabulary()
+    lookup = language_id.Lookup(pieces)
+    assert max(map(len, pieces)) > 16
+    p = np.random.default_rng(0).dirichlet(np.ones(lookup.size) * 0.1, 2).T
+    texts = ["日本語のテキスト" * 30, "x" * 700, "internationalisation " * 2 + "нормализованный"]
+    data, at = common.utf8(pa.array(texts))
+    words = language_id.Words(data, at)
+    got = language_id.forward(words, lookup, p)
+    table = {x: np.log(p[i]) for i, x in enumerate(pieces)}
+    for text, word in [(0, texts[0]), (1, texts[1]), (2, "нормализованный")]:
+        b = b" " + word.encode()
+        at = np.full((len(b) + 1, 2), -np.inf)
+        at[0] = 0
+        for i in range(1, len(b) + 1):
+            for n in lookup.lengths:
+                if n <= i and b[i - n : i] in table:
+                    at[i] = np.logaddexp(at[i], at[i - n] + table[b[i - n : i]])
+        mine = [got[w] for w in words.word[words.row == text] if words.length[w] == len(b)]
+        assert np.allclose(mine[0], at[-1])
+    cut = language_id.Words(data, common.utf8(pa.array(texts))[1], 48)
+    assert cut.length.max() <= 49 + 3
+
+
 # --------------------------------------------------------------------------- 9
 
 
