@@ -10,32 +10,53 @@ from pyspark.sql import functions as F
 MATCHES = "array<struct<start:int,end:int,text:string>>"
 
 
+#: Items whose places are summed up by one fold; longer lists are cut into runs of so many.
+RUN = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for each row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text>>: leftmost non-overlapping matches of a Java regular expression, in code points.
 
     The matches and the pieces between them come from the same search; the running sum of their lengths is where they
-    stand. Empty matches can't be placed, so the pattern must not match the empty string.
+    stand. Texts without a match are searched once and not cut. Empty matches can't be placed, so the pattern must not
+    match the empty string.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    starts = running(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")), lambda x: F.length(x["gap"]), lambda x: F.length(x["hit"]))
-    both = F.arrays_zip(starts.alias("start"), found.alias("text"))
-    scan = F.transform(both, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
-    return F.when(text.rlike(pattern), scan).otherwise(F.array().cast(MATCHES))
+
+    def placed(found):
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        sizes = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), F.transform(found, F.length).alias("hit"))
+        starts = running(sizes, lambda x: x["gap"], lambda x: x["hit"])
+        return F.transform(F.arrays_zip(starts.alias("start"), found.alias("text")), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(MATCHES)))
 
 
 def running(items: Column, before, size) -> Column:
     """Where each of ``items`` starts if ``before(item)`` places come before it and it takes ``size(item)`` itself.
 
-    The fold's state is copied at every step, so it holds the starts as one string, which is copied as bytes; an array
-    of rows would be copied row by row.
+    A fold's state is copied at every step, so runs of RUN items are folded each for itself and then moved by what
+    comes before them: time is linear in the items, but for a part too small to tell.
     """
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + before(x)
-        return F.struct((start + size(x)).alias("at"), F.concat(acc["out"], start.cast("string"), F.lit(" ")).alias("out"))
+    def fold(items, before, size):
+        state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(acc, x):
+            start = acc["at"] + before(x)
+            return F.struct((start + size(x)).alias("at"), F.concat(acc["out"], start.cast("string"), F.lit(" ")).alias("out"))
+
+        return F.aggregate(items, state, step, lambda acc: F.struct(F.split(F.rtrim(acc["out"]), " ").cast("array<int>").alias("starts"), acc["at"].alias("n")))
+
+    def in_runs(items):
+        cut = F.transform(F.sequence(F.lit(0), (F.size(items) - 1).cast("int"), F.lit(RUN)), lambda i: fold(F.slice(items, i + 1, F.lit(RUN)), before, size))
+        return let(cut, lambda runs: F.flatten(F.transform(F.arrays_zip(runs.alias("r"), fold(runs, lambda r: F.lit(0), lambda r: r["n"])["starts"].alias("at")), lambda x: F.transform(x["r"]["starts"], lambda s: s + x["at"]))))
 
-    return F.split(F.rtrim(F.aggregate(items, state, step)["out"]), " ").cast("array<int>")
+    return let(items, lambda x: F.when(F.size(x) > RUN, in_runs(x)).when(F.size(x) > 0, fold(x, before, size)["starts"]).otherwise(F.array().cast("array<int>")))
 
 
 def quote(term: str) -> str:
@@ -71,8 +92,8 @@ def find_all(text: Column, needle: Column) -> Column:
     """Places of the leftmost non-overlapping occurrences of ``needle``; none of an empty one. The pieces between them
     are cut once, and their running length gives the places."""
     n = F.length(needle)
-    pieces = F.split(text, literal(needle), -1)
-    scan = running(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.length, lambda x: n)
+    gaps = F.transform(F.split(text, literal(needle), -1), F.length)
+    scan = let(gaps, lambda g: running(F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(0))), lambda x: x, lambda x: n))
     return F.when((n > 0) & F.contains(text, needle), scan).otherwise(F.array().cast("array<int>"))
 
 

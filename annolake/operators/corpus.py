@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annolake.operators.analytics import UNSPLIT, split_bucket
+from annolake.operators.analytics import split_bucket
 from annolake.operators.labels import filter_labels, map_labels
 
 RANGES = 256
@@ -244,4 +244,3 @@ def unique_names(df: DataFrame, base: str, order: list[str], name: str = "stem")
     return d.withColumn(name, F.when(F.col("__nth") == 0, F.col(base)).otherwise(F.concat(base, F.lit("__"), (F.col("__nth") + 1).cast("string")))).drop("__nth")
 
 
-UNSPLIT = UNSPLIT

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from annolake.functions.packs import PATTERN_PACKS
 from annolake.functions.text import find_all, matches, quote, squeeze, surface
 from annolake.operators.resolve import by_place, longest, overlaps
-from annolake.schema import SPANS, certain, documents, no_spans
+from annolake.schema import SPANS, certain, documents, exploded, no_spans
 
 #: Terms whose vocabulary may be broadcast; longer lists meet the tokens in a shuffle.
 BROADCAST_TERMS = 200_000
@@ -88,7 +88,7 @@ def placeholders(text: Column) -> Column:
 
 def tokens_with_places(docs: DataFrame, pattern: str = r"(?U)\w+") -> DataFrame:
     """(doc_id, n, start, end, token) of each match."""
-    return docs.select("doc_id", F.posexplode(matches(F.col("text"), pattern)).alias("n", "m")).select("doc_id", "n", "m.start", "m.end", F.col("m.text").alias("token"))
+    return exploded(docs, ["doc_id"], matches(F.col("text"), pattern), "n", "m").select("doc_id", "n", "m.start", "m.end", F.col("m.text").alias("token"))
 
 
 def term_matches(docs: DataFrame, terms: DataFrame, case_sensitive: bool = False) -> DataFrame:

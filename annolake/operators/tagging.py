@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annolake.functions.text import matches, surface
-from annolake.schema import SPANS
+from annolake.functions.text import let, matches, surface
+from annolake.schema import SPANS, exploded
 
 TOKENS = "array<struct<start:int,end:int,text:string>>"
 
@@ -17,21 +17,39 @@ def tokens(text: Column) -> Column:
     return matches(text, r"(?U)\S+")
 
 
+def _first(items: Column, ok) -> Column:
+    """The place of the first of ``items`` that is ok, all after it being so too: found by halving."""
+    half = lambda x: ((x["lo"] + x["hi"]) / 2).cast("int")
+    bounds = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    step = lambda x, _: F.when(x["lo"] >= x["hi"], x).when(ok(F.get(items, half(x))), bounds(x["lo"], half(x))).otherwise(bounds(half(x) + 1, x["hi"]))
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + 1)).cast("int"))
+    return F.aggregate(turns, bounds(F.lit(0), F.size(items)), step)["lo"]
+
+
 def bio(tokens: Column, spans: Column) -> Column:
     """A tag for each token. Spans go by start, longest first; each gives B to its first free token and I to those
-    after it, until a free token lies outside."""
-    ordered = F.transform(F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), i.alias("i"), s.alias("s")))), lambda r: r["s"])
-    free = F.transform(tokens, lambda t: F.lit("O"))
+    after it.
+
+    The tokens of a span are found by halving. Of spans that share a token the earlier one has it, so what a span gets
+    are tokens in a row, and only those, not all tokens, are looked at for each span.
+    """
+
+    def of(tokens):
+        ordered = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), i.alias("i"), s["end"].alias("end"), s["label"].alias("label"))))
+
+        def covered(s, rank):
+            place = F.struct(_first(tokens, lambda t: t["end"] > s["a"]).alias("lo"), _first(tokens, lambda t: t["start"] >= s["end"]).alias("hi"))
+            rows = lambda p: F.transform(F.sequence(p["lo"], p["hi"] - 1), lambda i: F.struct(i.alias("i"), rank.alias("r"), s["label"].alias("label")))
+            return let(place, lambda p: F.when(p["lo"] < p["hi"], rows(p)).otherwise(F.array().cast("array<struct<i:int,r:int,label:string>>")))
 
-    def apply(tags, s):
-        hit = lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"])
-        rows = F.arrays_zip(tokens.alias("t"), tags.alias("g"))
-        # spans touch consecutive tokens; the first free one among them begins the entity
-        first = F.array_min(F.transform(F.filter(F.transform(rows, lambda r, i: F.struct(i.alias("i"), ((r["g"] == "O") & hit(r["t"])).alias("ok"))), lambda x: x["ok"]), lambda x: x["i"]))
-        tag = lambda r, i: F.when((r["g"] == "O") & hit(r["t"]), F.concat(F.when(i == first, "B-").otherwise("I-"), s["label"])).otherwise(r["g"])
-        return F.transform(rows, tag)
+        before = lambda rows, k, field: F.when(k > 0, F.get(rows, k - 1)[field])
+        hits = F.array_sort(F.flatten(F.transform(ordered, covered)))
+        owned = let(hits, lambda h: F.filter(h, lambda x, k: (k == 0) | (before(h, k, "i") != x["i"])))
+        tag = lambda o: lambda x, k: F.concat(F.array_repeat(F.lit("O"), x["i"] - 1 - F.coalesce(before(o, k, "i"), F.lit(-1))), F.array(F.concat(F.when((k == 0) | (before(o, k, "r") != x["r"]), "B-").otherwise("I-"), x["label"])))
+        end = lambda o: F.array_repeat(F.lit("O"), F.size(tokens) - 1 - F.coalesce(F.get(o, F.size(o) - 1)["i"], F.lit(-1)))
+        return let(owned, lambda o: F.concat(F.flatten(F.transform(o, tag(o))), end(o)))
 
-    return F.aggregate(ordered, free, apply)
+    return let(tokens, of)
 
 
 def tagged(docs: DataFrame) -> DataFrame:
@@ -40,17 +58,23 @@ def tagged(docs: DataFrame) -> DataFrame:
     return d.withColumn("tags", bio(F.col("tokens"), F.col("spans")))
 
 
+#: Characters of one bin of a document: intervals meet in the bins that both reach into.
+BIN = 256
+
+
+def in_bins(df: DataFrame, start: str, end: str) -> DataFrame:
+    """``df`` with a row for each bin that [start, end) reaches into."""
+    return df.withColumn("__bin", F.explode(_bins(F.col(start), F.col(end))))
+
+
+def _bins(start: Column, end: Column) -> Column:
+    return F.sequence((start / BIN).cast("int"), ((F.greatest(end, start + 1) - 1) / BIN).cast("int"))
+
+
 def bio_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, token, tag), by an interval join of tokens and spans inside each document: for long documents, where
-    the fold over all tokens for each span would be slow."""
-    t = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("n", "t")).select("doc_id", "n", "t.start", "t.end", F.col("t.text").alias("token"))
-    s = docs.select("doc_id", F.posexplode("spans").alias("span_ord", "s")).select("doc_id", "span_ord", F.col("s.start").alias("a"), F.col("s.end").alias("b"), "s.label")
-    hit = t.join(s, "doc_id").where("start < b AND end > a")
-    owner = hit.groupBy("doc_id", "n").agg(F.min_by("span_ord", F.struct("a", F.expr("a - b"), "span_ord")).alias("span_ord"))
-    owned = owner.join(s.select("doc_id", "span_ord", "label"), ["doc_id", "span_ord"])
-    nth = F.row_number().over(W.partitionBy("doc_id", "span_ord").orderBy("n"))
-    tags = owned.withColumn("tag", F.concat(F.when(nth == 1, "B-").otherwise("I-"), F.col("label"))).select("doc_id", "n", "tag")
-    return t.join(tags, ["doc_id", "n"], "left").select("doc_id", "n", "token", F.coalesce("tag", F.lit("O")).alias("tag"))
+    """(doc_id, n, token, tag): a row for each token and its tag, without a shuffle."""
+    rows = let(tokens(F.col("text")), lambda t: F.arrays_zip(F.transform(t, lambda x: x["text"]).alias("token"), bio(t, F.col("spans")).alias("tag")))
+    return exploded(docs, ["doc_id"], rows, "n", "t").select("doc_id", "n", "t.token", "t.tag")
 
 
 def tag_list(docs: DataFrame) -> DataFrame:
@@ -91,9 +115,11 @@ def entities_of_rows(rows: DataFrame) -> DataFrame:
 
 def token_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """The first span (by start, end, label) that holds each token; hyphens in labels become underscores."""
-    s = spans.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"), "label")
-    hit = tokens.join(s, "doc_id", "left").withColumn("in", F.coalesce((F.col("a") <= F.col("start")) & (F.col("end") <= F.col("b")), F.lit(False)))
-    return hit.groupBy(*tokens.columns).agg(F.translate(F.min_by("label", F.when(F.col("in"), F.struct("a", "b", "label"))), "-", "_").alias("label"))
+    s = in_bins(spans.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"), "label"), "a", "b")
+    of = tokens.select("doc_id", "start", "end").distinct().withColumn("__bin", (F.col("start") / BIN).cast("int"))
+    hit = of.join(s, ["doc_id", "__bin"]).where("a <= start AND end <= b")
+    best = hit.groupBy("doc_id", "start", "end").agg(F.translate(F.min_by("label", F.struct("a", "b", "label")), "-", "_").alias("label"))
+    return tokens.join(best, ["doc_id", "start", "end"], "left").select(*tokens.columns, "label")
 
 
 def merge_adjacent(docs: DataFrame, labels: tuple[str, ...] = ("NAME", "PATIENT")) -> DataFrame:
@@ -118,7 +144,8 @@ def without_repeats(text: Column) -> Column:
 def token_confidence(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """A span's confidence is the mean of the tokens that it overlaps."""
     t = tokens.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"), F.col("confidence").alias("c"))
-    hit = spans.drop("confidence").join(t, "doc_id").where("a < end AND b > start")
+    once = F.greatest((F.col("a") / BIN).cast("int"), (F.col("start") / BIN).cast("int")) == F.col("__bin")  # the first bin that both reach into
+    hit = in_bins(spans.drop("confidence"), "start", "end").join(in_bins(t, "a", "b"), ["doc_id", "__bin"]).where("a < end AND b > start").where(once)
     return hit.groupBy("doc_id", "start", "end", "label").agg(F.avg("c").alias("confidence"))
 
 

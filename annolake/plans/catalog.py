@@ -773,7 +773,8 @@ _TOK = r"""t AS (SELECT doc_id, i // 2 - 1 AS n, CAST(st AS INTEGER) AS "start",
 
 @query(
     "bio_tags",
-    f"""WITH {PRED_SQL}, {_TOK}, h AS (SELECT t.doc_id, n, span_ord, label FROM t JOIN pred p ON t.doc_id = p.doc_id AND t."start" < p."end" AND t."end" > p."start" QUALIFY row_number() OVER (PARTITION BY t.doc_id, n ORDER BY p."start", p."start" - p."end", span_ord) = 1),
+    f"""WITH {PRED_SQL}, {_TOK}, tc AS (SELECT doc_id, n, unnest(range("start", "end")) AS pos FROM t), pc AS (SELECT doc_id, span_ord, label, "start" AS a, "start" - "end" AS k, unnest(range("start", "end")) AS pos FROM pred),
+    h AS (SELECT doc_id, n, span_ord, label FROM (SELECT DISTINCT doc_id, n, span_ord, label, a, k FROM tc JOIN pc USING (doc_id, pos)) QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY a, k, span_ord) = 1),
     g AS (SELECT doc_id, n, CASE WHEN row_number() OVER (PARTITION BY doc_id, span_ord ORDER BY n) = 1 THEN 'B-' ELSE 'I-' END || label AS tag FROM h)
     SELECT t.doc_id, CAST(t.n AS INTEGER) AS n, token, coalesce(tag, 'O') AS tag FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.n = g.n""",
 )

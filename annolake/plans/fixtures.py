@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.operators import detect
+from annolake.sources.readers import spread
 
 PRED = {"NAME": [r"[A-Z][a-z]+ed[a-z]* [a-z]+"], "CITY": [r"[a-z]+ion[a-z]*\. "], "DATE": [r"the [a-z]{3,4}ed"], "ID": [r"[0-9]+"], "EMAIL": [r"[a-z0-9._]+@[a-z0-9.]+[a-z]"]}
 GOLD = {"NAME": [r"[A-Z][a-z]+ed[a-z]*"], "PLACE": [r"[a-z]+ion[a-z]*\. "], "DATE": [r"the [a-z]{3}ed"], "ID": [r"[0-9]{2,}"], "EMAIL": [r"[a-z0-9._]+@[a-z0-9.]+[a-z]"]}
 
 
 def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
 
 
 def pred(spark, sf_dir):

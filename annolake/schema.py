@@ -29,9 +29,15 @@ def documents(df: DataFrame) -> DataFrame:
     return df.withColumn("spans", no_spans()) if "spans" not in df.columns else df
 
 
+def exploded(docs: DataFrame, keep: list[str], items: Column, place: str, item: str) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and a row for each of ``items``, with its place. The outer form, as for the plain one
+    Spark filters on the array's size first and so computes what makes the array a second time."""
+    return docs.select(*keep, F.posexplode_outer(items).alias(place, item)).where(F.col(place).isNotNull())
+
+
 def flat(docs: DataFrame, spans: str = "spans") -> DataFrame:
     """(doc_id, span_ord, start, end, label, confidence, source): one row for each span, in list order."""
-    return docs.select("doc_id", F.posexplode(spans).alias("span_ord", "s")).select("doc_id", "span_ord", "s.*")
+    return exploded(docs, ["doc_id"], F.col(spans) if isinstance(spans, str) else spans, "span_ord", "s").select("doc_id", "span_ord", "s.*")
 
 
 def nested(docs: DataFrame, spans: DataFrame) -> DataFrame:

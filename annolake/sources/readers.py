@@ -19,6 +19,13 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
     return checked(d.select(F.col("document.id").alias("doc_id"), F.col("document.text").alias("text"), F.coalesce("document.metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.coalesce("spans", no_spans()).alias("spans")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over the cores if its files give fewer than two tasks a core: a file of one row group is read by
+    one task, whatever its size. Tables of many row groups stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
