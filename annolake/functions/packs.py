@@ -149,6 +149,48 @@ STRATEGY_OF_LABEL = {
     "HOSPITAL": "Organization", "ORGANIZATION": "Organization", "AGE": "Age", "COUNTRY": "Country", "STATE": "State", "URL": "URL",
 }
 
+GENERIC_STRATEGIES = {"NAME": "Name", "EMAIL": "Email", "PHONE": "Phone", "ADDRESS": "Address", "DATE": "Date", "ID": "ID", "LOCATION": "Address", "ORGANIZATION": "Organization", "URL": "URL"}
+
+# --------------------------------------------------------------------------- model labels
+
+#: What an analyzer calls an entity, and the label that it gets.
+ENTITY_LABELS = {
+    "PERSON": "NAME",
+    "DATE_TIME": "DATE",
+    "PHONE_NUMBER": "PHONE",
+    "EMAIL_ADDRESS": "EMAIL",
+    "LOCATION": "LOCATION",
+    "MEDICAL_LICENSE": "ID",
+    "US_SSN": "ID",
+    "IP_ADDRESS": "ID",
+}
+
+#: What a recognition model calls an entity, and what the analyzer does.
+MODEL_ENTITIES = {
+    "PER": "PERSON",
+    "PERSON": "PERSON",
+    "NORP": "NRP",
+    "FAC": "FACILITY",
+    "LOC": "LOCATION",
+    "GPE": "LOCATION",
+    "LOCATION": "LOCATION",
+    "ORG": "ORGANIZATION",
+    "ORGANIZATION": "ORGANIZATION",
+    "DATE": "DATE_TIME",
+    "TIME": "DATE_TIME",
+    "AGE": "AGE",
+    "ID": "ID",
+    "EMAIL": "EMAIL",
+    "PATIENT": "PERSON",
+    "STAFF": "PERSON",
+    "HCW": "PERSON",
+    "HOSP": "ORGANIZATION",
+    "HOSPITAL": "ORGANIZATION",
+    "PATORG": "ORGANIZATION",
+    "FACILITY": "LOCATION",
+    "PHONE": "PHONE_NUMBER",
+}
+
 # --------------------------------------------------------------------------- packs and registries
 
 
@@ -195,4 +237,4 @@ RISK_PROFILES = Registry(
     clinical_phi=RiskProfile("clinical_phi", RISK_WEIGHTS, {f"{i:02d}": (n, i != 17) for i, n in enumerate(HIPAA, 1)}, {k: tuple(f"{i:02d}" for i in v) for k, v in HIPAA_OF_LABEL.items()}),
     generic_pii=RiskProfile("generic_pii", {}, {k: (v, True) for k, v in GENERIC_COVERAGE.items()}, GENERIC_OF_LABEL),
 )
-SURROGATE_PACKS = Registry("surrogate pack", clinical_phi=STRATEGY_OF_LABEL)
+SURROGATE_PACKS = Registry("surrogate pack", clinical_phi=STRATEGY_OF_LABEL, generic_pii=GENERIC_STRATEGIES)

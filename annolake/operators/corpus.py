@@ -167,9 +167,10 @@ def flatten_source(docs: DataFrame, index: int, prefix: str = "s", provenance: b
     return out if provenance else out.drop("original_id", "original_split")
 
 
-def merge(sources: list[DataFrame]) -> DataFrame:
-    """All sources; their order is theirs."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+def merge(sources: list[DataFrame], shuffle: bool = False, seed: int = 42) -> DataFrame:
+    """All sources; their order is theirs, or with ``shuffle`` by the hash of seed and id."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    return out.orderBy(shuffle_key(F.col("doc_id"), seed), "doc_id") if shuffle else out
 
 
 def interleave(sources: DataFrame, source: str = "source_index", order: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.functions.packs import PATTERN_PACKS
+from annolake.functions.packs import ENTITY_LABELS, MODEL_ENTITIES, PATTERN_PACKS
 from annolake.functions.text import find_all, matches, quote, squeeze, surface
 from annolake.operators.resolve import by_place, longest, overlaps
 from annolake.schema import SPANS, certain, documents, exploded, no_spans
@@ -230,6 +230,56 @@ def external(docs: DataFrame, make_detector, mapping: dict | None = None, fail_o
     return accumulate(docs, F.col("__new"), skip_overlapping).drop("__new")
 
 
+def analyzer_mapping(entities: dict | None = None, models: dict | None = None) -> dict[str, str]:
+    """Model label -> span label, by way of what the analyzer calls it; own maps replace the built-in ones."""
+    entities, models = ENTITY_LABELS if entities is None else entities, MODEL_ENTITIES if models is None else models
+    return {k: entities.get(v, v) for k, v in models.items()} | {k: v for k, v in entities.items() if k not in models}
+
+
+def label_space(model_labels: list[str], entities: dict | None = None, models: dict | None = None, built_in: tuple[str, ...] = ()) -> list[str]:
+    """The labels that a detector can give: those of its model, and ``built_in`` entities of the analyzer itself."""
+    entities, models = ENTITY_LABELS if entities is None else entities, MODEL_ENTITIES if models is None else models
+    return sorted({entities.get(e, e) for e in [models.get(x, x) for x in model_labels] + list(built_in)})
+
+
+def manifest_space(manifest: dict, entity_map: dict | None = None, label_mapping: dict | None = None) -> list[str]:
+    """The labels of a model's manifest, by its default_entity_map, ``entity_map`` over it, then ``label_mapping``,
+    in which null drops a label."""
+    known = (manifest.get("default_entity_map") or {}) | (entity_map or {})
+    found = {known.get(x, x) for x in manifest.get("labels") or []}
+    return sorted({y for x in found if (y := (label_mapping or {}).get(x, x)) is not None})
+
+
+def segmentation(requested: str, trained: str | None = None) -> str:
+    """What is asked for; ``auto`` means sentences for models trained on them, else chunks."""
+    return requested if requested != "auto" else "sentence" if trained == "sentence" else "chunk"
+
+
+def whitelist_settings(labels: dict | None = None, per_label: dict | None = None, label_mapping: dict | None = None) -> dict[str, dict]:
+    """Label -> dict(enabled, remap, terms, dictionaries) from present and older settings. Older terms and
+    dictionaries join the present ones; an older mapping renames labels that have no remap, and to null switches off."""
+    blank = lambda x: {"enabled": True, "remap": None, "terms": [], "dictionaries": []} | (x or {})
+    out = {k: blank(v) for k, v in (labels or {}).items()}
+    for label, old in (per_label or {}).items():
+        old = blank(old)
+        both = {k: sorted({*out[label][k], *old[k]}) for k in ("terms", "dictionaries")} if label in out else old
+        out[label] = out.get(label, {}) | both
+    for label, target in (label_mapping or {}).items():
+        if label in out:
+            out[label] |= {"enabled": False} if target is None else {"remap": out[label]["remap"] or target}
+    return out
+
+
+def whitelist_of(docs: DataFrame, settings: dict[str, dict], dictionaries: dict[str, list[str]] | None = None, **options) -> DataFrame:
+    """D5 by the settings of whitelist_settings; ``dictionaries``: terms of the named lists."""
+    terms: dict[str, list[str]] = {}
+    for label, s in settings.items():
+        if s["enabled"]:
+            own = [*s["terms"], *(t for d in s["dictionaries"] for t in (dictionaries or {}).get(d, ()))]
+            terms.setdefault(s["remap"] or label, []).extend(own)
+    return whitelist(docs, terms, **options)
+
+
 def llm_items(raw: Column) -> Column:
     """The first JSON list, or object, of a model's answer, fences stripped; null if there is none."""
     body = F.regexp_replace(raw, r"(?s)^.*?```(?:json)?\s*(.*?)```.*$", "$1")
@@ -246,6 +296,16 @@ def locate_strings(text: Column, items: Column) -> Column:
     return by_place(_greedy(each))
 
 
+def llm_spans(text: Column, answer: Column, labels: list[str]) -> Column:
+    """Spans of a model's JSON list, as its first item is: strings are located, offsets are taken if they are valid."""
+    items = F.from_json(answer, "array<struct<text:string,start:int,end:int,label:string,confidence:double>>")
+    first = F.get(items, 0)
+    known = F.filter(items, lambda x: x["label"].isin(labels) & (F.length(x["text"]) > 0))
+    located = locate_strings(text, F.transform(known, lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"))))
+    offsets = F.transform(items, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), x["confidence"].alias("confidence"), F.lit("llm_ner").alias("source")))
+    return F.coalesce(F.when(first["text"].isNotNull(), located).when(first["start"].isNotNull() & first["end"].isNotNull(), by_place(valid_llm_spans(offsets.cast(SPANS), text, labels))), no_spans())
+
+
 def valid_llm_spans(spans: Column, text: Column, labels: list[str]) -> Column:
     """Whole offsets within the text, and an allowed label."""
     return F.filter(spans, lambda s: s["start"].isNotNull() & s["end"].isNotNull() & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)) & s["label"].isin(labels))

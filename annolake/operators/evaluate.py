@@ -178,3 +178,25 @@ def tag_report(tags: DataFrame) -> DataFrame:
     p = tags.groupBy(F.col("pred").alias("tag")).agg(F.count("*").alias("n"))
     both = g.join(p, "tag", "full_outer").select("tag", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("support", "tp", "n")])
     return prf(both.select("tag", "support", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn")))
+
+
+def remapped_tags(tags: DataFrame, mode: str = "bio") -> DataFrame:
+    """(gold, pred) tags as they are (bio), without B- and I- (token), or as O and PHI (binary)."""
+    if mode == "bio":
+        return tags
+    kind = lambda c: F.when(F.col(c) == "O", "O").otherwise(F.regexp_replace(c, "^[BIES]-", "") if mode == "token" else F.lit("PHI")).alias(c)
+    if mode not in ("token", "binary"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return tags.select(*[kind(c) if c in ("gold", "pred") else F.col(c) for c in tags.columns])
+
+
+def entity_report(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """(label, tp, fp, fn, support, precision, recall, f1) of whole entities of two tables of tag rows (doc_id, n,
+    start, end, tag), with a last row ``micro`` over all."""
+    from annolake.operators.tagging import entities_of_rows
+
+    side = lambda df, name: entities_of_rows(df).select("doc_id", "start", "end", "label", F.lit(name).alias("side"))
+    both = side(gold, "gold").unionByName(side(pred, "pred")).groupBy("doc_id", "start", "end", "label").agg(F.max((F.col("side") == "gold").cast("long")).alias("g"), F.max((F.col("side") == "pred").cast("long")).alias("p"))
+    counts = [F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn"), F.sum("g").alias("support")]
+    total = both.agg(*counts).select(F.lit("micro").alias("label"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn", "support")])
+    return prf(both.groupBy("label").agg(*counts).unionByName(total))

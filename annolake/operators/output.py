@@ -123,35 +123,103 @@ def rendered(docs: DataFrame, mode: str = "redacted", **options) -> DataFrame:
 
 # --------------------------------------------------------------------------- placeholders of clinical notes
 
-#: What a placeholder says, in order, and the label that it gets; other placeholders are removed.
+MONTHS = "january february march april may june july august september october november december".split()
+#: What a placeholder says in lower case, as regular expressions in the order in which they are tried, the
+#: kind that it then is, and that kind's label; kinds without a label are removed.
 PLACEHOLDER_RULES = (
-    (r"(?i)date range|\d{4}-\d{1,2}-\d{1,2}|\d{1,2}-\d{1,2}|\bmonth\b|\byear\b|\bday\b", "DATE"),
-    (r"(?i)first name|last name|\bname\b|initials", "NAME"),
-    (r"(?i)hospital", "HOSPITAL"),
-    (r"(?i)telephone|phone|fax|pager|contact", "PHONE"),
-    (r"(?i)e-?mail|url|number|\bid\b|identifier|ssn|medical record|unit no|account|clip|job", "ID"),
-    (r"(?i)age over", "AGE"),
-    (r"(?i)street|address|location|city|state|country|zip|university|company", "LOCATION"),
+    (r"first", "first name", "NAME"),
+    (r"last", "last name", "NAME"),
+    (r"phone|fax|telephone", "phone number", "PHONE"),
+    (r"pager", "pager number", "PHONE"),
+    (r"e-mail|email", "e-mail", "EMAIL"),
+    (r"url", "url", "URL"),
+    (r"social security", "social security number", "ID"),
+    (r"md number|medical license", "medical license number", "ID"),
+    (r"job number", "job id", "ID"),
+    (r"medical record number|mrn", "medical record number", "ID"),
+    (r"unit number", "unit number", "ID"),
+    (r"serial number", "serial number", "ID"),
+    (r"clip number", "clip number", "ID"),
+    (r"numeric identifier", "numeric id", "ID"),
+    (r"hospital ward", "hospital ward", "HOSPITAL"),
+    (r"hospital unit", "hospital unit", "HOSPITAL"),
+    (r"hospital", "hospital", "HOSPITAL"),
+    (r"university|college", "university", "ORGANIZATION"),
+    (r"company", "company", "ORGANIZATION"),
+    (r"apartment address", "apartment address", "LOCATION"),
+    (r"street address", "street address", "LOCATION"),
+    (r"po box", "po box", "LOCATION"),
+    (r"location", "location", "LOCATION"),
+    (r"country", "country", "COUNTRY"),
+    (r"state", "state", "STATE"),
+    (r"date range", "date range", "DATE"),
+    (r"month \(only\)", "month only", "DATE"),
+    (r"month/day/year", "full date", "DATE"),
+    (r"month/day", "month day", "DATE"),
+    (r"month/year", "month year", "DATE"),
+    (r"month day", "month day alpha", "DATE"),
+    (r"day month", "day month alpha", "DATE"),
+    (r"month year", "month year alpha", "DATE"),
+    (r"year month", "year month alpha", "DATE"),
+    (r"(?s)(?=.*\b\d{4}\b).*(?:" + "|".join(MONTHS) + ")", "month year", "DATE"),
+    ("|".join(MONTHS), "month only", "DATE"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}\b", "full date", "DATE"),
+    (r"^\d{1,2}-\d{1,2}$", "month day", "DATE"),
+    (r"^\d{1,2}/\d{4}$", "month year", "DATE"),
+    (r"(?s)(?=.*90).*age", "age over 90", "AGE"),
+    (r"age|^\d{1,2}$", "age", "AGE"),
+    (r"year|^(?:19|20|21|22)\d\d$", "year", "DATE"),
+    (r"name", "full name", "NAME"),
+    (r"dictator info", "dictator info", "NAME"),
+    (r"attending info", "attending info", "NAME"),
+    (r"cc contact info", "cc contact info", "NAME"),
+    (r"holiday", "holiday", "DATE"),
+    (r"^\d{3,}$|number|id", "numeric id", "ID"),
+    (r"^\d[\d/.-]*\d$", "full date", "DATE"),
+    (r"^$", "blank", None),
 )
 
 
+def placeholder_kind(content: Column) -> Column:
+    """What a [** **] placeholder stands for, ``other`` if no rule fits."""
+    said = F.lower(F.trim(content))
+    out = F.lit("other")
+    for pattern, kind, _ in reversed(PLACEHOLDER_RULES):
+        out = F.when(said.rlike(pattern), kind).otherwise(out)
+    return out
+
+
 def placeholder_label(content: Column) -> Column:
     """The label of a [** **] placeholder, null for none."""
-    out = F.lit(None).cast("string")
-    for pattern, label in reversed(PLACEHOLDER_RULES):
-        out = F.when(content.rlike(pattern), label).otherwise(out)
-    return out
+    labels = F.create_map(*[F.lit(x) for kind, label in {k: v for _, k, v in PLACEHOLDER_RULES}.items() if label for x in (kind, label)])
+    return F.get(F.transform(F.array(placeholder_kind(content)), lambda kind: F.try_element_at(labels, kind)), F.lit(0))
 
 
 def fill_placeholders(docs: DataFrame, seed: int = 42) -> DataFrame:
     """Placeholders become surrogates under spans; unknown ones vanish without one; then newlines become blanks."""
     text = F.col("text")
-    found = F.transform(matches(text, r"\[\*\*[^*]+\*\*\]"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), placeholder_label(m["text"]).alias("label"), F.lit(None).cast("double").alias("confidence"), F.lit("placeholder").alias("source"))).cast(SPANS)
+    found = F.transform(matches(text, r"\[\*\*[^*]+\*\*\]"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), placeholder_label(F.substring(m["text"], 4, F.length(m["text"]) - 6)).alias("label"), F.lit(None).cast("double").alias("confidence"), F.lit("placeholder").alias("source"))).cast(SPANS)
     out = replaced(text, found, lambda s: F.when(s["label"].isNull(), "").otherwise(surrogate(s["label"], F.concat(F.col("doc_id").cast("string"), surface(text, s["start"], s["end"])), seed)))
     done = docs.withColumn("__out", out)
     return done.withColumn("text", F.translate("__out.text", "\n\r", "  ")).withColumn("spans", F.filter("__out.spans", lambda s: s["label"].isNotNull())).drop("__out")
 
 
+#: Surface forms of names in notes, and how many of a hundred names have each.
+NAME_FORMS = (("full_title", 45), ("last_only", 20), ("title_last", 15), ("initial_title", 12), ("full_lower", 8))
+TITLES = ("Dr.", "Mr.", "Ms.", "Mrs.")
+
+
+def made_up_name(key: Column, seed: int = 42) -> Column:
+    """struct<form, name>: a name in one of the surface forms, picked by the hash of ``key``."""
+    h = lambda i: F.xxhash64(F.lit(seed), key, F.lit(i))
+    first, last = _pick(FIRST, h(1)), _pick(LAST, h(2))
+    draw, form, upto = F.pmod(h(3), F.lit(100)), F.lit(NAME_FORMS[-1][0]), 100
+    for name, share in reversed(NAME_FORMS):
+        form, upto = F.when(draw < upto, name).otherwise(form), upto - share
+    as_said = lambda f: F.when(f == "full_title", F.concat_ws(" ", first, last)).when(f == "last_only", last).when(f == "title_last", F.concat_ws(" ", _pick(list(TITLES), h(4)), last)).when(f == "initial_title", F.concat(F.substring(first, 1, 1), F.lit(". "), last)).otherwise(F.lower(F.concat_ws(" ", first, last)))
+    return F.struct(form.alias("form"), as_said(form).alias("name"))
+
+
 def identity(docs: DataFrame, seed: int = 42) -> DataFrame:
     """A made-up name, record number and age (normal around 62 with deviation 18, 1 to 89) for each document."""
     h = lambda i: F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.lit(i))

@@ -54,6 +54,14 @@ def brat(spark: SparkSession, path: str, prefix: str = "", split: str | None = N
     return texts.join(anns, "stem").select(F.concat(F.lit(prefix), "stem").alias("doc_id"), "text", meta.alias("metadata"), "spans")
 
 
+def brat_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A3 of what writers.brat writes: a folder for each stem, whose one part file is the text, or the annotations."""
+    stem = F.url_decode(F.regexp_extract("path", r"/stem=([^/]+)/", 1))
+    texts = _files(spark, f"{path}/txt/*/*.txt").select(stem.alias("doc_id"), F.regexp_replace("content", r"\n\z", "").alias("text"))
+    anns = _files(spark, f"{path}/ann/*/*.txt").select(stem.alias("doc_id"), brat_spans(F.col("content")).alias("spans"))
+    return texts.join(anns, "doc_id").select("doc_id", "text", F.create_map().cast("map<string,string>").alias("metadata"), "spans")
+
+
 def brat_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A4: subfolders named as splits give metadata.split and ids {split}__{stem}; without any, the folder itself."""
     texts = _files(spark, f"{path}/{{{','.join(SPLITS)}}}/*.txt") if _has_splits(spark, path) else None

@@ -39,6 +39,26 @@ def brat(docs: DataFrame, path: str, split: str | None = None) -> None:
     named.select(*parts, F.array_join(line, "\n").alias("value")).write.partitionBy(*parts).text(f"{path}/ann")
 
 
+def brat_files(docs: DataFrame, path: str, split: str | None = None) -> None:
+    """<stem>.txt and <stem>.ann as other tools read them, in a folder that all executors mount. Each task
+    writes its own documents; a task that runs again writes the same files again."""
+    import os
+
+    base = docs.withColumn("__base", stem(F.col("doc_id")))
+    line = F.transform("spans", lambda s, i: F.concat(F.lit("T"), (i + 1).cast("string"), F.lit("\t"), s["label"], F.lit(" "), s["start"].cast("string"), F.lit(" "), s["end"].cast("string"), F.lit("\t"), F.translate(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), "\n", " "), F.lit("\n")))
+    rows = unique_names(base, "__base", ["doc_id"], "stem").select(F.col(split).alias("split") if split else F.lit("").alias("split"), "stem", F.coalesce("text", F.lit("")).alias("text"), F.array_join(line, "").alias("ann"))
+
+    def put(part):
+        for r in part:
+            at = os.path.join(path, r["split"] or "")
+            os.makedirs(at, exist_ok=True)
+            for ext, value in (("txt", r["text"]), ("ann", r["ann"])):
+                with open(os.path.join(at, f"{r['stem']}.{ext}"), "w", encoding="utf-8", newline="") as f:
+                    f.write(value)
+
+    rows.foreachPartition(put)
+
+
 def export(docs: DataFrame, path: str, kind: str) -> None:
     """doc_id, original_text, output_text, spans_json, span_count as text, json, jsonl, csv or parquet."""
     t = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("original_text"), "output_text", F.to_json("spans").alias("spans_json"), F.size("spans").alias("span_count"))
