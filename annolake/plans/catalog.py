@@ -192,7 +192,13 @@ def accumulate_skip(s, d):
     return _rows(detect.regex_ner(fixtures.gold(s, d), PRED, dedupe=False, skip_overlapping=True, flags=""))
 
 
-@query("propagate")
+@query(
+    "propagate",
+    f"""WITH {PRED_SQL}, seed AS (SELECT DISTINCT doc_id, surface, label FROM pred WHERE label IN ('NAME', 'EMAIL', 'DATE') AND coalesce(confidence, 1) >= 0.5),
+    part AS (SELECT doc_id, surface, label, unnest(p) AS x, generate_subscripts(p, 1) AS k, len(p) AS n FROM (SELECT s.*, string_split(text, surface) AS p FROM seed s JOIN documents USING (doc_id))),
+    hit AS (SELECT doc_id, label, n, k, surface, CAST(sum(length(x)) OVER (PARTITION BY doc_id, surface, label ORDER BY k) + (k - 1) * length(surface) AS INTEGER) AS st FROM part)
+    SELECT doc_id, "start", "end", label FROM pred UNION SELECT doc_id, st, CAST(st + length(surface) AS INTEGER), label FROM hit WHERE k < n""",
+)
 def propagate(s, d):
     """Emails and names to all their occurrences."""
     return _rows(detect.propagate(fixtures.pred(s, d), 0.5, ["NAME", "EMAIL", "DATE"]))
@@ -692,12 +698,14 @@ def work_and_rest(s, d):
 
 @query(
     "reassign_splits",
-    f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {MD5_SQL.format(seed=42)}, doc_id) - 1 AS r, count(*) OVER () AS n FROM documents),
-    c AS (SELECT DISTINCT CAST(floor(n * 0.7) AS BIGINT) AS a, CAST(floor(n * 0.2) AS BIGINT) AS b, n FROM r)
-    SELECT doc_id, CASE WHEN r.r < c.a THEN 'train' WHEN r.r < c.a + c.b THEN 'valid' ELSE 'test' END AS split FROM r, c""",
+    f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {MD5_SQL.format(seed=42)}, doc_id) - 1 AS r FROM documents), n AS (SELECT count(*) AS n FROM documents),
+    q AS (SELECT i, name, floor(round(n * f, 6)) AS base, round(n * f, 6) - floor(round(n * f, 6)) AS part, n FROM n, (VALUES (0, 'train', 0.7), (1, 'valid', 0.2), (2, 'test', 0.1)) v(i, name, f)),
+    g AS (SELECT i, name, base + CASE WHEN row_number() OVER (ORDER BY part DESC, i DESC) <= n - sum(base) OVER () THEN 1 ELSE 0 END AS k FROM q),
+    c AS (SELECT name, sum(k) OVER (ORDER BY i) - k AS lo, sum(k) OVER (ORDER BY i) AS hi FROM g)
+    SELECT doc_id, name AS split FROM r JOIN c ON r.r >= lo AND r.r < hi""",
 )
 def reassign_splits(s, d):
-    """M3-M5. The SQL holds for sizes that the fractions divide."""
+    """M3-M5: by largest remainders, whatever the size."""
     return corpus.reassign_splits(fixtures.docs(s, d), {"train": 0.7, "valid": 0.2, "test": 0.1}).select("doc_id", "split")
 
 
@@ -730,20 +738,19 @@ def interleave(s, d):
     return corpus.interleave(fixtures.docs(s, d), "source").select("doc_id", "source", "turn")
 
 
-@query(
-    "proportional_sample",
-    f"""SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2') QUALIFY row_number() OVER (PARTITION BY source ORDER BY {MD5_SQL.format(seed=42)}, doc_id) <= CASE source WHEN 'src1' THEN 6 ELSE 2 END""",
-)
+@query("proportional_sample", f"""SELECT doc_id, source FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY {MD5_SQL.format(seed=42)}, doc_id) <= 3""")
 def proportional_sample(s, d):
-    """8 documents of two sources, three to one."""
-    return corpus.proportional(fixtures.docs(s, d), {"src1": 3.0, "src2": 1.0}, 8).select("doc_id", "source")
+    """Of all sources alike, three documents each."""
+    docs = fixtures.docs(s, d).where("source IS NOT NULL")
+    names = [r[0] for r in docs.select("source").distinct().collect()]
+    return corpus.proportional(docs, dict.fromkeys(names, 1.0), 3 * len(names)).select("doc_id", "source")
 
 
-@query("compose_merge", "SELECT 's' || CAST(i AS VARCHAR) || '__' || CAST(doc_id AS VARCHAR) AS doc_id, CAST(i AS INTEGER) AS source_index, CAST(doc_id AS VARCHAR) AS original_id FROM documents, (VALUES (0, 'en'), (1, 'de')) v(i, l) WHERE lang = l")
+@query("compose_merge", "SELECT 's' || CAST(i AS VARCHAR) || '__' || CAST(doc_id AS VARCHAR) AS doc_id, i AS source_index, CAST(doc_id AS VARCHAR) AS original_id FROM (SELECT doc_id, CAST(CASE WHEN lang = 'en' THEN 0 WHEN lang = 'de' THEN 1 ELSE 2 END AS INTEGER) AS i FROM documents)")
 def compose_merge(s, d):
-    """M9, M10, M13, L8."""
-    docs = fixtures.docs(s, d)
-    return corpus.compose([docs.where("lang = 'en'"), docs.where("lang = 'de'")]).select("doc_id", "source_index", "original_id")
+    """Three sources that make up the table."""
+    docs = fixtures.docs(s, d).withColumn("lang", F.coalesce("lang", F.lit("")))
+    return corpus.compose([docs.where("lang = 'en'"), docs.where("lang = 'de'"), docs.where("lang NOT IN ('en', 'de')")]).select("doc_id", "source_index", "original_id")
 
 
 @query("transform_preview", f"WITH {PRED_SQL} SELECT (SELECT count(*) FROM documents) AS docs, count(*) AS spans, count(*) FILTER (WHERE label = 'ID') AS dropped, count(*) FILTER (WHERE label = 'CITY') AS renamed FROM pred")

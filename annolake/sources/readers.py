@@ -30,8 +30,16 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
-def _name(path: Column) -> Column:
-    return F.url_decode(F.regexp_extract(path, r"([^/]+)$", 1))
+def _files_with_empty(spark: SparkSession, path: str) -> DataFrame:
+    """As _files, empty files too, which Spark's table sources pass over: an .ann file without a line is a document
+    without spans. Paths aren't encoded here."""
+    sc = spark.sparkContext
+    return spark.createDataFrame(sc.wholeTextFiles(path, sc.defaultParallelism), "path string, content string")
+
+
+def _name(path: Column, encoded: bool = True) -> Column:
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    return F.url_decode(name) if encoded else name
 
 
 def brat_spans(content: Column) -> Column:
@@ -47,9 +55,9 @@ def brat_spans(content: Column) -> Column:
 
 def brat(spark: SparkSession, path: str, prefix: str = "", split: str | None = None) -> DataFrame:
     """Each .txt with the .ann of the same stem; texts without one are left out. ids are prefix and stem."""
-    stem = lambda ext: F.regexp_replace(_name(F.col("path")), rf"\.{ext}$", "")
-    texts = _files(spark, f"{path}/*.txt").select(stem("txt").alias("stem"), F.col("content").alias("text"))
-    anns = _files(spark, f"{path}/*.ann").select(stem("ann").alias("stem"), brat_spans(F.col("content")).alias("spans"))
+    stem = lambda ext: F.regexp_replace(_name(F.col("path"), False), rf"\.{ext}$", "")
+    texts = _files_with_empty(spark, f"{path}/*.txt").select(stem("txt").alias("stem"), F.col("content").alias("text"))
+    anns = _files_with_empty(spark, f"{path}/*.ann").select(stem("ann").alias("stem"), brat_spans(F.col("content")).alias("spans"))
     meta = F.create_map(F.lit("split"), F.lit(split)) if split else F.create_map().cast("map<string,string>")
     return texts.join(anns, "stem").select(F.concat(F.lit(prefix), "stem").alias("doc_id"), "text", meta.alias("metadata"), "spans")
 
@@ -64,11 +72,11 @@ def brat_parts(spark: SparkSession, path: str) -> DataFrame:
 
 def brat_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A4: subfolders named as splits give metadata.split and ids {split}__{stem}; without any, the folder itself."""
-    texts = _files(spark, f"{path}/{{{','.join(SPLITS)}}}/*.txt") if _has_splits(spark, path) else None
+    texts = _files_with_empty(spark, f"{path}/{{{','.join(SPLITS)}}}/*.txt") if _has_splits(spark, path) else None
     if texts is None:
         return brat(spark, path)
-    anns = _files(spark, f"{path}/{{{','.join(SPLITS)}}}/*.ann")
-    key = lambda ext: [F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("split"), F.regexp_replace(_name(F.col("path")), rf"\.{ext}$", "").alias("stem")]
+    anns = _files_with_empty(spark, f"{path}/{{{','.join(SPLITS)}}}/*.ann")
+    key = lambda ext: [F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("split"), F.regexp_replace(_name(F.col("path"), False), rf"\.{ext}$", "").alias("stem")]
     both = texts.select(*key("txt"), F.col("content").alias("text")).join(anns.select(*key("ann"), brat_spans(F.col("content")).alias("spans")), ["split", "stem"])
     return both.select(F.concat_ws("__", "split", "stem").alias("doc_id"), "text", F.create_map(F.lit("split"), F.col("split")).alias("metadata"), "spans")
 
