@@ -30,6 +30,22 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, i, line): the lines of files and their numbers from 0, blank lines counted. Files are read in blocks
+    as Spark splits them; lines are numbered in their block, and blocks by the lines before them."""
+    lines = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return _counted(lines, F.lit(1), "i").select("path", "block", (F.col("i") - 1).alias("i"), "line")
+
+
+def _counted(lines: DataFrame, what: Column, name: str) -> DataFrame:
+    """Adds the sum of ``what`` over a file's lines up to each, from sums of blocks and sums in a block."""
+    sums = lines.groupBy("path", "block").agg(F.sum(what).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    upto = F.sum(what).over(W.partitionBy("path", "block").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
+    joined = lines.withColumn("__upto", upto).join(sums.select("path", "block", before.alias("__before")), ["path", "block"])
+    return joined.withColumn(name, F.col("__before") + F.col("__upto")).drop("__before", "__upto")
+
+
 def _files_with_empty(spark: SparkSession, path: str) -> DataFrame:
     """As _files, empty files too, which Spark's table sources pass over: an .ann file without a line is a document
     without spans. Paths aren't encoded here."""
@@ -154,7 +170,7 @@ def raw_texts(spark: SparkSession, path: str, kind: str, with_stem: bool = True)
     if kind in ("dir", "file"):
         files = _files(spark, f"{path}/*.txt" if kind == "dir" else path)
         return files.select(F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "").alias("doc_id"), F.col("content").alias("text"))
-    lines = _files(spark, path).select(F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "").alias("stem"), F.posexplode(F.split("content", "\n")).alias("i", "line")).where("trim(line) != ''")
+    lines = numbered_lines(spark, path).select(F.regexp_replace(_name(F.col("path")), r"\.[^.]*$", "").alias("stem"), "i", "line").where("trim(line) != ''")
     j = F.from_json("line", "struct<id:string,text:string,document:struct<id:string,text:string>>")
     name = F.concat(F.concat("stem", F.lit("_")) if with_stem else F.lit(""), F.lit("line_"), F.col("i").cast("string"))
     return lines.withColumn("j", j).select(F.coalesce("j.id", "j.document.id", name).alias("doc_id"), F.coalesce("j.text", "j.document.text").alias("text"))
@@ -163,8 +179,8 @@ def raw_texts(spark: SparkSession, path: str, kind: str, with_stem: bool = True)
 def physionet(spark: SparkSession, text_path: str, ann_path: str) -> DataFrame:
     """Records between START_OF_RECORD= and END_OF_RECORD, newlines as blanks, with annotation rows
     (record_id, begin, length, type) that lie within them."""
-    parts = F.filter(F.split("content", r"\|+END_OF_RECORD"), lambda b: F.contains(b, F.lit("START_OF_RECORD=")))
-    rec = _files(spark, text_path).select(F.explode(parts).alias("b")).select(F.regexp_extract("b", r"START_OF_RECORD=([^|\n]+)", 1).alias("record_id"), F.translate(F.regexp_replace("b", r"(?s)^.*?START_OF_RECORD=[^\n]*\n?", ""), "\n", " ").alias("text"))
+    parts = spark.read.text(text_path, lineSep="||||END_OF_RECORD").where(F.contains("value", F.lit("START_OF_RECORD=")))
+    rec = parts.select(F.regexp_replace("value", r"\|+\z", "").alias("b")).select(F.regexp_extract("b", r"START_OF_RECORD=([^|\n]+)", 1).alias("record_id"), F.translate(F.regexp_replace("b", r"(?s)^.*?START_OF_RECORD=[^\n]*\n?", ""), "\n", " ").alias("text"))
     ann = spark.read.csv(ann_path, header=True)
     span = F.struct(F.col("begin").cast("int").alias("start"), (F.col("begin").cast("int") + F.col("length").cast("int")).alias("end"), F.col("type").alias("label"), F.lit(None).cast("double").alias("confidence"), F.lit("physionet").alias("source"))
     by = ann.select("record_id", span.alias("s")).groupBy("record_id").agg(F.array_sort(F.collect_list("s")).alias("spans"))
@@ -175,7 +191,7 @@ def physionet(spark: SparkSession, text_path: str, ann_path: str) -> DataFrame:
 def sentence_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a sentence and its annotations, parted by a written-out \\t: ``LABEL: value`` or, after =>, a
     normal form that isn't used; each takes its value's first free place."""
-    lines = _files(spark, path).select(F.posexplode(F.split("content", "\n")).alias("i", "line")).where(F.contains("line", F.lit("\\t")))
+    lines = numbered_lines(spark, path).where(F.contains("line", F.lit("\\t")))
     cells = F.split("line", r"\\t")
     raw = F.flatten(F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: F.regexp_extract_all(c, F.lit(r"([A-Z_]+: [^;]+)"), F.lit(1))))
     tags = F.transform(raw, lambda x: F.struct(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[A-Z_]+: ", ""), r"=>.*$", "")).alias("value"), F.regexp_extract(x, r"^([A-Z_]+):", 1).alias("label")))
@@ -207,9 +223,9 @@ def search_terms(terms: DataFrame, text: str = "", offset: int = 0, limit: int =
 
 def conll(spark: SparkSession, path: str, token_column: int = 0, label_column: int = -1) -> DataFrame:
     """(file, n, sentence, token, tag) of lines of columns; blank and -DOCSTART- lines part sentences."""
-    lines = _files(spark, path).select("path", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    lines = numbered_lines(spark, path).withColumnsRenamed({"i": "n"}).withColumn("at", F.col("n"))
     gap = (F.trim("line") == "") | F.startswith("line", F.lit("-DOCSTART-"))
-    numbered = lines.withColumn("gap", gap).withColumn("sentence", F.sum(F.col("gap").cast("int")).over(W.partitionBy("path").orderBy("n")))
+    numbered = _counted(lines.withColumn("gap", gap), F.col("gap").cast("int"), "sentence")
     cells = F.split("line", r"\s+")
     at = lambda i: F.element_at(cells, i + 1 if i >= 0 else i)
     return numbered.where("NOT gap").select(_name(F.col("path")).alias("file"), "n", "sentence", at(token_column).alias("token"), at(label_column).alias("tag"))

@@ -129,3 +129,20 @@ def test_tag_modes(spark):
 def test_spread_keeps_rows(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id")
     assert sorted(r[0] for r in readers.spread(d).collect()) == sorted(r[0] for r in d.collect())
+
+
+def test_numbered_lines_over_blocks(spark, tmp_path):
+    """Lines keep their numbers however files are split."""
+    lines = ["" if i % 7 == 0 else "w%d O" % i for i in range(500)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path)).collect()
+        rows = readers.conll(spark, str(tmp_path)).collect()
+        assert len({r.block for r in got}) > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("a", "b"):
+        assert [r.line for r in sorted((r for r in got if r.path.endswith(f"{name}.txt")), key=lambda r: r.i)] == lines
+    assert {(r.file, r.n, r.sentence) for r in rows} == {(f"{name}.txt", i, i // 7 + 1) for name in ("a", "b") for i, x in enumerate(lines) if x}
