@@ -12,9 +12,12 @@ from annolake.llm.common import shared_dir
 
 
 def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are in no language: null text, or text without a letter. Which language it is decides
-    nothing, so that documents with letters stay even where no model could be learnt."""
-    return language_id.identify(docs).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(docs.columns)
+    """Rejects documents that the operator finds in no language (``und``): null text, or text without a letter. Where
+    no model could be learnt, ``und`` says nothing of a document, and those with letters stay."""
+    model = language_id.learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language_id.identify(docs, model).where("lang_pred != 'und'").select(docs.columns)
 
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
