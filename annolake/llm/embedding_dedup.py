@@ -21,8 +21,10 @@ MISS = 1e-4
 #: Vectors of a tile where all that is left is compared.
 TILE = 2048
 BITS = 48
-#: Vectors of one window; each is compared with all others of its window.
+#: Vectors of one window of two slots; each is compared with all others of its windows.
 WINDOW = 1024
+#: Slots (half windows) of one block, the unit of work: all but one slot in BLOCK are sent once a pass.
+BLOCK = 8
 #: Order ranges of a pass: the first bits of the key, so that no task sorts a pass by itself.
 RANGE_BITS = 10
 
@@ -76,21 +78,32 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def window_links(threshold: float):
-    """A spanning forest of the verified links of one window, as (u, v): at most one row for each vector."""
+def block_links(threshold: float):
+    """A spanning forest of the verified links of a block's neighbour windows, as (u, v): at most one row for each
+    vector. Each slot that the block owns is compared with itself and with the next slot; of each such square of
+    cosines only a forest is kept, so that a block of equal directions takes no more memory than any other."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("cls").to_numpy()
-        u, v = [], []
+        ids, slot = table.column("cls").to_numpy(), table.column("slot").to_numpy()
+        block = table.column("block")[0].as_py()
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for own, x in unit_rows(table.column("embedding")):
-            a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-            label = forest(len(own), a, b)
+            rows = {s: np.flatnonzero(slot[own] == s) for s in np.unique(slot[own])}
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, left in rows.items():
+                if s // BLOCK == block:
+                    both = np.concatenate([left, rows.get(s + 1, left[:0])])
+                    i, j = np.nonzero(x[left] @ x[both].T >= threshold)
+                    label = forest(len(both), i, j)
+                    linked = np.flatnonzero(label != np.arange(len(both)))
+                    a.append(both[linked])
+                    b.append(both[label[linked]])
+            label = forest(len(own), np.concatenate(a), np.concatenate(b))
             linked = np.flatnonzero(label != np.arange(len(own)))
             u.append(ids[own[linked]])
             v.append(ids[own[label[linked]]])
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.Table.from_arrays([pa.array(cat(u)), pa.array(cat(v))], schema=schema)
+        return pa.Table.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], schema=schema)
 
     return run
 
@@ -143,9 +156,11 @@ def sorted_passes(classes: DataFrame, threshold: float, passes: int, window: int
     bits = F.greatest(shared("under"), shared("over")) + 1
     miss = F.when(bits > BITS, 1.0).otherwise(F.greatest(1 - F.pow(F.lit(1 - math.acos(threshold) / math.pi), bits), F.lit(1e-9)))
     gain = cut(placed.join(under, ["pass", "slot"], "left").join(over, ["pass", "slot"], "left").groupBy("cls").agg(F.sum(F.log(miss)).alias("gain")))
-    # a vector stands in the window that begins at its half and in the one before
-    spread = placed.select("cls", "pass", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("win"))
-    links = spread.join(classes.select("cls", "embedding"), "cls").groupBy("pass", "win").applyInArrow(window_links(threshold), "u long, v long")
+    # a block owns BLOCK slots and borrows the slot after them: pairs of slots side by side meet in exactly one block
+    block = F.floor(F.col("slot") / BLOCK).cast("long")
+    borrowed = F.when((F.col("slot") % BLOCK == 0) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    spread = placed.select("cls", "pass", "slot", F.explode(borrowed).alias("block"))
+    links = spread.join(classes.select("cls", "embedding"), "cls").groupBy("pass", "block").applyInArrow(block_links(threshold), "u long, v long")
     return cut(links.distinct()), gain
 
 
