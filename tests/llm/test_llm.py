@@ -363,6 +363,20 @@ def test_embeddings_in_a_dense_group(spark):
     assert sum(r.n_links for r in got.values()) == 120
 
 
+def test_one_pass_compares_neighbour_slots_over_the_borders_of_blocks(spark):
+    """Vectors around a circle, each near its neighbours alone: one pass in slots of two, cut into blocks, chains all."""
+    angle = np.linspace(0, np.pi / 2, 200)
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cls long, embedding array<double>")
+    links, gain = embedding_dedup.sorted_passes(df, 0.9, 1, 4, 6)
+    links = [(r.u, r.v) for r in links.collect()]
+    assert gain.count() == len(x)
+    assert all(x[u] @ x[v] >= 0.9 - 1e-12 for u, v in links)
+    label = embedding_dedup.forest(len(x), *np.array(links).T)
+    # blocks hold 16 vectors of their own: without the slot that they borrow there would be at least 13 chains
+    assert len(set(label)) == 1
+
+
 # --------------------------------------------------------------------------- 7
 
 
