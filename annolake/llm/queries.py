@@ -1,6 +1,6 @@
 """The queries of the numbered operators, and their SQL where there is one."""
 
-from annolake.llm import chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash, mixing, secrets, url_filter, warc
+from annolake.llm import centroids, chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash, mixing, secrets, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_centroid_clustering": centroids.op11_centroid_clustering,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_embedding_dedup": embedding_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
 }
