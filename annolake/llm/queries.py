@@ -1,6 +1,6 @@
 """The queries of the numbered operators, and their SQL where there is one."""
 
-from annolake.llm import centroids, chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash, mixing, secrets, url_filter, vector_codes, warc
+from annolake.llm import centroids, chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash, mixing, secrets, sharding, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_sharding": sharding.op12_sharding,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
