@@ -58,28 +58,28 @@ def cover_tree(x: np.ndarray, net: int) -> tuple[np.ndarray, CoverTree]:
     """
     f = x.astype(np.float64)
     norms = np.einsum("ij,ij->i", f, f)
-    away = lambda j: np.maximum(norms - 2 * (f @ f[j]) + norms[j], 0)
+    if 4 * norms.max() < 1 << 52:  # exact in double precision
+        away = lambda j: norms - 2 * (f @ f[j]) + norms[j]
+    else:
+        away = lambda j: ((x - x[j]) ** 2).sum(1).astype(np.float64)
     chosen, own, dist = [0], np.zeros(len(x), np.int64), [away(0)]
     nearest, level = dist[0].copy(), [np.inf]
     while len(chosen) < min(net, len(x)):
         j = int(nearest.argmax())
-        if nearest[j] <= 0 or (x[j] == x[chosen[own[j]]]).all():
+        if nearest[j] == 0:
             break
         d = away(j)
-        d[j] = 0
         level.append(np.floor(0.5 * np.log2(nearest[j])))
         chosen.append(j)
         dist.append(d)
         closer = d < nearest
         own[closer], nearest[closer] = len(chosen) - 1, d[closer]
-        own[j], nearest[j] = len(chosen) - 1, 0
     m = len(chosen)
     between, level = np.array([d[chosen] for d in dist]), np.array(level)
     parent = np.zeros(m, np.int32)
     for c in range(1, m):
         over = np.flatnonzero(level[:c] > level[c])
         parent[c] = over[between[over, c].argmin()]
-    own[chosen] = np.arange(m)
     held = np.bincount(own, minlength=m).astype(np.int32)
     size = held.copy()
     for c in range(m - 1, 0, -1):
@@ -112,6 +112,11 @@ def squared(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.nd
     return out
 
 
+def entered(tree: CoverTree, nodes: np.ndarray) -> np.ndarray:
+    """``nodes``, or their buckets where there is nothing else below them."""
+    return np.where(tree.first[nodes + 1] == tree.first[nodes], len(tree.lo) + nodes, nodes)
+
+
 def children(tree: CoverTree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which of ``nodes``, child): nodes below each, and its bucket. Nodes are numbered 0 to m - 1, buckets from m on,
     points from 2m on; a bucket's children are its points."""
@@ -120,6 +125,7 @@ def children(tree: CoverTree, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     c = nodes[node]
     n = tree.first[c + 1] - tree.first[c]
     below = tree.kids[np.repeat(tree.first[c], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    below = entered(tree, below)
     b = nodes[bucket] - m
     h = tree.held[b]
     points = 2 * m + np.repeat(tree.lo[b], h) + np.arange(h.sum()) - np.repeat(np.cumsum(h) - h, h)
@@ -141,7 +147,7 @@ def dual_tree(vectors: CoverTree, centroids: CoverTree, names: np.ndarray) -> tu
     end = lo + np.concatenate([vectors.size, vectors.held, np.ones(len(vectors.x), np.int64)])
     reach = np.concatenate([centroids.reach, np.zeros(k)])  # a bucket of centroids holds equal ones only
     point = np.concatenate([centroids.lo, centroids.lo]).astype(np.int64)
-    q, r, done = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+    q, r, done = entered(vectors, np.zeros(1, np.int64)), entered(centroids, np.zeros(1, np.int64)), []
     while len(q):
         order = np.argsort(q, kind="stable")
         q, r = q[order], r[order]
