@@ -7,6 +7,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -44,24 +45,25 @@ def read_plain(piece: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
-def turn_by_turn(template: Template) -> Template:
-    """Marks a template whose output is that of each turn by itself, end to end, so that no history is rendered again."""
-    template.turn_by_turn = True
-    return template
+def plain_turn(role: str, text: str) -> str:
+    return f"### {escape(role)}:\n{escape(text)} </turn>\n"
+
+
+#: Short turns are escaped once, however many prefixes hold them: 16,384 turns of at most 10,000 characters.
+short_turn = lru_cache(maxsize=1 << 14)(plain_turn)
 
 
-@turn_by_turn
 def plain_template(turns: list[Turn]) -> str:
     """``### role:``, the text, `` </turn>``; backslash, #, < and : of roles and texts are escaped by a backslash."""
-    return "".join(f"### {escape(role)}:\n{escape(text)} </turn>\n" for role, text in turns)
+    return "".join((short_turn if len(text) <= 10_000 else plain_turn)(role, text) for role, text in turns)
 
 
 class Renderer:
-    """The state of one conversation: its turns, the last output, and how far the whole output has come. A template
-    marked by turn_by_turn needs neither turns nor output."""
+    """The state of one conversation: its turns, the last output, and how far the whole output has come. The template is
+    handed every prefix of the turns, and each output is compared with the one before."""
 
     def __init__(self, template: Template):
-        self.template, self.alone = template, getattr(template, "turn_by_turn", False)
+        self.template = template
         self.turns: list[Turn] = []
         self.shown = ""
         self.length = 0
@@ -81,9 +83,8 @@ class Renderer:
             if whole[:at] == probe[:at] and len(whole) - tail >= at and whole[len(whole) - tail :] == probe[len(probe) - tail :]:
                 place = (start + at - stays, start + len(whole) - tail - stays)
         self.length = start + len(piece)
-        if not self.alone:
-            self.turns.append((role, text))
-            self.shown = whole
+        self.turns.append((role, text))
+        self.shown = whole
         return {"piece": piece, "dropped": dropped, "start": start, "text_start": place[0], "text_end": place[1], "rewrites": rewrites}
 
 
@@ -119,8 +120,9 @@ def format_conversations(turns: DataFrame, template: Template = plain_template,
 
     Turns go by turn, then role, then text, nulls first; null roles and texts are empty; rows with null conv_id are
     one conversation. One shuffle on conv_id and a sort within partitions. The template sees all turns so far, however
-    many: its task holds the conversation, and the work grows with the square of its turns. Templates marked by
-    turn_by_turn (plain_template) have conversations of any length stream through. An empty table gives no rows.
+    many: its task holds the conversation, and the work grows with the square of its turns (plain_template joins turns
+    that it has escaped before). Of equal turn numbers the order is that of role, then text; copies are turns of their own. An
+    empty table gives no rows.
     """
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -164,12 +166,13 @@ def digester(reader):
 # --------------------------------------------------------------------------- query
 
 
-def op5_chat_format(spark, sf_dir):
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted output."""
+def op5_chat_format(spark, sf_dir, template: Template = plain_template):
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted output. A
+    template that rewrites its output fails, as it can't be read back turn by turn."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    pieces = format_conversations(turns.unionByName(extra))
+    pieces = format_conversations(turns.unionByName(extra), template)
     # pieces stay where and as they are: what reads them back runs in the same tasks, in the same order
     return pieces.mapInArrow(digester(read_plain), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annolake.functions.text import matches as places
 from annolake.llm.common import cut
 
 #: Kind, pattern, and what a match needs; kinds in their listed order.
@@ -39,20 +40,8 @@ P_BINS = 12
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: the leftmost non-overlapping matches with their code-point places, end exclusive.
-
-    Matches and the pieces between them come from the same regular-expression search, so the lengths of both, added
-    up, are the places. The pattern must not match the empty string.
-    """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-
-    def step(acc, x):
-        s = acc["at"] + F.length(x["g"])
-        return F.struct((s + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"))
-
-    return F.aggregate(pairs, zero, step)["out"]
+    """array<struct<s, e, m>>: the leftmost non-overlapping matches with their code-point places, end exclusive."""
+    return F.transform(places(text, pattern), lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["text"].alias("m")))
 
 
 def _none() -> Column:

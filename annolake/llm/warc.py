@@ -84,6 +84,25 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     rows.select(record.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Values by lower-case name. Blanks around a value are none of it; a line that begins with a blank goes on with the
+    value before it."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t"):
+            if name is None:
+                raise ValueError("a header begins with a folded line")
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
+        elif line:
+            name, colon, value = line.partition(":")
+            name = name.strip().lower()
+            if not colon or not name:
+                raise ValueError(f"no header field: {line!r}")
+            fields[name] = value.strip()
+    return fields
+
+
 def records(read) -> object:
     """(fields, block) of each record of an uncompressed stream; ``read(n)`` gives n bytes, fewer at the end only."""
     rest = b""
@@ -104,7 +123,7 @@ def records(read) -> object:
         lines = rest[:end].decode().split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError("no WARC record where one should begin")
-        fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
+        fields = header_fields(lines[1:])
         rest = rest[end + 4 :]
         size = int(fields["content-length"])
         if not fill(size + 4) or rest[size : size + 4] != b"\r\n\r\n":
