@@ -24,8 +24,6 @@ ORGANIZATION = (
     r"Inc\.?|LLC|L\.L\.C\.|Corp\.?|Corporation|Co\.|Company|Foundation|Ltd\.?|Limited|Group|Associates|Partners|Pharmaceuticals?|Pharma|Laboratories|Labs?\.?|Industries|"
     r"Holdings|Enterprises|Solutions|Systems|Technologies|University|College|Institute|Academy|Society|Association"
 )
-NUMBER_WORD = r"(?:number|num|no|#)"
-OCTET = r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)"
 
 PATTERNS: dict[str, list[str]] = {
     "EMAIL": [
@@ -36,7 +34,7 @@ PATTERNS: dict[str, list[str]] = {
         r"\+\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}",
         r"\(\d{3}\)\s*\d{3}[-.\s]?\d{4}",
         r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b",
-        rf"(?:phone|tel|telephone|mobile|cell|cellular|pager|beeper|fax|facsimile|home\s+phone|work\s+phone|office\s+phone)\s*{NUMBER_WORD}?\s*[:#\-]?\s*(\(?\+?\d[\d\s\-\.\(\)]{{6,18}}\d)(?:\s*(?:x|ex|ext|extension)\.?\s*\(?\d+\)?)?",
+        r"(?:phone|tel|telephone|mobile|cell|cellular|pager|beeper|fax|facsimile|home\s+phone|work\s+phone|office\s+phone)\s*(?:number|num|no|#)?\s*[:#\-]?\s*(\(?\+?\d[\d\s\-\.\(\)]{6,18}\d)(?:\s*(?:x|ex|ext|extension)\.?\s*\(?\d+\)?)?",
     ],
     "DATE": [
         r"\b\d{1,2}[\-\/\.]\d{1,2}[\-\/\.]\d{2,4}\b",
@@ -73,16 +71,16 @@ PATTERNS: dict[str, list[str]] = {
         r"\b\d{1,3}\s*y[\s\.\/]\s*o\.?\b",
     ],
     "ID": [
-        rf"\b(?:mrn|medical\s+record(?:\s+{NUMBER_WORD})?|hospital\s+{NUMBER_WORD}|chart\s+{NUMBER_WORD}?|case\s+{NUMBER_WORD}|empi)\s*{NUMBER_WORD}?\s*[:#\-]?\s*([A-Za-z]?\d[\dA-Za-z\-\/]{{2,}})\b",
+        r"\b(?:mrn|medical\s+record(?:\s+(?:number|num|no|#))?|hospital\s+(?:number|num|no|#)|chart\s+(?:number|num|no|#)?|case\s+(?:number|num|no|#)|empi)\s*(?:number|num|no|#)?\s*[:#\-]?\s*([A-Za-z]?\d[\dA-Za-z\-\/]{2,})\b",
         r"\b(?:patient|subject|study|enrollment)\s+(?:id|identifier|number|#)\s*[:#\-]?\s*([A-Z0-9][A-Z0-9\-]{2,})\b",
         r"\b(?:ID|HCN|HRN|UPI)[\s:#]+([A-Z0-9][\dA-Z\-]{2,})\b",
-        rf"\b(?:account|acct|acc)\s*{NUMBER_WORD}?\s*[:#\-]?\s*(\d[\dA-Z\-]{{3,}})\b",
+        r"\b(?:account|acct|acc)\s*(?:number|num|no|#)?\s*[:#\-]?\s*(\d[\dA-Z\-]{3,})\b",
         r"\b(?:license\s+plate|plate\s+number|plate\s+#|tag\s+number)\s*[:#\-]?\s*([A-Z0-9][A-Z0-9\-]{1,7}[A-Z0-9])\b",
-        rf"\bDEA\s*{NUMBER_WORD}?\s*[:#\-]?\s*([A-Z]{{2}}\d{{7}})\b",
-        rf"\bNPI\s*{NUMBER_WORD}?\s*[:#\-]?\s*(\d{{10}})\b",
-        rf"\b(?:VIN|vehicle\s+identification\s+number)\s*{NUMBER_WORD}?\s*[:#\-]?\s*([A-HJ-NPR-Z0-9]{{17}})\b",
-        rf"\b(?:licen[cs]e|lic\.?|certificate|cert\.?)\s*{NUMBER_WORD}?\s*[:#\-]?\s*([A-Z0-9][\dA-Z\-]{{3,}})\b",
-        rf"\b(?:device\s+(?:id|number|serial|#)|serial\s+{NUMBER_WORD}|s\/n|s\.n\.|model\s+{NUMBER_WORD})\s*[:#\-]?\s*([A-Z0-9][A-Z0-9\-]{{3,}})\b",
+        r"\bDEA\s*(?:number|num|no|#)?\s*[:#\-]?\s*([A-Z]{2}\d{7})\b",
+        r"\bNPI\s*(?:number|num|no|#)?\s*[:#\-]?\s*(\d{10})\b",
+        r"\b(?:VIN|vehicle\s+identification\s+number)\s*(?:number|num|no|#)?\s*[:#\-]?\s*([A-HJ-NPR-Z0-9]{17})\b",
+        r"\b(?:licen[cs]e|lic\.?|certificate|cert\.?)\s*(?:number|num|no|#)?\s*[:#\-]?\s*([A-Z0-9][\dA-Z\-]{3,})\b",
+        r"\b(?:device\s+(?:id|number|serial|#)|serial\s+(?:number|num|no|#)|s\/n|s\.n\.|model\s+(?:number|num|no|#))\s*[:#\-]?\s*([A-Z0-9][A-Z0-9\-]{3,})\b",
         r"\bUDI[\s:#\-]+([\dA-Z\(\)\+\-]{8,})\b",
         r"\bOHIP[\s:#\-]+(\d{4}[- \/]?\d{3}[- \/]?\d{3}(?:[- \/]?[A-Z]{2})?)\b",
         r"\bSIN[\s:#\-]+(\d{3}[- \/]?\d{3}[- \/]?\d{3})\b",
@@ -93,7 +91,7 @@ PATTERNS: dict[str, list[str]] = {
         r"\b(?:ftp|ftps|file):\/\/[^\s<>\"\)\]]+",
         r"\bwww\.[a-zA-Z0-9][a-zA-Z0-9\-]*(?:\.[a-zA-Z0-9\-]+)+(?:\/[^\s<>\"\)\]]*)?",
     ],
-    "IP_ADDRESS": [rf"\b{OCTET}(?:\.{OCTET}){{3}}\b", r"\b(?:[a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}\b"],
+    "IP_ADDRESS": [r"\b(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)){3}\b", r"\b(?:[a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}\b"],
     "ORGANIZATION": [rf"\b(?:(?-i:[A-Z])[A-Za-z'\.\-]+\s+){{1,4}}(?-i:{ORGANIZATION})\b"],
     "POSTAL_CODE": [r"\b[a-zA-Z]\d[a-zA-Z][ \-]?\d[a-zA-Z]\d\b", rf"\b(?:{US_STATES})\s*[,.]?\s*(\d{{5}}(?:-\d{{4}})?)\b"],
     "ADDRESS": [
