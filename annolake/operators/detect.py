@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.packs import ENTITY_LABELS, MODEL_ENTITIES, PATTERN_PACKS
 from annolake.functions.text import find_all, matches, quote, squeeze, surface
-from annolake.operators.resolve import by_place, longest, overlaps
+from annolake.operators.resolve import by_place, flagged, flags, longest, overlaps, runs
 from annolake.schema import SPANS, certain, documents, exploded, no_spans
 
 #: Terms whose vocabulary may be broadcast; longer lists meet the tokens in a shuffle.
@@ -141,13 +141,10 @@ def blacklist_regions(text: Column, terms: list[str], patterns: list[str] = ())
     """array<struct<start, end>>: hits of terms (one word: between word edges) and patterns, merged if they touch."""
     one, many = [t for t in terms if len(t.split()) == 1], [t for t in terms if len(t.split()) > 1]
     raw = F.concat(*[F.transform(m, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for m in [literal_matches(text, one), *[literal_matches(text, [t], False) for t in many], *[matches(text, "(?iU)" + p) for p in patterns]]])
-    last = lambda acc: F.element_at(acc, -1)
-
-    def step(acc, x):
-        joined = F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end")))
-        return F.when((F.size(acc) > 0) & (x["start"] <= last(acc)["end"]), joined).otherwise(F.array_append(acc, x))
-
-    return F.aggregate(F.array_sort(raw), F.array().cast("array<struct<start:int,end:int>>"), step)
+    begin = {"reach": F.lit(-1)}
+    step = lambda acc, x: (x["start"] > acc["reach"], {"reach": F.greatest(acc["reach"], x["end"])})
+    one = lambda own: F.struct(own[0]["start"].alias("start"), F.array_max(F.transform(own, lambda x: x["end"])).alias("end"))
+    return runs(F.array_sort(raw), lambda x: flags(x, begin, step), one).cast("array<struct<start:int,end:int>>")
 
 
 def blacklist(docs: DataFrame, terms: list[str], match: str = "any_token", patterns: list[str] = (), labels: list[str] | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.functions.packs import RiskProfile
-from annolake.functions.text import overlap, ratio
+from annolake.functions.text import let, overlap, ratio
 from annolake.operators.labels import weight
+from annolake.operators.resolve import islands
 
 
 def prf(df: DataFrame) -> DataFrame:
@@ -39,49 +40,73 @@ def boundary(pred: DataFrame, gold: DataFrame, by: list[str] = ()) -> DataFrame:
     return matched(pred, gold, BOUNDARY, list(by))
 
 
-def _arrays(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides' spans of a key as arrays in list order."""
-    s = F.struct("span_ord", "start", "end", "label")
-    side = lambda df, n: df.groupBy(*keys).agg(F.array_sort(F.collect_list(s)).alias(n))
-    empty = F.array().cast("array<struct<span_ord:int,start:int,end:int,label:string>>")
-    return side(pred, "pred").join(side(gold, "gold"), keys, "full_outer").select(*keys, F.coalesce("pred", empty).alias("pred"), F.coalesce("gold", empty).alias("gold"))
+def _islands(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, island, pred, gold): spans of both sides in runs that overlap, each side's in list order. Spans of different
+    islands share no character, so whatever compares overlapping spans may go by island."""
+    side = lambda df, name: df.select("doc_id", "label", "start", "end", "span_ord", F.lit(name).alias("side"))
+    both = islands(side(pred, "pred").unionByName(side(gold, "gold")), keys, 0, touching=False)
+    own = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("span_ord", "start", "end", "label")))).alias(name)
+    return both.groupBy(*keys, "island").agg(own("pred"), own("gold"))
 
 
 def partial(pred: DataFrame, gold: DataFrame, by: list[str] = ()) -> DataFrame:
     """Predicted spans, in order, each take the free gold span of their label that they overlap most, the first of
-    equals. Different labels never meet, so the fold runs over each document's spans of one label."""
-    rows = _arrays(pred, gold, ["doc_id", "label"])
+    equals. Different labels never meet, so the fold runs over islands of one label."""
+    rows = _islands(pred, gold, ["doc_id", "label"])
     state = F.struct(F.array().cast("array<int>").alias("taken"), F.lit(0).alias("partial"))
 
     def step(acc, p):
         scored = F.transform("gold", lambda g, i: F.struct(F.when(F.array_contains(acc["taken"], i), 0).otherwise(overlap(p["start"], p["end"], g["start"], g["end"])).alias("n"), (-i).alias("i")))
-        best = F.array_max(scored)
-        g = F.get("gold", -best["i"])
-        exact = (g["start"] == p["start"]) & (g["end"] == p["end"])
-        return F.when((F.size("gold") > 0) & (best["n"] > 0), F.struct(F.array_append(acc["taken"], -best["i"]).alias("taken"), (acc["partial"] + F.when(exact, 0).otherwise(1)).alias("partial"))).otherwise(acc)
+        take = lambda b: F.struct(F.concat(acc["taken"], F.array(-b["i"])).alias("taken"), (acc["partial"] + F.when((F.get("gold", -b["i"])["start"] == p["start"]) & (F.get("gold", -b["i"])["end"] == p["end"]), 0).otherwise(1)).alias("partial"))
+        return let(F.array_max(scored), lambda b: F.when(b["n"] > 0, take(b)).otherwise(acc))
 
-    done = rows.withColumn("m", F.aggregate("pred", state, step))
+    met = (F.size("gold") > 0) & (F.size("pred") > 0)
+    done = rows.withColumn("m", F.when(met, F.aggregate("pred", state, step)).otherwise(state))
     n = F.size("m.taken")
     counted = done.select("doc_id", "label", n.alias("tp"), (F.size("pred") - n).alias("fp"), (F.size("gold") - n).alias("fn"), F.col("m.partial").alias("partial"))
     return (counted.groupBy(*by) if by else counted.groupBy()).agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "partial")])
 
 
+def tag_segments(spans: DataFrame, keys: list[str] = ("doc_id",)) -> DataFrame:
+    """(keys, start, end, label, begins): disjoint pieces of text, each with the label of the first span over it by
+    start, then length, then order; ``begins`` where that span begins, so that the first character's tag is B-.
+
+    In that order, all spans before one start no later than it does; what they cover of it is all before the farthest of
+    their ends. So a span's piece begins there, and one sorted pass over spans, not characters, finds it.
+    """
+    w = W.partitionBy(*keys).orderBy("start", F.col("start") - F.col("end"), "span_ord").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.greatest("start", F.coalesce(F.max("end").over(w), F.lit(-1)))
+    return spans.withColumn("__from", reach).where("__from < end").select(*keys, F.col("__from").alias("start"), "end", "label", (F.col("__from") == F.col("start")).alias("begins"))
+
+
 def char_tags(spans: DataFrame) -> DataFrame:
-    """(doc_id, pos, tag) of characters inside spans: B or I with the label of the first span by start, then length."""
-    each = spans.select("doc_id", "span_ord", "start", "end", "label", F.explode(F.expr("sequence(start, end - 1)")).alias("pos"))
-    order = F.struct("start", (F.col("start") - F.col("end")).alias("n"), "span_ord")
-    tag = F.concat(F.when(F.col("pos") == F.col("start"), "B-").otherwise("I-"), F.col("label"))
-    return each.groupBy("doc_id", "pos").agg(F.min_by(tag, order).alias("tag"))
+    """(doc_id, pos, tag), a row for each character inside spans, for those who need them one by one."""
+    each = tag_segments(spans).select("doc_id", "label", "begins", "start", F.explode(F.expr("sequence(start, end - 1)")).alias("pos"))
+    return each.select("doc_id", "pos", F.concat(F.when(F.col("begins") & (F.col("pos") == F.col("start")), "B-").otherwise("I-"), F.col("label")).alias("tag"))
 
 
 def characters(pred: DataFrame, gold: DataFrame, by_doc: bool = False) -> DataFrame:
-    """H5: tags compared by character; two different tags are both a false positive and a false negative."""
-    sides = char_tags(pred).select("doc_id", "pos", F.col("tag").alias("p"), F.lit(None).cast("string").alias("g")).unionByName(char_tags(gold).select("doc_id", "pos", F.lit(None).cast("string").alias("p"), F.col("tag").alias("g")))
-    both = sides.groupBy("doc_id", "pos").agg(F.max("p").alias("p"), F.max("g").alias("g"))
-    same, p, g = F.col("p") == F.col("g"), F.col("p").isNotNull(), F.col("g").isNotNull()
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    differ = p & g & ~same
-    return (both.groupBy("doc_id") if by_doc else both.groupBy()).agg(count(F.coalesce(same, F.lit(False))).alias("tp"), count((p & ~g) | F.coalesce(differ, F.lit(False))).alias("fp"), count((g & ~p) | F.coalesce(differ, F.lit(False))).alias("fn"))
+    """H5: tags compared by character; two different tags are both a false positive and a false negative. Both sides'
+    changes of tag are swept together: three rows for each segment at most, shuffled once, by document."""
+    side = lambda df, name: df.select("doc_id", "span_ord", "start", "end", "label", F.lit(name).alias("side"))
+    keys = ["doc_id", "side"]
+    seg = tag_segments(side(pred, "p").unionByName(side(gold, "g")).repartition("doc_id"), keys)
+    following = F.lead("start").over(W.partitionBy(*keys).orderBy("start"))
+    change = lambda at, tag: F.struct(at.alias("pos"), tag.alias("tag"))
+    b, i, none = F.concat(F.lit("B-"), "label"), F.concat(F.lit("I-"), "label"), F.lit("")
+    changes = F.array(
+        F.when(F.col("begins"), change(F.col("start"), b)).otherwise(change(F.col("start"), i)),
+        F.when(F.col("begins") & (F.col("end") > F.col("start") + 1), change(F.col("start") + 1, i)),
+        F.when(following.isNull() | (following > F.col("end")), change(F.col("end"), none)),
+    )
+    rows = seg.withColumn("changes", changes).select("doc_id", "side", F.explode(F.filter("changes", lambda c: c.isNotNull())).alias("c"))
+    upto = W.partitionBy("doc_id").orderBy("pos").rangeBetween(W.unboundedPreceding, W.currentRow)
+    tag = lambda name: F.coalesce(F.last(F.when(F.col("side") == name, F.col("tag")), ignorenulls=True).over(upto), F.lit(""))
+    n = F.lead("pos").over(W.partitionBy("doc_id").orderBy("pos")) - F.col("pos")
+    both = rows.select("doc_id", "side", "c.pos", "c.tag").select("doc_id", tag("p").alias("p"), tag("g").alias("g"), F.coalesce(n, F.lit(0)).alias("n"))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).cast("long")
+    p, g, same = F.col("p") != "", F.col("g") != "", F.col("p") == F.col("g")
+    return (both.groupBy("doc_id") if by_doc else both.groupBy()).agg(count(p & same).alias("tp"), count(p & ~same).alias("fp"), count(g & ~same).alias("fn"))
 
 
 def per_label(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -112,7 +137,7 @@ def low_confidence(pred: DataFrame, gold: DataFrame, below: float) -> DataFrame:
 def confusion(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """(gold_label, pred_label, n): a gold span counts under the label of the predicted span that it overlaps
     most, the first of equals, or <MISSED>; predicted spans that no gold one chose under <SPURIOUS>."""
-    rows = _arrays(pred, gold, ["doc_id"])
+    rows = _islands(pred, gold, ["doc_id"])
     best = F.transform("gold", lambda g: F.struct(g["label"].alias("label"), F.array_max(F.transform("pred", lambda p, i: F.struct(overlap(p["start"], p["end"], g["start"], g["end"]).alias("n"), (-i).alias("i")))).alias("b")))
     rows = rows.withColumn("best", best)
     hit = lambda b: F.coalesce(b["b"]["n"] > 0, F.lit(False))

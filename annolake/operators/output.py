@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.packs import SURROGATE_PACKS
-from annolake.functions.text import count_all, matches, ratio, surface
+from annolake.functions.text import count_all, let, matches, ratio, running, surface
 from annolake.operators.resolve import by_place, for_replacement
 from annolake.schema import SPANS
 
@@ -17,18 +17,19 @@ from annolake.schema import SPANS
 def replaced(text: Column, ordered: Column, new) -> Column:
     """struct<text, spans>: the text with each span replaced by ``new(span)`` and the spans where they then stand.
 
-    ``ordered`` spans must not overlap. One pass from left to right carries the place in the old text and the length
-    of the new one.
+    ``ordered`` spans must not overlap. Their new values are computed once; running lengths of these and of the texts
+    between give the new places.
     """
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("parts"), F.array().cast(SPANS).alias("spans"))
 
-    def step(acc, s):
-        value = new(s)
-        start = acc["n"] + s["start"] - acc["at"]
-        return F.struct(s["end"].alias("at"), (start + F.length(value)).alias("n"), F.concat(acc["parts"], F.array(surface(text, acc["at"], s["start"]), value)).alias("parts"), F.array_append(acc["spans"], s.withField("start", start).withField("end", start + F.length(value))).alias("spans"))
+    def put(x, values):
+        before = lambda s, i: s["start"] - F.coalesce(F.get(x, i - 1)["end"], F.lit(0))
+        sizes = F.transform(x, lambda s, i: F.struct(before(s, i).alias("gap"), F.length(F.get(values, i)).alias("n")))
+        parts = F.transform(x, lambda s, i: F.concat(surface(text, s["start"] - before(s, i), s["start"]), F.get(values, i)))
+        tail = F.substring(text, F.coalesce(F.get(x, F.size(x) - 1)["end"], F.lit(0)) + 1, F.length(text))
+        moved = let(running(sizes, lambda z: z["gap"], lambda z: z["n"]), lambda at: F.transform(x, lambda s, i: s.withField("start", F.get(at, i)).withField("end", F.get(at, i) + F.length(F.get(values, i)))))
+        return F.struct(F.concat(F.array_join(parts, ""), tail).alias("text"), moved.cast(SPANS).alias("spans"))
 
-    finish = lambda acc: F.struct(F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))).alias("text"), acc["spans"].alias("spans"))
-    return F.aggregate(ordered, state, step, finish)
+    return let(ordered, lambda x: let(F.transform(x, new), lambda values: put(x, values)))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.functions.packs import LABEL_RANKING
+from annolake.functions.text import let
 from annolake.schema import SPANS, certain, no_spans
 
 
@@ -31,16 +32,76 @@ def by_place(spans: Column) -> Column:
     return _sorted(spans, lambda s: s["start"], lambda s: s["end"], lambda s: s["label"])
 
 
-def _greedy(ordered: Column, clash=overlaps) -> Column:
-    keep = lambda acc, s: F.when(F.exists(acc, lambda k: clash(k, s)), acc).otherwise(F.array_append(acc, s))
-    return F.aggregate(ordered, F.array().cast(SPANS), keep)
+def flags(items: Column, begin: dict[str, Column], step) -> Column:
+    """array<string>: ``1`` or ``0`` for each of ``items``, by a fold. ``step`` takes the state and an item, and gives the
+    flag and the new state.
+
+    A fold copies its state at every step, arrays and rows item by item; so the state is of a few plain values, and the
+    flags are one string.
+    """
+    state = F.struct(*[v.alias(k) for k, v in begin.items()], F.lit("").alias("flags"))
+
+    def fold(acc, x):
+        flag, new = step(acc, x)
+        return F.struct(*[new[k].alias(k) for k in begin], F.concat(acc["flags"], F.when(flag, "1").otherwise("0")).alias("flags"))
+
+    return F.aggregate(items, state, fold, lambda acc: F.split(acc["flags"], ""))
+
+
+def flagged(items: Column, begin: dict[str, Column], step) -> Column:
+    """The items whose flag is set."""
+    return let(items, lambda x: let(flags(x, begin, step), lambda f: F.filter(x, lambda s, i: F.get(f, i) == "1")))
+
+
+def runs(items: Column, firsts, one) -> Column:
+    """``one(run)`` for each run of items; ``firsts(items)`` flags those that begin one, the first always."""
+    places = lambda f, x: F.filter(F.transform(x, lambda s, i: F.when((i == 0) | (F.get(f, i) == "1"), i)), lambda i: i.isNotNull())
+    cut = lambda x, first: F.transform(first, lambda a, j: let(F.slice(x, a + 1, F.coalesce(F.get(first, j + 1), F.size(x)) - a), one))
+    return let(items, lambda x: let(firsts(x), lambda f: let(places(f, x), lambda first: cut(x, first))))
+
+
+def halvings(n: Column) -> Column:
+    """The powers of two that any place among n items is made of, the largest first."""
+    return F.transform(F.sequence(F.ceil(F.log2(n + 1.0)).cast("int"), F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2), b).cast("int"))
+
+
+def halved(items: Column, n: Column, powers: Column, less) -> Column:
+    """How many of n sorted ``items`` are such that ``less`` holds, by halving; ``powers``: halvings(n), held by ``let``."""
+    return F.aggregate(powers, F.lit(0), lambda lo, p: F.when((lo + p <= n) & less(F.get(items, lo + p - 1)), lo + p).otherwise(lo))
+
+
+def _greedy(ordered: Column, within=lambda s: F.lit("")) -> Column:
+    """Of spans in order of preference those that overlap none kept before, of the same ``within``.
+
+    The ends of all spans, sorted, cut the text into pieces; ends are found among them by halving. What is taken is one
+    byte for each piece: a span is kept if its bytes are all free, which is a comparison of blocks of bytes.
+    """
+    point = lambda s, at: F.struct(within(s).alias("k"), s[at].alias("at"))
+
+    def chosen(spans):
+        points = F.array_sort(F.concat(F.transform(spans, lambda s: point(s, "start")), F.transform(spans, lambda s: point(s, "end"))))
+        return let(points, lambda p: let(F.size(p), lambda n: let(halvings(n), lambda powers: kept(spans, p, n, powers))))
+
+    def kept(spans, points, n, powers):
+        at = lambda s, end: halved(points, n, powers, lambda x: x < point(s, end))
+        pieces = F.transform(spans, lambda s: let(at(s, "start"), lambda a: F.struct(a.alias("a"), (at(s, "end") - a).alias("n"))))
+        free, full = F.repeat(F.lit("0"), n).cast("binary"), F.repeat(F.lit("1"), n).cast("binary")
+        return let(free, lambda free: let(full, lambda full: let(taken(pieces, free, full), lambda f: F.filter(spans, lambda s, i: F.get(f, i) == "1"))))
+
+    def taken(pieces, free, full):
+        def step(acc, p):
+            open_ = F.substring(acc["taken"], p["a"] + 1, p["n"]) == F.substring(free, F.lit(1), p["n"])
+            now = F.concat(F.substring(acc["taken"], F.lit(1), p["a"]), F.substring(full, F.lit(1), p["n"]), F.substring(acc["taken"], p["a"] + p["n"] + 1, F.octet_length(acc["taken"])))
+            return open_, {"taken": F.when(open_, now).otherwise(acc["taken"])}
+
+        return flags(pieces, {"taken": free}, step)
+
+    return let(ordered, lambda x: F.when(F.size(x) > 1, chosen(x)).otherwise(x))
 
 
 def _sweep(ordered: Column) -> Column:
     """Greedy selection of spans sorted by start: only the last kept one can overlap."""
-    state = F.struct(F.lit(-1).alias("end"), F.array().cast(SPANS).alias("kept"))
-    step = lambda acc, s: F.when(s["start"] < acc["end"], acc).otherwise(F.struct(s["end"].alias("end"), F.array_append(acc["kept"], s).alias("kept")))
-    return F.aggregate(ordered, state, step)["kept"]
+    return flagged(ordered, {"end": F.lit(-1)}, lambda acc, s: (s["start"] >= acc["end"], {"end": F.when(s["start"] < acc["end"], acc["end"]).otherwise(s["end"])}))
 
 
 def union(spans: Column) -> Column:
@@ -51,8 +112,7 @@ def union(spans: Column) -> Column:
 def exact_dedupe(spans: Column) -> Column:
     """the first of each (start, end, label)."""
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["label"] == b["label"])
-    step = lambda acc, s: F.when((F.size(acc) > 0) & same(F.element_at(acc, -1), s), acc).otherwise(F.array_append(acc, s))
-    return F.aggregate(by_place(spans), F.array().cast(SPANS), step)
+    return let(by_place(spans), lambda x: F.filter(x, lambda s, i: (i == 0) | ~same(F.get(x, i - 1), s)))
 
 
 def longest(spans: Column) -> Column:
@@ -105,25 +165,52 @@ def consensus(spans: Column, threshold: int = 2, groups: str = "single") -> Colu
     if groups == "single":
         voted = spans if threshold <= 1 else no_spans()
     else:
-        group = lambda s: F.coalesce(s["source"], F.lit(""))
-        others = lambda s: F.array_distinct(F.transform(F.filter(spans, lambda o: (o["label"] == s["label"]) & overlaps(o, s)), group))
-        voted = F.filter(spans, lambda s: F.size(others(s)) >= threshold)
+        voted = _voted(spans, threshold)
     ordered = _sorted(voted, lambda s: s["start"], lambda s: -_length(s))
-    return by_place(_greedy(ordered, lambda a, b: (a["label"] == b["label"]) & overlaps(a, b)))
+    return by_place(_greedy(ordered, lambda s: s["label"]))
+
+
+def _voted(spans: Column, threshold: int) -> Column:
+    """Spans that overlap ones of their label from ``threshold`` sources at least, their own counted. For each label and
+    source, the farthest end so far is written beside the spans sorted by start; the last of them that starts before a
+    span's end tells, by that end, whether any of them overlaps it."""
+    group = lambda s: F.coalesce(s["source"], F.lit(""))
+    rows = F.array_sort(F.transform(spans, lambda s: F.struct(s["label"].alias("label"), group(s).alias("source"), s["start"].alias("start"), s["end"].alias("end"))))
+    groups = F.array_distinct(F.transform(spans, lambda s: F.struct(s["label"].alias("label"), group(s).alias("source"))))
+
+    def reaches(rows):
+        state = F.struct(F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("source"), F.lit(0).alias("reach"), F.lit("").alias("out"))
+
+        def step(acc, s):
+            same = F.coalesce((acc["label"] == s["label"]) & (acc["source"] == s["source"]), F.lit(False))
+            reach = F.when(same, F.greatest(acc["reach"], s["end"])).otherwise(s["end"])
+            return F.struct(s["label"].alias("label"), s["source"].alias("source"), reach.alias("reach"), F.concat(acc["out"], reach.cast("string"), F.lit(" ")).alias("out"))
+
+        return F.aggregate(rows, state, step, lambda acc: F.when(acc["out"] == "", F.array().cast("array<int>")).otherwise(F.split(F.rtrim(acc["out"]), " ").cast("array<int>")))
+
+    def overlapped(rows, reach, powers, g, s):
+        first = F.struct(g["label"].alias("label"), g["source"].alias("source"), s["end"].alias("start"))
+        n = halved(rows, F.size(rows), powers, lambda x: F.struct(x["label"].alias("label"), x["source"].alias("source"), x["start"].alias("start")) < first)
+        last = lambda n: (F.get(rows, n - 1)["label"] == g["label"]) & (F.get(rows, n - 1)["source"] == g["source"]) & (F.get(reach, n - 1) > s["start"])
+        return let(n, lambda n: F.coalesce(last(n), F.lit(False)))
+
+    votes = lambda rows, reach, groups, powers, s: F.size(F.filter(groups, lambda g: F.when(g["label"] == s["label"], overlapped(rows, reach, powers, g, s)).otherwise(F.lit(False))))
+    return let(rows, lambda r: let(reaches(r), lambda reach: let(groups, lambda g: let(halvings(F.size(r)), lambda p: F.filter(spans, lambda s: votes(r, reach, g, p, s) >= threshold)))))
 
 
 def reconcile(spans: Column, gap: int = 1) -> Column:
     """spans of a label that overlap or come within ``gap`` characters become one: full extent, greatest
     confidence, source of the first."""
-    last = lambda acc: F.element_at(acc, -1)
+    begin = {"label": F.lit(None).cast("string"), "reach": F.lit(0)}
 
     def step(acc, s):
-        joins = (F.size(acc) > 0) & (last(acc)["label"] == s["label"]) & (s["start"] <= last(acc)["end"] + gap)
-        grown = F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"), s["label"].alias("label"), F.greatest(last(acc)["confidence"], certain(s)).alias("confidence"), last(acc)["source"].alias("source"))
-        alone = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), certain(s).alias("confidence"), s["source"].alias("source"))
-        return F.when(joins, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, alone))
+        joins = F.coalesce((acc["label"] == s["label"]) & (s["start"] <= acc["reach"] + gap), F.lit(False))
+        return ~joins, {"label": s["label"], "reach": F.when(joins, F.greatest(acc["reach"], s["end"])).otherwise(s["end"])}
+
+    def one(own):
+        return F.struct(own[0]["start"].alias("start"), F.array_max(F.transform(own, lambda s: s["end"])).alias("end"), own[0]["label"].alias("label"), F.array_max(F.transform(own, certain)).alias("confidence"), own[0]["source"].alias("source"))
 
-    return by_place(F.aggregate(_sorted(spans, lambda s: s["label"], lambda s: s["start"], lambda s: s["end"]), F.array().cast(SPANS), step))
+    return by_place(runs(_sorted(spans, lambda s: s["label"], lambda s: s["start"], lambda s: s["end"]), lambda x: flags(x, begin, step), one).cast(SPANS))
 
 
 STRATEGIES = {"union": union, "exact_dedupe": exact_dedupe, "consensus": consensus, "max_confidence": max_confidence, "longest_non_overlapping": longest, "left_to_right": left_to_right, "label_priority": label_priority}

@@ -124,16 +124,13 @@ def token_spans(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 def merge_adjacent(docs: DataFrame, labels: tuple[str, ...] = ("NAME", "PATIENT")) -> DataFrame:
     """Spans of the same one of ``labels`` that exactly one blank separates become one."""
-    from annolake.operators.resolve import by_place
+    from annolake.operators.resolve import by_place, runs
 
-    ordered = by_place(F.col("spans"))
-    last = lambda acc: F.element_at(acc, -1)
+    def joins(a, b):
+        return b["label"].isin(list(labels)) & (a["label"] == b["label"]) & (b["start"] == a["end"] + 1) & (surface(F.col("text"), a["end"], b["start"]) == " ")
 
-    def step(acc, s):
-        joins = (F.size(acc) > 0) & s["label"].isin(list(labels)) & (last(acc)["label"] == s["label"]) & (s["start"] == last(acc)["end"] + 1) & (surface(F.col("text"), last(acc)["end"], s["start"]) == " ")
-        return F.when(joins, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), last(acc).withField("end", s["end"]))).otherwise(F.array_append(acc, s))
-
-    return docs.withColumn("spans", F.aggregate(ordered, F.array().cast(SPANS), step))
+    firsts = lambda x: F.transform(x, lambda s, i: F.when(F.coalesce(joins(F.get(x, i - 1), s), F.lit(False)), "0").otherwise("1"))
+    return docs.withColumn("spans", runs(by_place(F.col("spans")), firsts, lambda own: own[0].withField("end", F.element_at(own, -1)["end"])).cast(SPANS))
 
 
 def without_repeats(text: Column) -> Column:
