@@ -46,6 +46,67 @@ def sorted_ranges(df: DataFrame, column: str, sample: int = 4096) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(column)))
 
 
+#: Groups whose cuts may be broadcast; those of more are joined.
+BROADCAST_GROUPS = 200_000
+
+
+def _same(columns: list[str], prefix: str = "__") -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in columns], F.lit(True))
+
+
+def places_at(docs: DataFrame, key: Column, ranks: DataFrame, by: list[str] = (), tie: str = "doc_id", ranges: Column | None = None) -> DataFrame:
+    """(by, rank, place, nth): for each (by, rank) of ``ranks``, the place struct<k, t> of the row of that 0-based rank in
+    the order of ``key`` and ``tie``, and how many rows of the same place come before it.
+
+    Rows are counted in ranges of the key, which are added up; only places of the ranges that hold an asked rank are then
+    put in order. Nothing but keys and counts is shuffled.
+    """
+    by = list(by)
+    name = F.substring(key, 1, 3) if ranges is None else ranges
+    narrow = docs.select(*by, F.struct(key.alias("k"), F.col(tie).alias("t")).alias("place"), name.alias("range"))
+    sums = narrow.groupBy(*by, "range").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*by).orderBy("range"))
+    asked = ranks.select(*[F.col(c).alias(f"__{c}") for c in by], "rank")
+    held = sums.withColumn("upto", upto).join(F.broadcast(asked), _same(by) & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    held = held.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("range").alias("__range"), "rank", (F.col("rank") - F.col("upto") + F.col("n")).alias("left"))
+    on = _same([*by, "range"])
+    near = narrow.join(F.broadcast(held.select(*[f"__{c}" for c in by], "__range").distinct()), on, "left_semi").groupBy(*by, "range", "place").agg(F.count("*").alias("n"))
+    near = near.withColumn("upto", F.sum("n").over(W.partitionBy(*by, "range").orderBy("place")))
+    found = near.join(F.broadcast(held), on & (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+    return found.select(*by, "rank", "place", (F.col("left") - F.col("upto") + F.col("n")).alias("nth"))
+
+
+def in_pieces(docs: DataFrame, key: Column, ranks: DataFrame, by: list[str] = (), tie: str = "doc_id", ranges: Column | None = None) -> DataFrame:
+    """``docs`` with ``piece``: how many of the group's asked ranks (by, rank) are at or before the row's own.
+
+    Documents stay where they are and compare their place with the cuts. Only rows of one place that a cut goes through,
+    which have the same key and ``tie``, are numbered among themselves.
+    """
+    by = list(by)
+    found = places_at(docs, key, ranks, by, tie, ranges)
+    mine = F.struct(key.alias("k"), F.col(tie).alias("t"))
+    if by:
+        cuts = found.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.collect_list(F.struct("place", "nth")).alias("__cuts")).persist()
+        few, split = cuts.agg(F.count("*") <= BROADCAST_GROUPS, F.max(F.exists("__cuts", lambda c: c["nth"] > 0))).first()
+        d = docs.join(F.broadcast(cuts) if few else cuts, _same(by), "left").drop(*[f"__{c}" for c in by])
+    else:
+        rows = found.collect()  # one for each asked rank
+        if not rows:
+            return docs.withColumn("piece", F.lit(0))
+        split = any(r["nth"] for r in rows)
+        kinds = docs.select(mine.alias("m")).schema["m"].dataType
+        literal = lambda r: F.struct(F.struct(F.lit(r["place"]["k"]).cast(kinds["k"].dataType).alias("k"), F.lit(r["place"]["t"]).cast(kinds["t"].dataType).alias("t")).alias("place"), F.lit(r["nth"]).cast("long").alias("nth"))
+        d = docs.withColumn("__cuts", F.array(*[literal(r) for r in rows]))
+    d = d.withColumn("__place", mine)
+    through = F.coalesce(F.exists("__cuts", lambda c: (c["place"] == F.col("__place")) & (c["nth"] > 0)), F.lit(False))
+    before = lambda nth: F.coalesce(F.size(F.filter("__cuts", lambda c: (c["place"] < F.col("__place")) | ((c["place"] == F.col("__place")) & (c["nth"] <= nth)))), F.lit(0))
+    whole = d.where(~through).withColumn("piece", before(F.lit(0))) if split else d.withColumn("piece", before(F.lit(0)))
+    if split:
+        nth = F.row_number().over(W.partitionBy(*by, "__place").orderBy(F.lit(0))) - 1
+        whole = whole.unionByName(d.where(through).withColumn("__nth", nth).withColumn("piece", before(F.col("__nth"))).drop("__nth"))
+    return whole.select(*docs.columns, "piece")
+
+
 # --------------------------------------------------------------------------- splits
 
 
@@ -100,12 +161,9 @@ def reassign_splits(docs: DataFrame, fractions: dict[str, float], seed: int = 42
     if not names:
         return docs
     counts = largest_remainder(docs.count(), [fractions[k] for k in names])
-    r = ranked(docs, shuffle_key(F.col("doc_id"), seed)) if shuffle else ranked(docs, F.col("doc_id"), ranges=sorted_ranges(docs, "doc_id"))
-    out, upto = F.lit(None).cast("string"), sum(counts)
-    for name, n in zip(reversed(names), reversed(counts)):
-        upto -= n
-        out = F.when((F.col("rank") >= upto) & (F.col("rank") < upto + n), name).otherwise(out)
-    return r.withColumn(split, out).drop("rank")
+    ranks = docs.sparkSession.createDataFrame([(sum(counts[: i + 1]),) for i in range(len(counts) - 1)], "rank long")
+    r = in_pieces(docs, shuffle_key(F.col("doc_id"), seed), ranks) if shuffle else in_pieces(docs, F.col("doc_id"), ranks, ranges=sorted_ranges(docs, "doc_id"))
+    return r.withColumn(split, F.get(F.array(*[F.lit(n) for n in names]), F.col("piece"))).drop("piece")
 
 
 def split_by_fraction(docs: DataFrame, cuts: dict[str, float], seed: int = 42, split: str = "split") -> DataFrame:
@@ -135,7 +193,9 @@ def resize(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     if n == 0 or not have:
         return as_text.limit(0)
     if n <= have:
-        return ranked(as_text, shuffle_key(F.col("doc_id"), seed)).where(F.col("rank") < n).drop("rank")
+        if n == have:
+            return as_text
+        return in_pieces(as_text, shuffle_key(F.col("doc_id"), seed), docs.sparkSession.createDataFrame([(n,)], "rank long")).where("piece = 0").drop("piece")
     draws = docs.sparkSession.range(1, n - have + 1).select(F.col("id").alias("__k"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(have)).alias("rank"))
     copies = ranked(as_text, shuffle_key(F.col("doc_id"), seed)).join(draws, "rank")
     return as_text.unionByName(clone(copies, F.concat("doc_id", F.lit("__rs"), F.col("__k").cast("string"))).select(as_text.columns))
@@ -195,9 +255,12 @@ def proportional(sources: DataFrame, weights: dict, n: int | None = None, seed:
     caps = {r[0]: r[1] for r in sources.groupBy(source).agg(F.count("*")).collect()}
     names = [k for k in weights if k in caps]
     counts = capped_counts(sum(caps[k] for k in names) if n is None else n, [weights[k] for k in names], [caps[k] for k in names])
-    take = F.create_map(*[x for k, c in zip(names, counts) for x in (F.lit(k), F.lit(c))])
-    r = ranked(sources.where(F.col(source).isin(names)), shuffle_key(F.col("doc_id"), seed), [source])
-    return r.where(F.col("rank") < take[F.col(source)]).drop("rank")
+    spark, kind = sources.sparkSession, sources.schema[source].dataType.simpleString()
+    chosen = spark.createDataFrame([(k,) for k in names], f"__chosen {kind}")
+    few = len(names) <= BROADCAST_GROUPS
+    own = sources.join(F.broadcast(chosen) if few else chosen, F.col(source).eqNullSafe(F.col("__chosen")), "left_semi")
+    ranks = spark.createDataFrame([(k, c) for k, c in zip(names, counts) if c < caps[k]], f"{source} {kind}, rank long")
+    return in_pieces(own, shuffle_key(F.col("doc_id"), seed), ranks, [source]).where("piece = 0").drop("piece")
 
 
 def compose(sources: list[DataFrame], strategy: str = "merge", weights: list[float] | None = None, n: int | None = None, seed: int = 42) -> DataFrame:

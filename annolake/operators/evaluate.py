@@ -19,10 +19,18 @@ def prf(df: DataFrame) -> DataFrame:
     return df.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
 
 
-def matched(pred: DataFrame, gold: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+def sides(pred: DataFrame, gold: DataFrame | None, columns: list[str]) -> DataFrame:
+    """Both sides' spans as rows with ``side`` (pred or gold). Where ``pred`` holds both, with that column, ``gold`` is None:
+    spans that come from one scan of the texts then need no second one."""
+    if gold is None:
+        return pred.select(*columns, "side")
+    return pred.select(*columns, F.lit("pred").alias("side")).unionByName(gold.select(*columns, F.lit("gold").alias("side")))
+
+
+def matched(pred: DataFrame, gold: DataFrame | None, on: list[str], by: list[str]) -> DataFrame:
     """Tp, fp, fn by ``by`` over distinct keys ``on``: both sides meet in one grouping, without a join."""
-    sides = pred.select(*on, F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(*on, F.lit(0).alias("p"), F.lit(1).alias("g")))
-    keys = sides.groupBy(*on).agg(F.max("p").alias("p"), F.max("g").alias("g"))
+    rows = sides(pred, gold, on).select(*on, (F.col("side") == "pred").cast("int").alias("p"), (F.col("side") == "gold").cast("int").alias("g"))
+    keys = rows.groupBy(*on).agg(F.max("p").alias("p"), F.max("g").alias("g"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     p, g = F.col("p") == 1, F.col("g") == 1
     return (keys.groupBy(*by) if by else keys.groupBy()).agg(count(p & g).alias("tp"), count(p & ~g).alias("fp"), count(~p & g).alias("fn"))
@@ -32,24 +40,23 @@ STRICT = ["doc_id", "start", "end", "label"]
 BOUNDARY = ["doc_id", "start", "end"]
 
 
-def strict(pred: DataFrame, gold: DataFrame, by: list[str] = ()) -> DataFrame:
+def strict(pred: DataFrame, gold: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     return matched(pred, gold, STRICT, list(by))
 
 
-def boundary(pred: DataFrame, gold: DataFrame, by: list[str] = ()) -> DataFrame:
+def boundary(pred: DataFrame, gold: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     return matched(pred, gold, BOUNDARY, list(by))
 
 
-def _islands(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+def _islands(pred: DataFrame, gold: DataFrame | None, keys: list[str]) -> DataFrame:
     """(keys, island, pred, gold): spans of both sides in runs that overlap, each side's in list order. Spans of different
     islands share no character, so whatever compares overlapping spans may go by island."""
-    side = lambda df, name: df.select("doc_id", "label", "start", "end", "span_ord", F.lit(name).alias("side"))
-    both = islands(side(pred, "pred").unionByName(side(gold, "gold")), keys, 0, touching=False)
+    both = islands(sides(pred, gold, ["doc_id", "label", "start", "end", "span_ord"]), keys, 0, touching=False)
     own = lambda name: F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("span_ord", "start", "end", "label")))).alias(name)
     return both.groupBy(*keys, "island").agg(own("pred"), own("gold"))
 
 
-def partial(pred: DataFrame, gold: DataFrame, by: list[str] = ()) -> DataFrame:
+def partial(pred: DataFrame, gold: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     """Predicted spans, in order, each take the free gold span of their label that they overlap most, the first of
     equals. Different labels never meet, so the fold runs over islands of one label."""
     rows = _islands(pred, gold, ["doc_id", "label"])
@@ -85,12 +92,11 @@ def char_tags(spans: DataFrame) -> DataFrame:
     return each.select("doc_id", "pos", F.concat(F.when(F.col("begins") & (F.col("pos") == F.col("start")), "B-").otherwise("I-"), F.col("label")).alias("tag"))
 
 
-def characters(pred: DataFrame, gold: DataFrame, by_doc: bool = False) -> DataFrame:
+def characters(pred: DataFrame, gold: DataFrame | None = None, by_doc: bool = False) -> DataFrame:
     """H5: tags compared by character; two different tags are both a false positive and a false negative. Both sides'
     changes of tag are swept together: three rows for each segment at most, shuffled once, by document."""
-    side = lambda df, name: df.select("doc_id", "span_ord", "start", "end", "label", F.lit(name).alias("side"))
     keys = ["doc_id", "side"]
-    seg = tag_segments(side(pred, "p").unionByName(side(gold, "g")).repartition("doc_id"), keys)
+    seg = tag_segments(sides(pred, gold, ["doc_id", "span_ord", "start", "end", "label"]).repartition("doc_id"), keys)
     following = F.lead("start").over(W.partitionBy(*keys).orderBy("start"))
     change = lambda at, tag: F.struct(at.alias("pos"), tag.alias("tag"))
     b, i, none = F.concat(F.lit("B-"), "label"), F.concat(F.lit("I-"), "label"), F.lit("")
@@ -103,7 +109,7 @@ def characters(pred: DataFrame, gold: DataFrame, by_doc: bool = False) -> DataFr
     upto = W.partitionBy("doc_id").orderBy("pos").rangeBetween(W.unboundedPreceding, W.currentRow)
     tag = lambda name: F.coalesce(F.last(F.when(F.col("side") == name, F.col("tag")), ignorenulls=True).over(upto), F.lit(""))
     n = F.lead("pos").over(W.partitionBy("doc_id").orderBy("pos")) - F.col("pos")
-    both = rows.select("doc_id", "side", "c.pos", "c.tag").select("doc_id", tag("p").alias("p"), tag("g").alias("g"), F.coalesce(n, F.lit(0)).alias("n"))
+    both = rows.select("doc_id", "side", "c.pos", "c.tag").select("doc_id", tag("pred").alias("p"), tag("gold").alias("g"), F.coalesce(n, F.lit(0)).alias("n"))
     count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)).cast("long")
     p, g, same = F.col("p") != "", F.col("g") != "", F.col("p") == F.col("g")
     return (both.groupBy("doc_id") if by_doc else both.groupBy()).agg(count(p & same).alias("tp"), count(p & ~same).alias("fp"), count(g & ~same).alias("fn"))
@@ -134,7 +140,7 @@ def low_confidence(pred: DataFrame, gold: DataFrame, below: float) -> DataFrame:
     return false_positives(pred, gold).where(F.col("confidence") < below)
 
 
-def confusion(pred: DataFrame, gold: DataFrame) -> DataFrame:
+def confusion(pred: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """(gold_label, pred_label, n): a gold span counts under the label of the predicted span that it overlaps
     most, the first of equals, or <MISSED>; predicted spans that no gold one chose under <SPURIOUS>."""
     rows = _islands(pred, gold, ["doc_id"])
@@ -187,7 +193,7 @@ def compare_runs(a: DataFrame, b: DataFrame, key: str, metrics: list[str]) -> Da
     return a.alias("a").join(b.alias("b"), key).select(key, *[F.round(F.col(f"b.{m}") - F.col(f"a.{m}"), 6).alias(m) for m in metrics])
 
 
-def bundle(pred: DataFrame, gold: DataFrame) -> DataFrame:
+def bundle(pred: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """The four modes' counts and ratios, one row each."""
     modes = [("strict", strict(pred, gold)), ("exact_boundary", boundary(pred, gold)), ("partial_overlap", partial(pred, gold).drop("partial")), ("char_level", characters(pred, gold))]
     out = None

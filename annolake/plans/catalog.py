@@ -392,13 +392,13 @@ def _prf_sql(counts: str) -> str:
 @query("strict_prf", f"WITH {_SPANS} " + _prf_sql(_MODE.format(keys=_KEYS, by="", group="")))
 def strict_prf(s, d):
     """G1, H1, H2, L9."""
-    return evaluate.prf(evaluate.strict(*_both(s, d)))
+    return evaluate.prf(evaluate.strict(fixtures.both_sides(s, d)))
 
 
 @query("boundary_prf", f"WITH {_SPANS} " + _prf_sql(_MODE.format(keys='doc_id, "start", "end"', by="", group="")))
 def boundary_prf(s, d):
     """G2."""
-    return evaluate.prf(evaluate.boundary(*_both(s, d)))
+    return evaluate.prf(evaluate.boundary(fixtures.both_sides(s, d)))
 
 
 @query(
@@ -418,7 +418,7 @@ def boundary_prf(s, d):
 )
 def partial_prf(s, d):
     """G3."""
-    return evaluate.prf(evaluate.partial(*_both(s, d)))
+    return evaluate.prf(evaluate.partial(fixtures.both_sides(s, d)))
 
 
 _CHARS = """tags AS (SELECT side, doc_id, pos, CASE WHEN pos = "start" THEN 'B-' ELSE 'I-' END || label AS tag FROM (
@@ -430,7 +430,7 @@ _CHARS = """tags AS (SELECT side, doc_id, pos, CASE WHEN pos = "start" THEN 'B-'
 @query("char_prf", f"WITH {_SPANS}, {_CHARS} " + _prf_sql("SELECT count(*) FILTER (WHERE p = g) AS tp, count(*) FILTER (WHERE p IS NOT NULL AND (g IS NULL OR p <> g)) AS fp, count(*) FILTER (WHERE g IS NOT NULL AND (p IS NULL OR p <> g)) AS fn FROM ch"))
 def char_prf(s, d):
     """H5, E8."""
-    return evaluate.prf(evaluate.characters(*_both(s, d)))
+    return evaluate.prf(evaluate.characters(fixtures.both_sides(s, d)))
 
 
 _LABELS = _MODE.format(keys=_KEYS, by=", label", group="GROUP BY label")
@@ -451,7 +451,7 @@ def macro_prf(s, d):
 @query("mode_bundle", " UNION ALL ".join(f"SELECT '{m}' AS mode, tp, fp, fn, precision, recall, f1 FROM ({ORACLES[q]})" for m, q in (("strict", "strict_prf"), ("exact_boundary", "boundary_prf"), ("partial_overlap", "partial_prf"), ("char_level", "char_prf"))))
 def mode_bundle(s, d):
     """H26."""
-    return evaluate.bundle(*_both(s, d))
+    return evaluate.bundle(fixtures.both_sides(s, d))
 
 
 @query("false_negatives", f"""WITH {_SPANS} SELECT doc_id, "start", "end", label FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p."start" = g."start" AND p."end" = g."end" AND p.label = g.label)""")
@@ -476,7 +476,7 @@ def low_confidence(s, d):
 )
 def confusion_matrix(s, d):
     """G5, H6."""
-    return evaluate.confusion(*_both(s, d))
+    return evaluate.confusion(fixtures.both_sides(s, d))
 
 
 _CLINICAL = RISK_PROFILES["clinical_phi"]
@@ -738,10 +738,10 @@ def interleave(s, d):
     return corpus.interleave(fixtures.docs(s, d), "source").select("doc_id", "source", "turn")
 
 
-@query("proportional_sample", f"""SELECT doc_id, source FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY {MD5_SQL.format(seed=42)}, doc_id) <= 3""")
+@query("proportional_sample", f"""SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {MD5_SQL.format(seed=42)}, doc_id) <= 3""")
 def proportional_sample(s, d):
     """Of all sources alike, three documents each."""
-    docs = fixtures.docs(s, d).where("source IS NOT NULL")
+    docs = fixtures.docs(s, d)
     names = [r[0] for r in docs.select("source").distinct().collect()]
     return corpus.proportional(docs, dict.fromkeys(names, 1.0), 3 * len(names)).select("doc_id", "source")
 

@@ -20,10 +20,10 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over the cores if its files give fewer than two tasks a core: a file of one row group is read by
-    one task, whatever its size. Tables of many row groups stay as they are and are not shuffled."""
+    """``df``, dealt over the cores if its files give tasks to a quarter of them at most: a file of one row group is read by
+    one task, whatever its size. Other tables stay as they are and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
