@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.functions.automaton import hit_inside, seed_occurrences, term_hits
 from annolake.functions.packs import ENTITY_LABELS, MODEL_ENTITIES, PATTERN_PACKS
-from annolake.functions.text import find_all, matches, quote, squeeze, surface
-from annolake.operators.resolve import by_place, flagged, flags, longest, overlaps, runs
+from annolake.functions.text import find_all, let, matches, quote, squeeze, surface
+from annolake.operators.resolve import by_place, flags, halved, halvings, longest, overlaps, runs
 from annolake.schema import SPANS, certain, documents, exploded, no_spans
 
-#: Terms whose vocabulary may be broadcast; longer lists meet the tokens in a shuffle.
-BROADCAST_TERMS = 200_000
+#: Characters of the terms of one automaton, 8 more counted for each term.
+SHARD_CHARS = 4_000_000
 
 
 def groups_of(pattern: str) -> int:
@@ -92,30 +93,21 @@ def tokens_with_places(docs: DataFrame, pattern: str = r"(?U)\w+") -> DataFrame:
 
 
 def term_matches(docs: DataFrame, terms: DataFrame, case_sensitive: bool = False) -> DataFrame:
-    """(doc_id, start, end, label): whole-word hits of (label, term), white space in terms being any white space.
+    """(doc_id, start, end, label): hits of (label, term) between word edges, white space in terms being any white space;
+    of each term the leftmost non-overlapping ones.
 
-    Each text is cut into words and runs of as many words as the longest term has meet the terms in an equi-join,
-    however many terms there are. A term of other than words and white space is beyond this and raises.
+    Terms may hold anything: words, phrases, punctuation. An automaton over all terms passes over each text once; terms
+    of more than SHARD_CHARS characters are dealt over several passes, each with an automaton of its own.
     """
-    from pyspark.sql import Window as W
-
-    low = (lambda c: c) if case_sensitive else F.lower
-    t = terms.select("label", low(squeeze(F.col("term"))).alias("term")).where("term != ''").distinct()
-    stats = t.agg(F.count("*").alias("n"), F.max(F.size(F.split("term", " "))).alias("words"), F.max((~F.col("term").rlike(r"(?U)^[\w ]+$")).cast("int")).alias("odd")).first()
-    if stats["odd"]:
-        raise ValueError("terms must be words; use literal_matches for others")
-    tokens = tokens_with_places(docs)
-    order = W.partitionBy("doc_id").orderBy("n")
-    grams = None
-    text = docs.select("doc_id", "text")
-    for k in range(1, (stats["words"] or 1) + 1):
-        if k == 1:
-            g = tokens.select("doc_id", "start", "end", low(F.col("token")).alias("term"))
-        else:
-            g = tokens.withColumn("end", F.lead("end", k - 1).over(order)).where("end IS NOT NULL").join(text, "doc_id").select("doc_id", "start", "end", low(squeeze(surface(F.col("text"), F.col("start"), F.col("end")))).alias("term"))
-        grams = g if grams is None else grams.unionByName(g)
-    hint = F.broadcast if stats["n"] <= BROADCAST_TERMS else lambda x: x
-    return grams.join(hint(t), "term").select("doc_id", "start", "end", "label")
+    t = terms.select("label", squeeze(F.col("term")).alias("term")).where("term != '' AND label IS NOT NULL").distinct()
+    shards = max(1, -(-t.agg(F.coalesce(F.sum(F.length("term") + 8), F.lit(0))).first()[0] // SHARD_CHARS))
+    out = None
+    for k in range(shards):
+        own = t.where(F.pmod(F.xxhash64("term"), F.lit(shards)) == k) if shards > 1 else t
+        hits = term_hits(F.col("text"), sorted((r["term"], True, r["label"]) for r in own.collect()), case_sensitive)
+        found = exploded(docs.select("doc_id", "text"), ["doc_id"], hits, "n", "m").select("doc_id", "m.start", "m.end", "m.label")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct() if shards > 1 else out
 
 
 def literal_matches(text: Column, terms: list[str], word_edges: bool = True) -> Column:
@@ -126,21 +118,17 @@ def literal_matches(text: Column, terms: list[str], word_edges: bool = True) ->
 
 def whitelist(docs: DataFrame, terms: dict[str, list[str]], skip_overlapping: bool = False, source: str = "whitelist") -> DataFrame:
     """Spans of whole-word, case-insensitive hits of each label's terms, each (start, end, label) once."""
-    docs = documents(docs)
-
-    def hits(term, label):
-        return F.transform(literal_matches(F.col("text"), [term]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"), F.lit(1.0).alias("confidence"), F.lit(source).alias("source")))
-
-    # one search for each term, as hits of different terms may overlap
-    found = [hits(term, label) for label in sorted(terms) for term in sorted({t.strip().lower() for t in terms[label] if t.strip()})]
-    new = F.array_distinct(F.concat(*found)).cast(SPANS) if found else no_spans()
-    return accumulate(docs, new, skip_overlapping)
+    every = sorted({(t.strip().lower(), True, label) for label in terms for t in terms[label] if t.strip()})
+    hits = F.transform(term_hits(F.col("text"), every), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label"), F.lit(1.0).alias("confidence"), F.lit(source).alias("source")))
+    docs = documents(docs).withColumn("__new", hits.cast(SPANS) if every else no_spans())
+    return accumulate(docs, F.col("__new"), skip_overlapping).drop("__new")
 
 
 def blacklist_regions(text: Column, terms: list[str], patterns: list[str] = ()) -> Column:
     """array<struct<start, end>>: hits of terms (one word: between word edges) and patterns, merged if they touch."""
-    one, many = [t for t in terms if len(t.split()) == 1], [t for t in terms if len(t.split()) > 1]
-    raw = F.concat(*[F.transform(m, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for m in [literal_matches(text, one), *[literal_matches(text, [t], False) for t in many], *[matches(text, "(?iU)" + p) for p in patterns]]])
+    place = lambda m: F.transform(m, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    found = term_hits(text, [(t, len(t.split()) == 1, "") for t in sorted(set(terms)) if t.strip()])
+    raw = F.concat(place(found), *[place(matches(text, "(?iU)" + p)) for p in patterns])
     begin = {"reach": F.lit(-1)}
     step = lambda acc, x: (x["start"] > acc["reach"], {"reach": F.greatest(acc["reach"], x["end"])})
     one = lambda own: F.struct(own[0]["start"].alias("start"), F.array_max(F.transform(own, lambda x: x["end"])).alias("end"))
@@ -152,39 +140,40 @@ def blacklist(docs: DataFrame, terms: list[str], match: str = "any_token", patte
     the document that it overlaps. ``labels``: spans of other labels stay."""
     match = {"exact_span": "whole_span"}.get(match, match)
     upper = sorted({t.strip().upper() for t in terms if t.strip()})
-    listed = F.array(*[F.lit(t) for t in upper]) if upper else F.array().cast("array<string>")
     text = F.col("text")
     said = lambda s: surface(text, s["start"], s["end"])
     if match == "overlap_document":
-        docs = docs.withColumn("__regions", blacklist_regions(text, terms, patterns))
-        hit = lambda s: F.exists("__regions", lambda r: overlaps(r, s))
+        # regions are disjoint and in order: the last that begins before a span's end reaches farthest
+        docs = docs.withColumn("__regions", blacklist_regions(text, terms, patterns)).withColumn("__powers", halvings(F.size("__regions")))
+        last = lambda s: F.get("__regions", halved(F.col("__regions"), F.size("__regions"), F.col("__powers"), lambda r: r["start"] < s["end"]) - 1)
+        hit = lambda s, i: let(last(s), lambda r: F.coalesce(r["end"] > s["start"], F.lit(False)))
     elif match == "whole_span":
-        hit = lambda s: F.array_contains(listed, F.upper(squeeze(said(s))))
+        hit = lambda s, i: F.upper(squeeze(said(s))).isin(upper)
     elif match == "substring":
-        hit = lambda s: F.exists(listed, lambda t: F.contains(F.lower(said(s)), F.lower(t)))
+        docs = docs.withColumn("__hit", hit_inside(text, F.transform("spans", lambda s: s["start"]), F.transform("spans", lambda s: s["end"]), upper))
+        hit = lambda s, i: F.get("__hit", i)
     elif match == "any_token":
-        hit = lambda s: F.arrays_overlap(F.transform(F.regexp_extract_all(said(s), F.lit(r"(?U)\w+"), F.lit(0)), F.upper), listed)
+        hit = lambda s, i: F.exists(F.regexp_extract_all(said(s), F.lit(r"(?U)\w+"), F.lit(0)), lambda t: F.upper(t).isin(upper))
     else:
         raise ValueError(f"unknown match {match!r}")
     scope = (lambda s: s["label"].isin(list(labels))) if labels else (lambda s: F.lit(True))
-    return docs.withColumn("spans", F.filter("spans", lambda s: ~(scope(s) & hit(s)))).drop("__regions")
+    return docs.withColumn("spans", F.filter("spans", lambda s, i: ~(scope(s) & hit(s, i)))).drop("__regions", "__powers", "__hit")
 
 
 def propagate(docs: DataFrame, min_confidence: float = 0.0, labels: list[str] | None = None, case_sensitive: bool = True, source: str = "consistency_propagator") -> DataFrame:
     """Every literal, non-overlapping occurrence of a trusted span's surface becomes a span of its label, unless
     that range has the label already. Seeds of the same surface and label count once, the first in the array; the
     result is by start and end, old spans before new ones."""
-    text = F.col("text") if case_sensitive else F.lower("text")
     trusted = lambda s: (certain(s) >= min_confidence) & (s["label"].isin(list(labels)) if labels else F.lit(True))
-    said = lambda s: surface(text, s["start"], s["end"])
-    seeds = F.transform(F.filter("spans", trusted), lambda s: F.struct(said(s).alias("text"), s["label"].alias("label"), s["confidence"].alias("confidence")))
-    first = F.aggregate(seeds, F.array().cast("array<struct<text:string,label:string,confidence:double>>"), lambda acc, s: F.when(F.exists(acc, lambda a: (a["text"] == s["text"]) & (a["label"] == s["label"])), acc).otherwise(F.array_append(acc, s)))
-    docs = docs.withColumn("__seeds", first)
-    apart = lambda places, n: F.aggregate(places, F.array().cast("array<int>"), lambda acc, p: F.when((F.size(acc) == 0) | (p >= F.element_at(acc, -1) + n), F.array_append(acc, p)).otherwise(acc))
-    new = F.flatten(F.transform("__seeds", lambda s: F.transform(apart(find_all(text, s["text"]), F.length(s["text"])), lambda p: F.struct(p.alias("start"), (p + F.length(s["text"])).alias("end"), s["label"].alias("label"), s["confidence"].alias("confidence"), F.lit(source).alias("source")))))
-    unseen = F.filter(new, lambda n: ~F.exists("spans", lambda s: (s["start"] == n["start"]) & (s["end"] == n["end"]) & (s["label"] == n["label"])))
-    ordered = F.transform(F.array_sort(F.transform(F.concat("spans", F.col("__unseen")), lambda s, i: F.struct(s["start"].alias("a"), s["end"].alias("b"), i.alias("i"), s.alias("s")))), lambda r: r["s"])
-    return docs.withColumn("__unseen", unseen.cast(SPANS)).withColumn("spans", ordered).drop("__seeds", "__unseen")
+    of = lambda spans, field: F.transform(spans, lambda s: s[field])
+    docs = docs.withColumn("__seeds", F.filter("spans", trusted))
+    said = F.transform("__seeds", lambda s: surface(F.col("text"), s["start"], s["end"]))
+    hits = seed_occurrences(F.col("text"), said, of("__seeds", "label"), of("spans", "start"), of("spans", "end"), of("spans", "label"), case_sensitive)
+    docs = docs.withColumn("__hits", hits)
+    seed = lambda h: F.get("__seeds", h["term"])
+    new = F.transform("__hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), seed(h)["label"].alias("label"), seed(h)["confidence"].alias("confidence"), F.lit(source).alias("source")))
+    ordered = F.transform(F.array_sort(F.transform(F.concat("spans", new.cast(SPANS)), lambda s, i: F.struct(s["start"].alias("a"), s["end"].alias("b"), i.alias("i"), s.alias("s")))), lambda r: r["s"])
+    return docs.withColumn("spans", ordered).drop("__seeds", "__hits")
 
 
 # --------------------------------------------------------------------------- model detectors
