@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.text import find_all
 from annolake.schema import SPANS, checked, no_spans
+from annolake.sources.blocks import csv_table, sections
 
 SPLITS = ("train", "valid", "test", "dev", "deploy")
 ANNOTATED = f"document struct<id:string,text:string,metadata:map<string,string>>, spans {SPANS}"
@@ -30,11 +31,23 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
 
 
+#: Blocks whose first line numbers may be broadcast; those of more are joined.
+BROADCAST_BLOCKS = 500_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, block, i, line): the lines of files and their numbers from 0, blank lines counted. Files are read in blocks
-    as Spark splits them; lines are numbered in their block, and blocks by the lines before them."""
+    """(path, block, i, line): the lines of files and their numbers from 0, blank lines counted.
+
+    Files are read in blocks as Spark splits them. A task numbers its rows as it reads them; a line's number is its
+    distance from the first of its block and the lines of the blocks before. These are counted first, without the
+    texts, which are not shuffled.
+    """
     lines = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    return _counted(lines, F.lit(1), "i").select("path", "block", (F.col("i") - 1).alias("i"), "line")
+    sums = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    firsts = sums.select("path", "block", (before - F.col("first")).alias("shift")).persist()
+    few = firsts.count() <= BROADCAST_BLOCKS
+    return lines.join(F.broadcast(firsts) if few else firsts, ["path", "block"]).select("path", "block", (F.col("at") + F.col("shift")).alias("i"), "line")
 
 
 def _counted(lines: DataFrame, what: Column, name: str) -> DataFrame:
@@ -146,22 +159,26 @@ def align_tags(text: Column, tags: Column) -> Column:
     return F.aggregate(tags, state, step)["out"].cast(SPANS)
 
 
-def asq_phi(spark: SparkSession, path: str) -> DataFrame:
+def asq_phi(spark: SparkSession, path: str, prefix: str = "asq") -> DataFrame:
     """Records of ===QUERY=== and ===PHI_TAGS=== sections, tags one JSON object a line; bad tags are skipped. ids are
-    asq_{n} in file order."""
-    blocks = F.filter(F.split("content", "===QUERY==="), lambda b: F.trim(b) != "")
-    rows = _files(spark, path).select(F.posexplode(blocks).alias("n", "b")).select("n", F.trim(F.regexp_replace(F.element_at(F.split("b", "===PHI_TAGS==="), 1), r"^\s+|\s+$", "")).alias("text"), F.coalesce(F.get(F.split("b", "===PHI_TAGS==="), 1), F.lit("")).alias("t"))
+    {prefix}_{n}, n from 1 over all files in order of their paths."""
     tag = "struct<identifier_type:string,value:string>"
-    parsed = F.filter(F.transform(F.split("t", "\n"), lambda x: F.from_json(x, tag)), lambda x: x["value"].isNotNull() & x["identifier_type"].isNotNull())
-    tags = F.transform(parsed, lambda x: F.struct(x["value"].alias("value"), x["identifier_type"].alias("label")))
-    return rows.select(F.concat(F.lit("asq_"), F.col("n").cast("string")).alias("doc_id"), "text", F.create_map().cast("map<string,string>").alias("metadata"), align_tags(F.col("text"), tags).alias("spans"))
+    parsed = F.filter(F.transform("tags", lambda x: F.from_json(x, tag)), lambda x: x["value"].isNotNull() & (x["value"] != ""))
+    tags = F.transform(parsed, lambda x: F.struct(x["value"].alias("value"), F.coalesce(x["identifier_type"], F.lit("UNKNOWN")).alias("label")))
+    rows = sections(spark, path).withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    meta = F.create_map(F.lit("source"), F.lit("ASQ-PHI"), F.lit("corpus"), F.lit("synthetic_clinical_queries"))
+    return rows.select(F.concat(F.lit(f"{prefix}_"), F.col("number").cast("string")).alias("doc_id"), "text", meta.alias("metadata"), align_tags(F.col("text"), tags).alias("spans"))
 
 
 def mimic_notes(spark: SparkSession, path: str) -> DataFrame:
-    """A10: ROW_ID, CHARTDATE (three formats, else null) and TEXT of a note table; rows without text are left out."""
-    d = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
-    day = F.coalesce(*[F.try_to_timestamp("CHARTDATE", F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy")]).cast("date")
-    return d.where("TEXT IS NOT NULL").select(F.col("ROW_ID").cast("string").alias("doc_id"), F.col("TEXT").alias("text"), day.alias("chart_date"))
+    """A10: ROW_ID, CHARTDATE (three formats, else null) and TEXT of a note table; rows without text are left out. Files are
+    read in blocks (blocks.quoted_records), one that holds all notes too."""
+    d = csv_table(spark, path)
+    if "TEXT" not in d.columns:
+        return spark.createDataFrame([], "doc_id string, text string, chart_date date")
+    column = lambda name: F.col(name) if name in d.columns else F.lit(None).cast("string")
+    day = F.coalesce(*[F.try_to_timestamp(column("CHARTDATE"), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy")]).cast("date")
+    return d.where("TEXT IS NOT NULL").select(column("ROW_ID").alias("doc_id"), F.col("TEXT").alias("text"), day.alias("chart_date"))
 
 
 def raw_texts(spark: SparkSession, path: str, kind: str, with_stem: bool = True) -> DataFrame:

@@ -73,7 +73,7 @@ def test_production_export(spark, tmp_path):
 
 def test_asq(spark, tmp_path):
     (tmp_path / "q.txt").write_text('===QUERY===\nAnn saw Bo and Ann\n===PHI_TAGS===\n{"identifier_type": "NAME", "value": "Bo"}\n{"identifier_type": "NAME", "value": "Ann"}\nbroken\n{"identifier_type": "NAME", "value": "Bo"}\n===QUERY===\nplain\n===PHI_TAGS===\n')
-    assert rows(readers.asq_phi(spark, str(tmp_path / "q.txt"))) == [("asq_0", "Ann saw Bo and Ann", [(8, 10, "NAME"), (15, 18, "NAME"), (8, 10, "NAME")]), ("asq_1", "plain", [])]
+    assert rows(readers.asq_phi(spark, str(tmp_path / "q.txt"))) == [("asq_1", "Ann saw Bo and Ann", [(8, 10, "NAME"), (15, 18, "NAME"), (8, 10, "NAME")]), ("asq_2", "plain", [])]
 
 
 def test_notes_and_raw_texts(spark, tmp_path):
