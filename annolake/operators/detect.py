@@ -189,31 +189,45 @@ def windows(n_tokens: Column, max_tokens: int, specials: int = 2, overlap: int =
 
 
 def _detector(make_detector, fail_open: bool):
-    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """struct<spans, error> for each text: a batch that raises is tried again text by text, so that one bad text takes
+    none of its neighbours with it."""
+
+    def one(detector, text):
+        try:
+            return detector([text])[0], None
+        except Exception as e:
+            if not fail_open:
+                raise
+            return [], f"{type(e).__name__}: {e}"
+
+    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         detector = make_detector()
         for texts in batches:
             try:
-                found = detector(list(texts))
+                found = [(spans, None) for spans in detector(list(texts))]
             except Exception:
                 if not fail_open:
                     raise
-                found = [[] for _ in texts]
-            yield pd.Series([[{"start": a, "end": b, "label": x, "confidence": c, "source": o} for a, b, x, c, o in spans if 0 <= a < b <= len(t)] for t, spans in zip(texts, found)])
+                found = [one(detector, t) for t in texts]
+            spans = [[{"start": a, "end": b, "label": x, "confidence": c, "source": o} for a, b, x, c, o in spans if 0 <= a < b <= len(t)] for t, (spans, _) in zip(texts, found)]
+            yield pd.DataFrame({"spans": pd.Series(spans, dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
 
     return detect
 
 
-def external(docs: DataFrame, make_detector, mapping: dict | None = None, fail_open: bool = True, skip_overlapping: bool = False) -> DataFrame:
+def external(docs: DataFrame, make_detector, mapping: dict | None = None, fail_open: bool = True, skip_overlapping: bool = False, error: str | None = None) -> DataFrame:
     """Spans of any detector. ``make_detector`` builds, once in each worker, a function from texts to
     lists of (start, end, label, confidence, source); spans out of range are dropped and labels mapped. With
-    ``fail_open`` a batch that raises keeps its documents as they were."""
-    new = F.pandas_udf(_detector(make_detector, fail_open), SPANS)(F.coalesce("text", F.lit("")))
-    docs = documents(docs).withColumn("__new", new)
+    ``fail_open`` a document that it raises on keeps its spans, and the column ``error``, if one is named, says why."""
+    found = F.pandas_udf(_detector(make_detector, fail_open), f"spans {SPANS}, error string")(F.coalesce("text", F.lit("")))
+    docs = documents(docs).withColumn("__found", found).withColumn("__new", F.col("__found.spans"))
+    if error:
+        docs = docs.withColumn(error, F.col("__found.error"))
     if mapping:
         from annolake.operators.labels import mapped
 
         docs = docs.withColumn("__new", mapped(F.col("__new"), mapping))
-    return accumulate(docs, F.col("__new"), skip_overlapping).drop("__new")
+    return accumulate(docs, F.col("__new"), skip_overlapping).drop("__new", "__found")
 
 
 def analyzer_mapping(entities: dict | None = None, models: dict | None = None) -> dict[str, str]:

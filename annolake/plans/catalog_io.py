@@ -3,6 +3,7 @@ them back, and has the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.functions import text as texts
@@ -101,16 +102,17 @@ def production_export(s, d):
     return readers.production_export(s, at).select("doc_id", F.size("spans").cast("long").alias("spans"), F.col("metadata")["source_label"].alias("source_label"))
 
 
-@query("asq_records", f"WITH {GOLD_SQL} SELECT label, count(*) AS n FROM gold GROUP BY label")
+@query("asq_records", rf"""WITH {GOLD_SQL}, n AS (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id)
+    SELECT md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5, count(*) AS docs, CAST(sum(coalesce(n, 0)) AS BIGINT) AS spans FROM documents LEFT JOIN n USING (doc_id) GROUP BY 1""")
 def asq_records(s, d):
     """Every listed value is found in its text."""
     at = scratch.folder(s, "asq")
     tags = F.array_join(F.transform("spans", lambda x: F.to_json(F.struct(x["label"].alias("identifier_type"), texts.surface(F.col("text"), x["start"], x["end"]).alias("value")))), "\n")
     fixtures.gold(s, d).select(F.concat(F.lit("===QUERY===\n"), "text", F.lit("\n===PHI_TAGS===\n"), tags, F.lit("\n")).alias("value")).write.text(at)
-    return flat(readers.asq_phi(s, at)).groupBy("label").agg(F.count("*").alias("n"))
+    return readers.asq_phi(s, at).groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("docs"), F.sum(F.size("spans")).cast("long").alias("spans"))
 
 
-@query("mimic_notes", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE CAST(DATE '2020-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR) END AS chart_date, length(text) AS chars FROM documents WHERE text <> ''")
+@query("mimic_notes", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE CAST(DATE '2020-01-01' + CAST(doc_id % 300 AS INTEGER) AS VARCHAR) END AS chart_date, md5(text) AS text_md5 FROM documents WHERE text <> ''")
 def mimic_notes(s, d):
     """Three date formats and one that is none."""
     at = scratch.folder(s, "notes")
@@ -118,7 +120,29 @@ def mimic_notes(s, d):
     said = F.when(F.col("doc_id") % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(F.col("doc_id") % 4 == 1, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).when(F.col("doc_id") % 4 == 2, F.date_format(day, "MM/dd/yyyy")).otherwise("some day")
     notes = fixtures.docs(s, d).select(F.col("doc_id").alias("ROW_ID"), said.alias("CHARTDATE"), F.col("text").alias("TEXT"))
     notes.write.csv(at, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return readers.mimic_notes(s, at).select("doc_id", F.col("chart_date").cast("string").alias("chart_date"), F.length("text").alias("chars"))
+    return readers.mimic_notes(s, at).select("doc_id", F.col("chart_date").cast("string").alias("chart_date"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    "broken_lines",
+    """SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS line, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE CAST(doc_id AS VARCHAR) END AS doc_id,
+    CASE doc_id % 7 WHEN 3 THEN 'invalid JSON' WHEN 4 THEN 'not a valid document: a span exceeds the text' WHEN 5 THEN 'not a valid document: text is missing' END AS message FROM documents QUALIFY message IS NOT NULL
+    UNION ALL SELECT NULL, CAST(doc_id AS VARCHAR), md5(text) FROM documents WHERE doc_id % 7 NOT IN (3, 4, 5)""",
+)
+def broken_lines(s, d):
+    """A1, 2.O: good documents and the numbers of bad lines, from files of which some lines are cut short, lack a text, or have a
+    span outside it. Lines are in order of doc_id over all files."""
+    at = scratch.folder(s, "broken")
+    text = F.when(F.col("doc_id") % 7 != 5, F.coalesce("text", F.lit("")))
+    far = F.when(F.col("doc_id") % 7 == 4, F.array(F.struct(F.lit(0).alias("start"), (F.length("text") + 1).alias("end"), F.lit("X").alias("label"))))
+    line = F.to_json(F.struct(F.struct(F.col("doc_id").cast("string").alias("id"), text.alias("text")).alias("document"), far.alias("spans")))
+    cut = F.when(F.col("doc_id") % 7 == 3, F.substring(line, F.lit(1), (F.length(line) / 2).cast("int"))).otherwise(line)
+    fixtures.docs(s, d).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select(cut.alias("value")).write.text(at)
+    good, errors = readers.jsonl_aside(s, at)
+    files = readers.numbered_lines(s, at).groupBy("path").agg(F.count("*").alias("n"))
+    earlier = files.select("path", F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))  # one row a file
+    numbered = errors.join(earlier, "path").select((F.col("line") + F.col("earlier")).alias("line"), "doc_id", "message")
+    return numbered.unionByName(good.select(F.lit(None).cast("long").alias("line"), "doc_id", F.md5("text").alias("message")))
 
 
 @query("raw_lines", "SELECT doc_id % 2 = 0 AS named, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
@@ -213,18 +237,6 @@ def dictionary_page(s, d):
     return readers.search_terms(words, "AN", 25, 25)
 
 
-@query("pipeline_store", "SELECT * FROM (VALUES ('accurate', CAST(3 AS BIGINT)), ('quick', CAST(2 AS BIGINT))) v(name, pipes)")
-def pipeline_store(s, d):
-    """Saved, renamed, deleted."""
-    store = stores.Pipelines(s, scratch.folder(s, "pipelines"))
-    for name in ("fast", "balanced", "accurate"):
-        store.put(name, pipeline.profile(name))
-    store.rename("fast", "quick")
-    store.delete("balanced")
-    pipes = F.size(F.from_json("config", "pipes array<struct<type:string>>")["pipes"])
-    return store.current().select("name", pipes.cast("long").alias("pipes"))
-
-
 @query("result_store", f"SELECT name, CAST(tp AS BIGINT) AS tp, n AS documents FROM (SELECT 'strict' AS name, tp FROM ({ORACLES['strict_prf']}) UNION ALL SELECT 'boundary', tp FROM ({ORACLES['boundary_prf']})), (SELECT count(*) AS n FROM documents)")
 def result_store(s, d):
     """A24, B12, B15."""
@@ -248,13 +260,6 @@ def trace_counts(s, d):
     return pipeline.trace(fixtures.docs(s, d), config).groupBy("step", "type", "label").agg(F.count("*").alias("n"))
 
 
-@query("label_algebra", "SELECT * FROM (VALUES (1, 'CITY,DATE,EMAIL,ID,NAME'), (2, 'CITY,DATE,EMAIL,NAME'), (3, 'DATE,EMAIL,LOCATION,NAME'), (4, 'DATE,LOCATION')) v(upto, labels)")
-def label_algebra(s, d):
-    """What labels the first steps of a pipeline can give."""
-    config = {"pipes": [REGEX, {"type": "label_filter", "config": {"drop": ["ID"]}}, {"type": "label_mapper", "config": {"mapping": {"CITY": "LOCATION"}}}, {"type": "label_filter", "config": {"keep": ["DATE", "LOCATION", "X"]}}]}
-    return s.createDataFrame([(i, ",".join(sorted(pipeline.output_labels(config, upto=i)))) for i in range(1, 5)], "upto int, labels string")
-
-
 # --------------------------------------------------------------------------- model answers
 
 _FIRST = f"WITH {GOLD_SQL}, f AS (SELECT * FROM gold WHERE span_ord = 0)"
@@ -297,20 +302,6 @@ def merged_whitelist_settings(s, d):
     return flat(detect.whitelist_of(docs, settings, {"joins": ["and"]})).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("detector_labels", "SELECT * FROM (VALUES ('analyzer', 'DATE,LOCATION,NAME,NRP,ORGANIZATION'), ('manifest', 'DATE,NAME'), ('auto', 'chunk'), ('auto sentence', 'sentence'), ('mapping', 'ID,LOCATION,NAME,PHONE')) v(what, labels)")
-def detector_labels(s, d):
-    """Label spaces of detectors, and how they cut texts."""
-    m = detect.analyzer_mapping()
-    rows = [
-        ("analyzer", detect.label_space(["PER", "GPE", "NORP", "ORG"], built_in=("DATE_TIME",))),
-        ("manifest", detect.manifest_space({"labels": ["private_person", "d", "x"], "default_entity_map": {"private_person": "PERSON"}}, {"private_person": "NAME", "d": "DATE"}, {"x": None})),
-        ("auto", [detect.segmentation("auto", "truncate")]),
-        ("auto sentence", [detect.segmentation("auto", "sentence")]),
-        ("mapping", [m["US_SSN"], m["GPE"], m["HCW"], m["PHONE"]]),
-    ]
-    return s.createDataFrame([(a, ",".join(sorted(b))) for a, b in rows], "what string, labels string")
-
-
 # --------------------------------------------------------------------------- tokens and reports
 
 
@@ -391,13 +382,6 @@ def fraction_split(s, d):
     return corpus.split_by_fraction(fixtures.docs(s, d), {"train": 0.75, "valid": 0.05, "test": 0.2}).select("doc_id", "split")
 
 
-@query("placeholder_kinds", "SELECT * FROM (VALUES ('Known firstname 1234', 'first name'), ('2151-8-3', 'full date'), ('8-3', 'month day'), ('Hospital Ward 2', 'hospital ward'), ('Age over 90 ', 'age over 90'), ('May 2150', 'month year'), ('Telephone/Fax (1) 88', 'phone number'), ('71', 'age'), ('2150', 'year'), ('12345', 'numeric id'), ('Street Address(2) ', 'street address'), ('Name (NI) 5', 'full name'), ('', 'blank'), ('zz', 'other')) v(content, kind)")
-def placeholder_kinds(s, d):
-    """Rules in their order."""
-    said = ["Known firstname 1234", "2151-8-3", "8-3", "Hospital Ward 2", "Age over 90 ", "May 2150", "Telephone/Fax (1) 88", "71", "2150", "12345", "Street Address(2) ", "Name (NI) 5", "", "zz"]
-    return s.createDataFrame([(x,) for x in said], "content string").select("content", output.placeholder_kind(F.col("content")).alias("kind"))
-
-
 @query("string_functions", "SELECT c_custkey, length(c_name) - strpos(reverse(c_name), '0') AS last_zero, upper(c_mktsegment) AS up, lower(c_name) AS low, round(c_acctbal / 7, 2) AS r2, round(c_acctbal / 7, 4) AS r4, array_to_string(list_sort(list_distinct(string_split(c_name, '0'))), '|') AS parts FROM customer WHERE contains(c_name, '0')")
 def string_functions(s, d):
     """X1, X3, X6, X13."""

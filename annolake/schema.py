@@ -53,8 +53,21 @@ def invalid_spans(docs: DataFrame) -> DataFrame:
     return s.where("s.start < 0 OR s.end <= s.start OR s.end > n").select("doc_id", "s.*")
 
 
+def outside(s: Column) -> Column:
+    """Whether a span breaks 0 <= start < end <= length of the column ``text``."""
+    return (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text"))
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that every operator can take, and (doc_id, message) of the others: those without a text, and those with
+    a span outside it."""
+    message = F.when(F.col("text").isNull(), "no text").when(F.exists("spans", outside), "a span exceeds the text")
+    d = docs.withColumn("__message", message)
+    return d.where("__message IS NULL").drop("__message"), d.where("__message IS NOT NULL").select("doc_id", F.col("__message").alias("message"))
+
+
 def checked(docs: DataFrame) -> DataFrame:
     """``docs``, failing when it is run if a span breaks 0 <= start < end <= length of its text."""
-    bad = F.exists("spans", lambda s: (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length("text")))
+    bad = F.exists("spans", outside)
     message = F.concat(F.lit("a span exceeds the text of document "), F.col("doc_id").cast("string"))
     return docs.withColumn("spans", F.when(bad, F.raise_error(message).cast(SPANS)).otherwise(F.col("spans")))

@@ -7,17 +7,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.functions.text import find_all
-from annolake.schema import SPANS, checked, no_spans
+from annolake.schema import SPANS, no_spans, outside
 from annolake.sources.blocks import csv_table, sections
 
 SPLITS = ("train", "valid", "test", "dev", "deploy")
 ANNOTATED = f"document struct<id:string,text:string,metadata:map<string,string>>, spans {SPANS}"
 
 
+def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, doc_id, text, metadata, spans, message): one row for each line that isn't blank, numbered from 1 in its
+    file; ``message`` says what is wrong with it, null if nothing is."""
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    parsed = lines.withColumn("d", F.from_json("line", f"{ANNOTATED}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    d = parsed.select("path", (F.col("i") + 1).alias("line"), "d.document", F.coalesce("d.spans", no_spans()).alias("spans"), F.col("d.__bad").alias("bad"), F.get_json_object("line", "$").isNull().alias("broken"))
+    d = d.select("path", "line", F.col("document.id").alias("doc_id"), F.col("document.text").alias("text"), F.coalesce("document.metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "spans", "bad", "broken")
+    said = lambda x: F.concat(F.lit("not a valid document: "), F.lit(x))
+    lacks = F.exists("spans", lambda s: s["start"].isNull() | s["end"].isNull() | s["label"].isNull())
+    message = F.when(F.col("broken"), F.lit("invalid JSON")).when(F.col("bad").isNotNull(), said("a field is of another type")).when(F.col("doc_id").isNull(), said("id is missing")).when(F.col("text").isNull(), said("text is missing")).when(lacks, said("a span lacks start, end or label")).when(F.exists("spans", outside), said("a span exceeds the text"))
+    return d.withColumn("message", message).drop("bad", "broken")
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """A1: one annotated document a line; blank lines are skipped, a malformed one fails the read."""
-    d = spark.read.schema(ANNOTATED).json(path, mode="FAILFAST")
-    return checked(d.select(F.col("document.id").alias("doc_id"), F.col("document.text").alias("text"), F.coalesce("document.metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.coalesce("spans", no_spans()).alias("spans")))
+    """A1: one annotated document a line; blank lines are skipped, a bad one fails the read with its number."""
+    d = jsonl_lines(spark, path)
+    fail = F.raise_error(F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("message"), F.lit(" in "), F.col("path")))
+    return d.withColumn("spans", F.when(F.col("message").isNull(), F.col("spans")).otherwise(fail.cast(SPANS))).select("doc_id", "text", "metadata", "spans")
+
+
+def jsonl_aside(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A1, 2.O: the good documents of a file or folder, and (path, line, doc_id, message) of the bad lines, which don't end
+    the run."""
+    d = jsonl_lines(spark, path)
+    return d.where("message IS NULL").select("doc_id", "text", "metadata", "spans"), d.where("message IS NOT NULL").select("path", "line", "doc_id", "message")
 
 
 def spread(df: DataFrame) -> DataFrame:
