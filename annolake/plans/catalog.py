@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annolake.functions.packs import LABEL_RANKING, RISK_PROFILES
+from annolake.functions.packs import GENERIC_LABELS, LABEL_RANKING, PATTERNS, RISK_PROFILES
 from annolake.functions.text import count_all, surface
 from annolake.operators import analytics, audit, compare, corpus, detect, evaluate, labels, output, resolve, tagging
 from annolake.plans import fixtures
@@ -90,18 +90,41 @@ for _name, _rx, _label in (("scan_regex_email", EMAIL, "EMAIL"), ("scan_regex_ip
     query(_name, f'SELECT doc_id, "start", "end", label FROM ({spans_sql({_label: [_rx]})})')(_scan(_rx, _label))
 
 
-@query("regex_pack_clinical")
-def regex_pack_clinical(s, d):
-    """The whole clinical pack, longest matches first."""
-    return _rows(detect.regex_ner(fixtures.docs(s, d)))
+def _pack_sql(pack: dict, name: str = "pred") -> str:
+    """A pack's spans in SQL, narrowed to the first group of the alternative that fits the match. RE2 takes letters beyond
+    ASCII for no part of words, so they are read as underscores, which are."""
+    base = r"(SELECT doc_id, regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2B8}\x{370}-\x{1FFF}\x{2C00}-\x{D7FF}]', '_', 'g') AS text FROM documents)"
+
+    def narrowed(label, alternatives):
+        found = f"SELECT * FROM ({spans_sql({label: ['(?i)' + '|'.join(alternatives)]}, base=base)})"
+        groups = [a.replace("'", "''") for a in alternatives if fixtures.has_group(a)]
+        if not groups:
+            return found
+        e = "coalesce(" + ", ".join(f"nullif(regexp_extract(surface, '(?i)^(?:{g})$', 1), '')" for g in groups) + ", surface)"
+        place = "CASE WHEN e = surface THEN \"start\" ELSE CAST(\"start\" + instr(surface, e) - 1 AS INTEGER) END"
+        return f"SELECT doc_id, label, a AS \"start\", CAST(a + length(e) AS INTEGER) AS \"end\", e AS surface, span_ord FROM (SELECT *, {place} AS a FROM (SELECT *, {e} AS e FROM ({found})))"
+
+    return f"{name} AS ({' UNION ALL '.join(narrowed(k, v) for k, v in pack.items())})"
+
+
+_GENERIC = {k: PATTERNS[k] for k in GENERIC_LABELS if k != "DATE"} | {"SECRET": ["[0-9a-f]{32,}"]}
 
 
-@query("regex_pack_generic_remapped")
+@query(
+    "regex_pack_generic_remapped",
+    f"""WITH RECURSIVE {_pack_sql(_GENERIC)}, {greedy_sql('"start" - "end", label, "start"')} SELECT doc_id, "start", "end", CASE label WHEN 'EMAIL' THEN 'CONTACT' ELSE label END AS label FROM chosen""",
+)
 def regex_pack_generic(s, d):
     """D3, D4, C4."""
     return _rows(detect.regex_ner(fixtures.docs(s, d), "generic_pii", {"EMAIL": {"remap": "CONTACT"}, "DATE": {"enabled": False}, "SECRET": {"pattern": "[0-9a-f]{32,}"}}))
 
 
+@query("regex_pack_clinical", f"""WITH RECURSIVE {_pack_sql(PATTERNS)}, {greedy_sql('"start" - "end", label, "start"')} SELECT doc_id, "start", "end", label FROM chosen""")
+def regex_pack_clinical(s, d):
+    """The whole clinical pack, longest matches first."""
+    return _rows(detect.regex_ner(fixtures.docs(s, d)))
+
+
 @query(
     "regex_dedupe_longest",
     f"""WITH RECURSIVE {PRED_SQL}, {greedy_sql('"start" - "end", label, "start"')} SELECT doc_id, "start", "end", label FROM chosen""",
@@ -780,8 +803,8 @@ _TOK = r"""t AS (SELECT doc_id, i // 2 - 1 AS n, CAST(st AS INTEGER) AS "start",
 
 @query(
     "bio_tags",
-    f"""WITH {PRED_SQL}, {_TOK}, tc AS (SELECT doc_id, n, unnest(range("start", "end")) AS pos FROM t), pc AS (SELECT doc_id, span_ord, label, "start" AS a, "start" - "end" AS k, unnest(range("start", "end")) AS pos FROM pred),
-    h AS (SELECT doc_id, n, span_ord, label FROM (SELECT DISTINCT doc_id, n, span_ord, label, a, k FROM tc JOIN pc USING (doc_id, pos)) QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY a, k, span_ord) = 1),
+    f"""WITH {PRED_SQL}, {_TOK},
+    h AS (SELECT t.doc_id, n, span_ord, label FROM t JOIN pred p ON t.doc_id = p.doc_id AND t."start" < p."end" AND p."start" < t."end" QUALIFY row_number() OVER (PARTITION BY t.doc_id, n ORDER BY p."start", p."start" - p."end", span_ord) = 1),
     g AS (SELECT doc_id, n, CASE WHEN row_number() OVER (PARTITION BY doc_id, span_ord ORDER BY n) = 1 THEN 'B-' ELSE 'I-' END || label AS tag FROM h)
     SELECT t.doc_id, CAST(t.n AS INTEGER) AS n, token, coalesce(tag, 'O') AS tag FROM t LEFT JOIN g ON t.doc_id = g.doc_id AND t.n = g.n""",
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annolake.functions.groups import pieces
 from annolake.operators import detect
 from annolake.sources.readers import spread
 
@@ -27,6 +28,10 @@ def gold(spark, sf_dir):
     return detect.regex_ner(docs(spark, sf_dir), GOLD, dedupe=False, flags="")
 
 
+def has_group(pattern: str) -> bool:
+    return bool(pieces(pattern).entities)
+
+
 def both_sides(spark, sf_dir):
     """(doc_id, side, span_ord, start, end, label, confidence, source): both packs' spans from one scan, marked by side."""
     d = pred(spark, sf_dir).withColumnRenamed("spans", "pred")
