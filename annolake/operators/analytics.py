@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.operators import paging
 from annolake.functions.text import overlap, surface, token_count
 from annolake.schema import flat
 
@@ -86,7 +87,7 @@ def bundle(docs: DataFrame) -> DataFrame:
 def preview(docs: DataFrame, offset: int = 0, limit: int = 50, chars: int = 500) -> DataFrame:
     """One page: the first ``chars`` characters, span count, sorted labels."""
     text = F.when(F.length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit("..."))).otherwise(F.col("text"))
-    return docs.orderBy("doc_id").offset(offset).limit(limit).select("doc_id", text.alias("preview"), F.size("spans").alias("span_count"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["label"]))).alias("labels"))
+    return paging.page(docs, F.col("doc_id"), offset, limit).select("doc_id", text.alias("preview"), F.size("spans").alias("span_count"), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["label"]))).alias("labels"))
 
 
 def spans_of_label(docs: DataFrame, label: str, ignore_case: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annolake.operators import paging
+
 LOG = "id string, timestamp timestamp_ntz, command string, pipeline_name string, pipeline_config string, dataset_source string, doc_count long, error_count long, span_count long, duration_seconds double, metrics string, source string"
 
 
@@ -22,8 +24,8 @@ def select(log: DataFrame, pipeline: str | None = None, source: str | None = Non
 
 
 def page(log: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
-    """Newest first, one page."""
-    return log.orderBy(F.desc("timestamp"), "id").offset(offset).limit(limit)
+    """Newest first, one page, of which only its range of times is read."""
+    return paging.page(log, F.col("timestamp"), offset, limit, [F.col("id")], descending=True)
 
 
 def find(log: DataFrame, prefix: str) -> DataFrame:

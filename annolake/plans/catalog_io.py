@@ -12,7 +12,7 @@ from annolake.plans import catalog, fixtures, pipeline
 from annolake.plans.catalog import ORACLES, query
 from annolake.plans.fixtures import GOLD, GOLD_SQL, PRED, PRED_SQL
 from annolake.schema import exploded, flat
-from annolake.sources import readers, scratch, stores, writers
+from annolake.sources import buckets, readers, scratch, stores, writers
 
 KEYS = ["doc_id", "start", "end", "label"]
 BY_TEXT_ID = f"""WITH {PRED_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, "start", "end", label FROM pred"""
@@ -79,6 +79,45 @@ def token_classification_rows(s, d):
     return back.select("id", F.size("tokens").cast("long").alias("tokens"), F.size(F.filter("ner_tags", lambda t: t != "O")).cast("long").alias("tagged"))
 
 
+@query(
+    "changed_documents",
+    f"""WITH {PRED_SQL}, n AS (SELECT doc_id, count(*) AS n FROM pred GROUP BY doc_id)
+    SELECT v.version, CAST(doc_id AS VARCHAR) AS doc_id, md5(CASE WHEN v.version = 2 AND doc_id % 40 = 7 THEN upper(lang) || doc_id ELSE text END) AS text_md5, CASE WHEN v.version = 2 AND doc_id % 40 = 7 THEN 0 ELSE coalesce(n, 0) END AS spans
+    FROM documents LEFT JOIN n USING (doc_id), (VALUES (1), (2), (3)) v(version) WHERE v.version < 3 OR doc_id % 5 <> 2
+    """.replace("v.version = 2 AND", "v.version >= 2 AND"),
+)
+def changed_documents(s, d):
+    """Three versions of a corpus in buckets: as it was, with some documents changed, then with others removed."""
+    corpus_at = buckets.BucketedCorpus(s, scratch.folder(s, "buckets"), 16)
+    docs = fixtures.pred(s, d)
+    corpus_at.create(docs)
+    own = docs.where("doc_id % 40 = 7").select("doc_id", F.concat(F.upper("lang"), F.col("doc_id").cast("string")).alias("text"), F.lit(None).cast(docs.schema["spans"].dataType).alias("spans"))
+    corpus_at.update(own.withColumn("spans", F.coalesce("spans", F.array().cast(docs.schema["spans"].dataType))))
+    corpus_at.remove(docs.where("doc_id % 5 = 2").select("doc_id"))
+    each = [corpus_at.read(v).select(F.lit(v).alias("version"), "doc_id", F.md5("text").alias("text_md5"), F.size("spans").cast("long").alias("spans")) for v in corpus_at.versions()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query(
+    "surrogate_export",
+    f"""WITH RECURSIVE {PRED_SQL}, {fixtures.greedy_sql('"start", "end", span_ord')}, n AS (SELECT doc_id, count(*) AS n FROM chosen GROUP BY doc_id),
+    o AS (SELECT count(DISTINCT a.doc_id) AS n FROM pred a JOIN pred b ON a.doc_id = b.doc_id AND a.span_ord < b.span_ord AND a."start" < b."end" AND b."start" < a."end")
+    SELECT CAST(doc_id AS VARCHAR) AS what, coalesce(n, 0) AS n FROM documents LEFT JOIN n USING (doc_id) UNION ALL SELECT 'refused', n FROM o""",
+)
+def surrogate_export(s, d):
+    """An export without overlaps is published; one with overlaps is refused, counted and leaves nothing."""
+    docs = fixtures.pred(s, d)
+    at = scratch.folder(s, "surrogates")
+    writers.surrogate_jsonl(writers.non_overlapping(docs), f"{at}/good")
+    refused = 0
+    try:
+        writers.surrogate_jsonl(docs, f"{at}/bad")
+    except ValueError as e:
+        refused = int(str(e).split(" in ")[1].split()[0])
+    back = readers.jsonl(s, f"{at}/good").select(F.col("doc_id").alias("what"), F.size("spans").cast("long").alias("n"))
+    return back.unionByName(s.createDataFrame([("refused", refused)], "what string, n long"))
+
+
 @query("export_formats", f"WITH {PRED_SQL}, n AS (SELECT count(*) AS spans FROM pred), c AS (SELECT count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents) SELECT kind, docs, spans, chars FROM n, c, (VALUES ('json'), ('parquet')) v(kind)")
 def export_formats(s, d):
     """B4, B9."""

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.functions.text import find_all
+from annolake.operators.paging import page
 from annolake.schema import SPANS, no_spans, outside
 from annolake.sources.blocks import csv_table, sections
 
@@ -256,7 +257,7 @@ def phrases(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def search_terms(terms: DataFrame, text: str = "", offset: int = 0, limit: int = 50) -> DataFrame:
     """One page of the terms that hold ``text``, whatever the case."""
-    return terms.where(F.contains(F.lower("term"), F.lit(text.lower()))).orderBy(F.lower("term"), "term").offset(offset).limit(limit)
+    return page(terms.where(F.contains(F.lower("term"), F.lit(text.lower()))), F.lower("term"), offset, limit, [F.col("term")])
 
 
 def conll(spark: SparkSession, path: str, token_column: int = 0, label_column: int = -1) -> DataFrame:

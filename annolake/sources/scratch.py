@@ -20,6 +20,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Gives a written folder its final name, which must be free: one rename, so readers see all of it or nothing."""
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(to):
+        raise ValueError(f"{path} is there already")
+    files.mkdirs(to.getParent())
+    if not files.rename(at, to):
+        raise OSError(f"{staged} could not be renamed {path}")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written to be published."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def mounted(path: str) -> str:
     """The path by which a mounted folder is opened without Spark."""
     scheme, sep, rest = path.partition(":")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from annolake.operators import analytics, tagging
 from annolake.operators.corpus import unique_names
-from annolake.operators.output import with_surrogates
+from annolake.operators.output import overlapping, with_surrogates
 from annolake.operators.resolve import drop_overlapping
 from annolake.schema import checked
+from annolake.sources.scratch import discard, publish
 
 
 def _record(docs: DataFrame) -> Column:
@@ -97,18 +100,22 @@ def non_overlapping(docs: DataFrame) -> DataFrame:
 
 
 def surrogate_jsonl(docs: DataFrame, path: str, seed: int = 42) -> None:
-    """Texts with surrogates and their spans; any overlap fails the whole export, by a first pass that writes none."""
-    bad = docs.where(_overlaps()).select("doc_id").limit(20).collect()
-    if bad:
-        raise ValueError(f"overlapping spans in documents {[r[0] for r in bad]}")
-    out = with_surrogates(docs, seed)
-    jsonl(out.withColumn("text", F.col("output_text")).withColumn("spans", F.col("output_spans")), path)
-
-
-def _overlaps() -> Column:
-    from annolake.operators.output import overlapping
-
-    return overlapping(F.col("spans"))
+    """Texts with surrogates and their spans; any overlap fails the whole export.
+
+    One pass writes to a folder beside ``path`` and counts the documents with overlapping spans on its way; the folder
+    gets its name only if there were none, else it is deleted.
+    """
+    seen, spark = Observation(), docs.sparkSession
+    bad = overlapping(F.col("spans"))
+    watched = docs.observe(seen, F.count(F.when(bad, 1)).alias("n"), F.min(F.when(bad, F.col("doc_id").cast("string"))).alias("first"), F.max(F.when(bad, F.col("doc_id").cast("string"))).alias("last"))
+    out = with_surrogates(watched, seed, on_overlap="drop")
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    jsonl(out.withColumn("text", F.col("output_text")).withColumn("spans", F.col("output_spans")), staged)
+    found = seen.get
+    if found["n"]:
+        discard(spark, staged)
+        raise ValueError(f"overlapping spans in {found['n']} documents, {found['first']} and {found['last']} among them")
+    publish(spark, staged, path)
 
 
 def manifest(docs: DataFrame, path: str) -> None:
@@ -130,7 +137,8 @@ def register(docs: DataFrame, root: str, name: str) -> None:
 
 
 def update_document(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``docs`` with the rows of ``changed`` in place of those of the same doc_id; write it elsewhere, then swap."""
+    """``docs`` with the rows of ``changed`` in place of those of the same doc_id, as a table. What is stored as
+    buckets.BucketedCorpus is changed in place, with versions."""
     return checked(docs.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(changed.select(docs.columns)))
 
 
