@@ -3,6 +3,9 @@ fixed public vocabulary; a forward algorithm sums over all segmentations of a wo
 
 from __future__ import annotations
 
+import math
+from copy import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,11 +22,14 @@ ROUNDS = 4
 PSEUDO_COUNT = 0.1
 #: Bytes of text whose different words are scored together.
 CHUNK = 1_000_000
-#: Runs of letters of training texts are one word up to so many bytes, and several, cut between characters, beyond. Runs
-#: of texts whose language is asked for are never cut.
-TRAIN_WORD = 48
+#: Words of training texts up to so many bytes go through expectation maximisation side by side, longer ones one by one; no
+#: word is cut, in training or after.
+SIDE_BY_SIDE = 48
 #: Places after which running probabilities of a word are brought back near 1.
 RESCALE = 8
+#: Bytes beyond which a word is scored by itself: few words are as long, so that going place by place over all of them
+#: would take a step for each of its places.
+ALONE = 1024
 LETTER = np.zeros(256, dtype=bool)
 LETTER[97:123] = LETTER[128:] = True
 
@@ -61,42 +67,51 @@ class Lookup:
 
 
 class Words:
-    """Different words of some bytes, longest first, each after a blank if it begins a run of letters. A word is a whole
-    run, or with ``most`` up to so many bytes of it, cut between characters."""
+    """Different words of some bytes, longest first, each after a blank. A word is a whole run of letters."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, most: int | None = None):
+    def __init__(self, data: np.ndarray, at: np.ndarray):
         data = LOWER[data]
         inside = LETTER[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[at] = True
-        start = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]][: len(data)]))
-        end = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False][: len(data)])) + 1
-        most = most or max(1, int((end - start).max(initial=1)))
-        parts = -(-(end - start) // most)
-        of = lengths_to_ids(parts)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = start[of] + nth * most
-        for _ in range(3):  # back to where a character begins
-            first -= (nth > 0) & ((data[first] & 0xC0) == 0x80)
-        last = np.where(np.append(nth[1:] > 0, False), np.append(first[1:], 0), end[of])
+        first = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]][: len(data)]))
+        last = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False][: len(data)])) + 1
         self.row = np.searchsorted(at, first, "right") - 1
-        h = range_hashes(data, first, last) ^ (nth > 0).astype(U64)
-        _, pick, self.word = np.unique(h, return_index=True, return_inverse=True)
-        first, last, begins = first[pick], last[pick], nth[pick] == 0
+        _, pick, self.word = np.unique(range_hashes(data, first, last), return_index=True, return_inverse=True)
+        first, last = first[pick], last[pick]
         self.length = last - first + 1
         order = np.argsort(-self.length, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         self.word = back[self.word]
-        self.length, first, begins = self.length[order], first[order], begins[order]
+        self.length, first = self.length[order], first[order]
         self.at = np.cumsum(self.length) - self.length
         of = lengths_to_ids(self.length)
         place = first[of] + np.arange(len(of)) - self.at[of] - 1
         self.data = data[np.maximum(place, 0)] if len(place) else data[:0].copy()
-        self.data[self.at] = np.where(begins, 32, 0)
+        self.data[self.at] = 32
         self.total = np.zeros(len(self.data) + 1, dtype=U64)
         np.cumsum((self.data.astype(U64) + U64(1)) * cached_powers(BASE, len(self.data)), out=self.total[1:])
 
+    def after(self, n: int) -> Words:
+        """All words but the n longest."""
+        rest = copy(self)
+        rest.at, rest.length = self.at[n:], self.length[n:]
+        return rest
+
+    def pieces_of(self, word: int, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, size, piece) for all pieces in one word, by end."""
+        at, top = int(self.at[word]), int(self.length[word])
+        found = []
+        for n in lookup.lengths:
+            if n <= top:
+                end = np.arange(n, top + 1)
+                ids = lookup.ids(self.data, self.total, at + end - n, n)
+                found.append(np.stack([end, np.full(len(end), n), ids])[:, ids >= 0])
+        end, size, ids = np.concatenate(found, 1)
+        order = np.argsort(end, kind="stable")
+        return end[order], size[order], ids[order]
+
     def steps(self, lookup: Lookup):
         """(end, size, words, pieces) for all pieces that end in each place of the words."""
         for i in range(1, int(self.length[0]) + 1 if len(self.length) else 1):
@@ -113,6 +128,13 @@ class Words:
 def forward(words: Words, lookup: Lookup, p: np.ndarray) -> np.ndarray:
     """log P(word) for each word and language, over all segmentations. Only as many places as the longest piece has are
     kept, and probabilities are brought back near 1 every few places, so that words may have any length."""
+    n_alone = int(np.searchsorted(-words.length, -ALONE, "left"))
+    if n_alone:
+        log_p, first = np.log(p), []
+        for k in range(n_alone):
+            end, size, ids = words.pieces_of(k, lookup)
+            first.append([_log_sums(int(end[-1]) + 1, 0, end, end - size, log_p[ids, j])[-1] for j in range(p.shape[1])])
+        return np.concatenate([np.array(first), forward(words.after(n_alone), lookup, p)])
     top, ring = (int(words.length[0]) if len(words.length) else 0), lookup.lengths[-1] + 1
     alpha = np.zeros((ring, len(words.length), p.shape[1]))
     scale, out = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:])
@@ -140,26 +162,57 @@ def forward(words: Words, lookup: Lookup, p: np.ndarray) -> np.ndarray:
     return out if top else np.zeros((0, p.shape[1]))
 
 
+def side_by_side(words: Words, steps: list, count: np.ndarray, p: np.ndarray, expected: np.ndarray) -> None:
+    """Adds the expected counts of pieces over all segmentations of short words, all of them at once."""
+    top, n_words = (int(words.length[0]) if len(words.length) else 0), len(words.length)
+    alpha, beta = np.zeros((top + 1, n_words)), np.zeros((top + 1, n_words))
+    alpha[0] = 1
+    for i, n, w, ids in steps:
+        alpha[i][w] += alpha[i - n][w] * p[ids]
+    beta[words.length, np.arange(n_words)] = 1
+    for i, n, w, ids in reversed(steps):
+        beta[i - n][w] += beta[i][w] * p[ids]
+    whole = count / np.maximum(beta[0], 1e-300) if top else count
+    for i, n, w, ids in steps:
+        expected += np.bincount(ids, weights=alpha[i - n][w] * p[ids] * beta[i][w] * whole[w], minlength=len(p))
+
+
+def _log_sums(size: int, first: int, to: np.ndarray, of: np.ndarray, log_p: np.ndarray) -> list[float]:
+    """The log of the sum, at each place, of what reaches it; ``to`` in the order in which places come."""
+    out = [-math.inf] * size
+    out[first] = 0.0
+    bounds = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+    to, of, log_p = to.tolist(), of.tolist(), log_p.tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        terms = [out[of[j]] + log_p[j] for j in range(a, b)]
+        most = max(terms)
+        out[to[a]] = most if most == -math.inf else most + math.log(sum(math.exp(t - most) for t in terms))
+    return out
+
+
+def one_by_one(end: np.ndarray, size: np.ndarray, ids: np.ndarray, count: float, p: np.ndarray, expected: np.ndarray) -> None:
+    """Adds the expected counts of pieces over all segmentations of one word of any length, in logarithms."""
+    log_p, top = np.log(p)[ids], int(end[-1])
+    alpha = np.array(_log_sums(top + 1, 0, end, end - size, log_p))
+    back = np.argsort(size - end, kind="stable")
+    beta = np.array(_log_sums(top + 1, top, (end - size)[back], end[back], log_p[back]))
+    expected += np.bincount(ids, weights=count * np.exp(alpha[end - size] + log_p + beta[end] - alpha[top]), minlength=len(p))
+
+
 def fit(texts: list[str], lookup: Lookup, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities by expectation maximisation: expected counts of pieces over all segmentations of the words."""
+    """Piece probabilities by expectation maximisation: expected counts of pieces over all segmentations of whole words."""
     data, at = utf8(pa.array(texts, pa.string()))
-    words = Words(data, at, TRAIN_WORD)
+    words = Words(data, at)
     count = np.bincount(words.word, minlength=len(words.length)).astype(float)
-    steps = list(words.steps(lookup))
+    n_long = int(np.searchsorted(-words.length, -SIDE_BY_SIDE, "left"))
+    short, long_ = words.after(n_long), [words.pieces_of(k, lookup) for k in range(n_long)]
+    steps = list(short.steps(lookup))
     p = np.full(lookup.size, 1.0 / lookup.size)
     for _ in range(rounds):
-        top, n_words = (int(words.length[0]) if len(words.length) else 0), len(words.length)
-        alpha, beta = np.zeros((top + 1, n_words)), np.zeros((top + 1, n_words))
-        alpha[0] = 1
-        for i, n, w, ids in steps:
-            alpha[i][w] += alpha[i - n][w] * p[ids]
-        beta[words.length, np.arange(n_words)] = 1
-        for i, n, w, ids in reversed(steps):
-            beta[i - n][w] += beta[i][w] * p[ids]
-        whole = count / np.maximum(beta[0], 1e-300) if top else count
         expected = np.full(lookup.size, PSEUDO_COUNT)
-        for i, n, w, ids in steps:
-            expected += np.bincount(ids, weights=alpha[i - n][w] * p[ids] * beta[i][w] * whole[w], minlength=lookup.size)
+        side_by_side(short, steps, count[n_long:], p, expected)
+        for k, (end, size, ids) in enumerate(long_):
+            one_by_one(end, size, ids, count[k], p, expected)
         p = expected / expected.sum()
     return p
 

@@ -468,7 +468,7 @@ def test_forward_over_long_runs():
     lookup = language_id.Lookup(pieces)
     assert max(map(len, pieces)) > 16
     p = np.random.default_rng(0).dirichlet(np.ones(lookup.size) * 0.1, 2).T
-    texts = ["日本語のテキスト" * 30, "x" * 700, "internationalisation " * 2 + "нормализованный"]
+    texts = ["日本語のテキスト" * 60, "x" * 700, "internationalisation " * 2 + "нормализованный"]
     data, at = common.utf8(pa.array(texts))
     words = language_id.Words(data, at)
     got = language_id.forward(words, lookup, p)
@@ -483,8 +483,6 @@ def test_forward_over_long_runs():
                     at[i] = np.logaddexp(at[i], at[i - n] + table[b[i - n : i]])
         mine = [got[w] for w in words.word[words.row == text] if words.length[w] == len(b)]
         assert np.allclose(mine[0], at[-1])
-    cut = language_id.Words(data, common.utf8(pa.array(texts))[1], 48)
-    assert cut.length.max() <= 49 + 3
 
 
 # --------------------------------------------------------------------------- 9

@@ -2,10 +2,11 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from annolake.llm import chat_format, secrets, warc
+from annolake.llm import chat_format, language_id, secrets, warc
 
 
 def test_template_is_handed_every_prefix():
@@ -65,3 +66,49 @@ def test_places_of_many_tokens_take_linear_time(spark):
 
     seconds(100)
     assert seconds(40000) < 5
+
+
+# --------------------------------------------------------------------------- language models
+
+
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            for rest in segmentations(word[n:], pieces):
+                yield [word[:n], *rest]
+
+
+def brute_force_fit(words, pieces, rounds):
+    number = {p: i for i, p in enumerate(pieces)}
+    p = np.full(len(pieces), 1.0 / len(pieces))
+    for _ in range(rounds):
+        expected = np.full(len(pieces), language_id.PSEUDO_COUNT)
+        for word in words:
+            ways = [[number[x] for x in s] for s in segmentations(b" " + word, number)]
+            shares = np.array([np.prod(p[w]) for w in ways])
+            for w, share in zip(ways, shares / shares.sum()):
+                np.add.at(expected, w, share)
+        p = expected / expected.sum()
+    return p
+
+
+@pytest.mark.parametrize("side_by_side", [48, 4, 0])
+def test_expectation_maximisation_equals_all_segmentations(monkeypatch, side_by_side):
+    monkeypatch.setattr(language_id, "SIDE_BY_SIDE", side_by_side)
+    pieces = sorted([b" a", b"ab", b"abc", b"bc", b"ca", b" b", "é".encode(), b"aa"]) + [bytes([b]) for b in range(256)]
+    texts = ["abcab ca. abca", "caab é1abéa", "aaaa abcab"]
+    words = [w.encode() for w in "abcab ca abca caab é abéa aaaa abcab".split()]
+    got = language_id.fit(texts, language_id.Lookup(pieces), rounds=3)
+    assert np.allclose(got, brute_force_fit(words, pieces, 3), rtol=1e-9)
+
+
+def test_training_words_are_never_cut():
+    """In a script without blanks a piece is learnt wherever it stands in a run, also over any fixed border."""
+    pieces = sorted([b"abcdefgh", b"xy"]) + [bytes([b]) for b in range(256)]
+    lookup = language_id.Lookup(pieces)
+    run = "xy" * 20 + "abcdefgh" + "xy" * 3000
+    p = language_id.fit([run + "." + run[1:]], lookup)
+    long = language_id.fit([run[30:60] + "." + run[31:60]], lookup)
+    assert p[pieces.index(b"abcdefgh")] > 0.9 * 2 / 6042 * 0.9 and long[pieces.index(b"abcdefgh")] > 0.02
