@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,9 +130,7 @@ class Datasets(Store):
             b = analytics.bundle(self.load(name))
             row = b.select(F.to_json(F.struct(*b.columns)).alias("manifest"), F.lit(None).cast("string").alias("error"))
             self.manifests.save(name, row)
-        except KeyError:
-            raise
-        except Exception as e:
+        except (AnalysisException, SparkRuntimeException) as e:  # what a broken dataset raises; a lost executor is no such thing
             self.manifests.save(name, self.spark.createDataFrame([(None, str(e).splitlines()[0])], "manifest string, error string"))
 
     def refresh_all(self) -> None:
