@@ -82,9 +82,10 @@ def _counted(lines: DataFrame, what: Column, name: str) -> DataFrame:
 
 
 def _files_with_empty(spark: SparkSession, path: str) -> DataFrame:
-    """As _files, empty files too: an .ann file without a line is a document without spans. Paths aren't encoded here."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("content"))
+    """As _files, empty files too, which Spark's table sources, binaryFile too, pass over: an .ann file without a line is a
+    document without spans. Paths aren't encoded here."""
+    sc = spark.sparkContext
+    return spark.createDataFrame(sc.wholeTextFiles(path, sc.defaultParallelism), "path string, content string")
 
 
 def _name(path: Column, encoded: bool = True) -> Column:
