@@ -46,10 +46,9 @@ def overlapping(spans: Column) -> Column:
 # --------------------------------------------------------------------------- surrogates
 # Values are picked by a hash of seed, label and original, so that a pair gives the same surrogate on any executor.
 
-FIRST = "Alex Robin Casey Jordan Taylor Morgan Riley Jamie Avery Quinn Rowan Sage Skyler Emery Harper Finley".split()
-LAST = "Archer Bennett Calder Dawson Ellery Foster Granger Holt Irving Jensen Keller Lowell Mercer Norwood Osborn Prescott".split()
+#: Names are made of syllables, so that different originals have different ones: 80**7 full names, 80**5 single ones.
+SYLLABLES = [c + v for c in "bdfghjklmnprstvz" for v in "aeiou"]
 ROADS = "Oak Maple Cedar Elm Birch Walnut Chestnut Willow".split()
-FIRMS = "Northwind Bluestone Harborview Redwood Silverlake Stonebridge Greenfield Lakeside".split()
 COUNTRIES = "Canada France Germany Japan Kenya Norway Peru Spain".split()
 STATES = "Ohio Texas Maine Utah Iowa Oregon Nevada Vermont".split()
 
@@ -62,35 +61,60 @@ def _pick(values: list[str], h: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(h, F.lit(len(values))) + 1).cast("int"))
 
 
+def _name(h: Column, n: int) -> Column:
+    """A name of n syllables, one of 80**n."""
+    number = F.pmod(h, F.lit(len(SYLLABLES) ** n))
+    return let(number, lambda x: F.initcap(F.concat(*[F.element_at(F.array(*[F.lit(s) for s in SYLLABLES]), (F.pmod(F.floor(x / F.lit(len(SYLLABLES) ** i)).cast("long"), F.lit(len(SYLLABLES))) + 1).cast("int")) for i in range(n)])))
+
+
 def _digits(h: Column, n: int) -> Column:
     return F.lpad(F.pmod(h, F.lit(10**n)).cast("string"), n, "0")
 
 
+def permuted(digits: Column, *keys: Column) -> Column:
+    """Digits (4 to 18 of them) as others of the same number, different ones for different ones: a keyed permutation. Each
+    half is moved, in turns, by a hash of the other, which can be undone."""
+    n = F.length(digits)
+    left = F.floor(n / 2).cast("int")
+    half = lambda width: F.pow(F.lit(10.0), width).cast("long")
+    state = F.struct(F.substring(digits, F.lit(1), left).cast("long").alias("a"), F.substring(digits, left + 1, n).cast("long").alias("b"))
+
+    def turn(x, i):
+        b = F.pmod(x["b"] + F.pmod(F.xxhash64(*keys, n, i, F.lit("b"), x["a"]), half(n - left)), half(n - left))
+        return let(b, lambda b: F.struct(F.pmod(x["a"] + F.pmod(F.xxhash64(*keys, n, i, F.lit("a"), b), half(left)), half(left)).alias("a"), b.alias("b")))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(4)), state, turn)
+    return let(done, lambda x: F.concat(F.lpad(x["a"].cast("string"), left, "0"), F.lpad(x["b"].cast("string"), n - left, "0")))
+
+
 def surrogate(label: Column, original: Column, seed: int = 42, pack="clinical_phi") -> Column:
     """A stand-in by the label's strategy; asterisks where it has none. Forms follow the original: two
-    words give two names, dates keep / or -, ids their length (four digits at least)."""
+    words give two names, dates keep / or -, ids their length (four digits at least). Numbers of 4 to 18 digits are
+    permuted, so that different ones of a label never share a stand-in; names and addresses of mail are of so many forms
+    that a million different ones share none, to be expected."""
     strategy = SURROGATE_PACKS[pack] if isinstance(pack, str) else pack
     h = lambda i=0: _hash(seed, label, original, i)
     words = F.regexp_count(original, F.lit(r"\S+"))
     upper = original.rlike(r"(?U)^\p{Lu}")
-    name = F.when(words >= 2, F.concat_ws(" ", _pick(FIRST, h(1)), _pick(LAST, h(2)))).when(upper, _pick(FIRST, h(1))).otherwise(_pick(LAST, h(2)))
+    name = F.when(words >= 2, F.concat_ws(" ", _name(h(1), 3), _name(h(2), 4))).when(upper, _name(h(1), 5)).otherwise(_name(h(2), 5))
     day = F.date_add(F.lit("2015-01-01").cast("date"), F.pmod(h(), F.lit(3650)).cast("int"))
     date = F.when(F.contains(original, F.lit("/")), F.date_format(day, "MM/dd/yyyy")).when(F.contains(original, F.lit("-")), F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "MMM dd, yyyy"))
     n = F.greatest(F.length(original), F.lit(4))
-    number = F.substring(F.repeat(_digits(h(3), 18), (n / 18 + 1).cast("int")), 1, n)
+    hashed = F.substring(F.repeat(_digits(h(3), 18), (n / 18 + 1).cast("int")), 1, n)
+    number = F.when(original.rlike("^[0-9]{4,18}$"), permuted(original, F.lit(seed), F.upper(label))).otherwise(hashed)
     kinds = {
         "Name": name,
         "Date": date,
         "Phone": F.concat(F.lit("("), _digits(h(4), 3), F.lit(") 555-"), _digits(h(5), 4)),
-        "Email": F.concat(F.lower(_pick(FIRST, h(1))), F.lit("."), F.lower(_pick(LAST, h(2))), F.lit("@example.org")),
+        "Email": F.concat(F.lower(_name(h(1), 3)), F.lit("."), F.lower(_name(h(2), 4)), F.lit("@example.org")),
         "ID": number,
         "Address": F.concat_ws(" ", (F.pmod(h(6), F.lit(9000)) + 100).cast("string"), _pick(ROADS, h(7)), F.lit("Street")),
         "Postal Code": _digits(h(8), 5),
-        "Organization": F.concat_ws(" ", _pick(FIRMS, h(9)), F.lit("Group")),
+        "Organization": F.concat_ws(" ", _name(h(9), 4), F.lit("Group")),
         "Age": (F.pmod(h(10), F.lit(70)) + 20).cast("string"),
         "Country": _pick(COUNTRIES, h(11)),
         "State": _pick(STATES, h(12)),
-        "URL": F.concat(F.lit("https://"), F.lower(_pick(FIRMS, h(13))), F.lit(".example.org/")),
+        "URL": F.concat(F.lit("https://"), F.lower(_name(h(13), 4)), F.lit(".example.org/")),
     }
     out = F.repeat(F.lit("*"), F.length(original))
     for kind, value in kinds.items():
@@ -213,7 +237,7 @@ TITLES = ("Dr.", "Mr.", "Ms.", "Mrs.")
 def made_up_name(key: Column, seed: int = 42) -> Column:
     """struct<form, name>: a name in one of the surface forms, picked by the hash of ``key``."""
     h = lambda i: F.xxhash64(F.lit(seed), key, F.lit(i))
-    first, last = _pick(FIRST, h(1)), _pick(LAST, h(2))
+    first, last = _name(h(1), 3), _name(h(2), 4)
     draw, form, upto = F.pmod(h(3), F.lit(100)), F.lit(NAME_FORMS[-1][0]), 100
     for name, share in reversed(NAME_FORMS):
         form, upto = F.when(draw < upto, name).otherwise(form), upto - share
@@ -226,7 +250,7 @@ def identity(docs: DataFrame, seed: int = 42) -> DataFrame:
     h = lambda i: F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.lit(i))
     unit = lambda i: (F.pmod(h(i), F.lit(1_000_000)) + 1) / 1_000_001
     normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))
-    return docs.withColumn("person", F.concat_ws(" ", _pick(FIRST, h(3)), _pick(LAST, h(4)))).withColumn("record_number", _digits(h(5), 7)).withColumn("age", F.least(F.lit(89), F.greatest(F.lit(1), (62 + 18 * normal).cast("int"))))
+    return docs.withColumn("person", F.concat_ws(" ", _name(h(3), 3), _name(h(4), 4))).withColumn("record_number", _digits(h(5), 7)).withColumn("age", F.least(F.lit(89), F.greatest(F.lit(1), (62 + 18 * normal).cast("int"))))
 
 
 # --------------------------------------------------------------------------- leakage

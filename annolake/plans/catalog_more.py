@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from annolake.functions.packs import LABEL_SPACES, RISK_PROFILES
-from annolake.functions.text import overlap
+from annolake.functions.text import overlap, surface
 from annolake.operators import audit, corpus, detect, evaluate, labels, output, resolve
 from annolake.plans import catalog, fixtures, pipeline
 from annolake.plans.catalog import ORACLES, RANGE, query
@@ -164,6 +164,13 @@ def dictionary_phrases(s, d):
     return detect.term_matches(fixtures.docs(s, d), terms.withColumn("label", F.lit("PHRASE"))).distinct()
 
 
+@query("surrogate_collisions", f"""WITH {PRED_SQL} SELECT label, count(DISTINCT surface) AS originals, count(DISTINCT surface) AS surrogates FROM pred WHERE label IN ('NAME', 'EMAIL') OR label = 'ID' AND length(surface) BETWEEN 4 AND 18 GROUP BY label""")
+def surrogate_collisions(s, d):
+    """Different names, addresses of mail and numbers of a label have different stand-ins."""
+    each = fixtures.pred(s, d).select("text", F.explode("spans").alias("x")).select("x.label", surface(F.col("text"), F.col("x.start"), F.col("x.end")).alias("said")).where("label IN ('NAME', 'EMAIL') OR label = 'ID' AND length(said) BETWEEN 4 AND 18").distinct()
+    return each.select("label", "said", output.surrogate(F.col("label"), F.col("said")).alias("new")).groupBy("label").agg(F.countDistinct("said").alias("originals"), F.countDistinct("new").alias("surrogates"))
+
+
 # --------------------------------------------------------------------------- corpora, files, logs
 
 

@@ -71,3 +71,23 @@ def test_bad_lines_are_named(spark, tmp_path):
     assert got == {3: (got[3][0], "invalid JSON"), 4: ("c", say + "text is missing"), 5: ("d", say + "a span exceeds the text"), 6: ("e", say + "a span lacks start, end or label"), 7: (got[7][0], say + "a field is of another type"), 8: (None, say + "id is missing")}
     with pytest.raises(Exception, match="line [345678]: "):
         readers.jsonl(spark, str(tmp_path / "x.jsonl")).collect()
+
+
+def test_numbers_are_permuted_without_collisions(spark):
+    from pyspark.sql import functions as F
+
+    for n, all_of in ((4, 10**4), (5, 10**5)):
+        df = spark.range(all_of).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+        new = df.select("d", output.permuted(F.col("d"), F.lit(1)).alias("new"), output.permuted(F.col("d"), F.lit(2)).alias("other"))
+        r = new.agg(F.countDistinct("new").alias("k"), F.max(F.length("new")).alias("most"), F.min(F.length("new")).alias("least"), F.sum((F.col("d") == F.col("new")).cast("int")).alias("same"), F.sum((F.col("other") == F.col("new")).cast("int")).alias("both")).first()
+        assert (r.k, r.most, r.least) == (all_of, n, n) and r.same < 30 and r.both < 30
+    long = spark.createDataFrame([(str(10**17 + i),) for i in range(500)], "d string")
+    assert long.select(output.permuted(F.col("d"), F.lit(1)).alias("x")).where("length(x) = 18").distinct().count() == 500
+
+
+def test_100000_names_share_no_stand_in(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(100000).select(F.concat(F.lit("Person "), F.col("id").cast("string")).alias("said"))
+    made = df.select(output.surrogate(F.lit("NAME"), F.col("said")).alias("new"))
+    assert made.distinct().count() == 100000 and made.where(~F.col("new").rlike("^[A-Z][a-z]{5} [A-Z][a-z]{7}$")).count() == 0
