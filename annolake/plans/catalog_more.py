@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.packs import LABEL_SPACES, RISK_PROFILES
 from annolake.functions.text import overlap, surface
-from annolake.operators import audit, corpus, detect, evaluate, labels, output, resolve
+from annolake.operators import audit, corpus, detect, evaluate, labels, output, resolve, tagging
 from annolake.plans import catalog, fixtures, pipeline
 from annolake.plans.catalog import ORACLES, RANGE, query
 from annolake.plans.catalog_io import BY_TEXT_ID, KEYS, REGEX
@@ -171,6 +171,33 @@ def surrogate_collisions(s, d):
     return each.select("label", "said", output.surrogate(F.col("label"), F.col("said")).alias("new")).groupBy("label").agg(F.countDistinct("said").alias("originals"), F.countDistinct("new").alias("surrogates"))
 
 
+@query("surrogates_read_back", ORACLES["redact_text"])
+def surrogates_read_back(s, d):
+    """Surrogates stand where the output's spans say, and all else is as it was: put labels in their place, and the
+    redacted texts come out."""
+    out = output.with_surrogates(fixtures.pred(s, d), on_overlap="drop")
+    return out.select("doc_id", output.redact(F.col("output_text"), F.col("output_spans")).alias("redacted"))
+
+
+@query("filled_placeholders", r"SELECT doc_id, translate(regexp_replace(text, '[0-9]+', '[PHONE]', 'g'), chr(10) || chr(13), '  ') AS redacted FROM documents")
+def filled_placeholders(s, d):
+    """Placeholders made of the documents' numbers are filled, under spans that tell them again."""
+    t = F.regexp_replace("text", r"([0-9]+)", "[**Telephone/Fax $1**]")
+    out = output.fill_placeholders(fixtures.docs(s, d).withColumn("text", t))
+    return out.select("doc_id", output.redact(F.col("text"), F.col("spans")).alias("redacted"))
+
+
+@query("sentences_cover_texts", r"SELECT doc_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS chars, md5(regexp_replace(text, '\s', '', 'g')) AS letters_md5 FROM documents WHERE regexp_matches(text, '\S')")
+def sentences_cover_texts(s, d):
+    """Each character but white space is in exactly one sentence, in order, where the sentence's offset says."""
+    docs = fixtures.docs(s, d)
+    each = tagging.by_sentence(fixtures.pred(s, d)).select(F.col("parent_doc_id").cast("long").alias("doc_id"), "sentence_index", "sentence_offset", "text")
+    checked = each.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id").where(F.col("text") == F.substring(F.col("whole"), F.col("sentence_offset") + 1, F.length("text")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("sentence_index", "text"))), lambda x: F.regexp_replace(x["text"], r"\s", ""))
+    letters = checked.groupBy("doc_id").agg(F.array_join(parts, "").alias("t"))
+    return letters.select("doc_id", F.length("t").cast("long").alias("chars"), F.md5("t").alias("letters_md5"))
+
+
 # --------------------------------------------------------------------------- corpora, files, logs
 
 
