@@ -345,7 +345,7 @@ def merged_whitelist_settings(s, d):
 
 
 def _named(sql: str, base: str) -> str:
-    return sql if base == "pred" else sql.replace(PRED_SQL, GOLD_SQL).replace("FROM pred", "FROM gold")
+    return sql if base == "pred" else sql.replace(PRED_SQL, GOLD_SQL).replace("FROM pred", "FROM gold").replace("JOIN pred p ", "JOIN gold p ")
 
 
 def _entities_sql(base: str) -> str:
