@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.packs import PATTERN_PACKS
 from annolake.operators import detect, labels, resolve
-from annolake.schema import documents
+from annolake.schema import documents, exploded
 
 
 @dataclass(frozen=True)
@@ -94,13 +94,18 @@ def run(docs: DataFrame, config: dict) -> DataFrame:
 
 
 def trace(docs: DataFrame, config: dict) -> DataFrame:
-    """(step, type, doc_id, start, end, label) after each step."""
-    d, out = documents(docs), None
+    """(step, type, doc_id, start, end, label) after each step. All steps are one plan over one scan: each document's
+    spans after every step are kept beside it and exploded together."""
+    d, kept = documents(docs), []
     for i, (name, f) in enumerate(steps(config)):
         d = f(d)
-        frame = d.select(F.lit(i).alias("step"), F.lit(name).alias("type"), "doc_id", F.explode("spans").alias("s")).select("step", "type", "doc_id", "s.start", "s.end", "s.label")
-        out = frame if out is None else out.unionByName(frame)
-    return out
+        kept.append((f"__step{i}", i, name))
+        d = d.withColumn(f"__step{i}", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
+    if not kept:
+        return d.sparkSession.createDataFrame([], "step int, type string, doc_id string, start int, end int, label string")
+    marked = lambda c, i, name: F.transform(c, lambda s: F.struct(F.lit(i).alias("step"), F.lit(name).alias("type"), s.alias("s")))
+    every = F.flatten(F.array(*[marked(*k) for k in kept]))
+    return exploded(d, ["doc_id"], every, "n", "x").select("x.step", "x.type", "doc_id", "x.s.start", "x.s.end", "x.s.label")
 
 
 def output_labels(config: dict, known: set | None = None, upto: int | None = None) -> set[str]:
