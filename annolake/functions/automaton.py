@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,12 +93,24 @@ def term_hits(text: Column, terms: list[tuple[str, bool, str]], case_sensitive:
     """array<struct<start, end, label>>: hits of all terms (term, word edges, label), each once, by start, end and label.
     The automaton is built once in each task, and each text is searched once, however many terms there are."""
 
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    labels = sorted({label for _, _, label in terms})
+    rank = {label: i for i, label in enumerate(labels)}
+    of = [rank[label] for _, _, label in terms]
+
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Terms([(t, edges) for t, edges, _ in terms], case_sensitive, raw)
         for texts in batches:
-            yield pd.Series([[{"start": s, "end": e, "label": label} for s, e, label in sorted({(s, e, terms[i][2]) for s, e, i in index.hits(t)})] for t in texts], dtype=object)
-
-    return F.pandas_udf(search, "array<struct<start:int,end:int,label:string>>")(text)
+            # one text at a time as a string; hits as three whole numbers each
+            offsets, places = np.zeros(len(texts) + 1, np.int32), array("i")
+            for row, t in enumerate(texts, 1):
+                for hit in sorted({(s, e, of[i]) for s, e, i in index.hits(t.as_py())}):
+                    places.extend(hit)
+                offsets[row] = len(places) // 3
+            start, end, label = np.frombuffer(places, np.int32).reshape(-1, 3).T if places else np.zeros((3, 0), np.int32)
+            names = pa.array(labels, pa.string()).take(pa.array(label))
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start.copy()), pa.array(end.copy()), names], ["start", "end", "label"]))
+
+    return F.arrow_udf(search, "array<struct<start:int,end:int,label:string>>")(text)
 
 
 def hit_inside(text: Column, starts: Column, ends: Column, terms: list[str]) -> Column:
