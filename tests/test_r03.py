@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from annolake.functions.automaton import term_hits
-from annolake.plans import pipeline
+from annolake.plans import catalog_io, pipeline
 from annolake.schema import SPANS
 from annolake.sources import readers, writers
 
@@ -35,3 +35,10 @@ def test_hits_of_terms_stay_small(spark):
     found = docs.select("doc_id", term_hits(F.col("text"), [("the", True, "B"), ("the", True, "A"), ("of", True, "B")]).alias("h"))
     assert {r.doc_id: [tuple(x) for x in r.h] for r in found.collect()} == {1: [(0, 3, "A"), (0, 3, "B"), (8, 10, "B"), (11, 14, "A"), (11, 14, "B")], 2: [], 3: []}
     assert ", 204" not in found._jdf.queryExecution().executedPlan().toString()  # no pandas rows of dicts
+
+
+def test_tag_report_reads_and_shuffles_documents_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Anned walk ab 12", "en", "s"), (2, "", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog_io.tag_report_binary(spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.n for r in got.collect()) == 4
