@@ -46,11 +46,12 @@ def edge(text: str, at: int) -> bool:
 
 class Terms:
     """An automaton over terms (term, whether it must stand between word edges). Case does not count unless
-    ``case_sensitive``; white space within a term is any white space unless ``raw``."""
+    ``case_sensitive``; white space within a term is any white space unless ``raw``. With ``edges_after`` a term's
+    occurrences are made non-overlapping before edges count, so one without edges takes the place of one behind it."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool]], case_sensitive: bool = False, raw: bool = False):
+    def __init__(self, terms: Iterable[tuple[str, bool]], case_sensitive: bool = False, raw: bool = False, edges_after: bool = False):
         self.fold = (lambda t: t) if case_sensitive else lowered
-        self.raw = raw
+        self.raw, self.edges_after = raw, edges_after
         self.found = ahocorasick.Automaton()
         by_text: dict[str, list[tuple[int, bool]]] = {}
         for i, (term, edges) in enumerate(terms):
@@ -78,9 +79,10 @@ class Terms:
             for i, edges in kinds:
                 if edges and between is None:
                     between = edge(low, start) and edge(low, end)
-                if (between or not edges) and start >= free.get(i, 0):
+                if (between or not edges or self.edges_after) and start >= free.get(i, 0):
                     free[i] = end
-                    out.append((start, end, i))
+                    if between or not edges:
+                        out.append((start, end, i))
         if at is not None and len(at) and out:
             places = np.array([(s, e) for s, e, _ in out])
             # a place moves by what was left out before it; an end just behind a run's blank lies behind the run
@@ -89,7 +91,7 @@ class Terms:
         return out
 
 
-def term_hits(text: Column, terms: list[tuple[str, bool, str]], case_sensitive: bool = False, raw: bool = False) -> Column:
+def term_hits(text: Column, terms: list[tuple[str, bool, str]], case_sensitive: bool = False, raw: bool = False, edges_after: bool = False) -> Column:
     """array<struct<start, end, label>>: hits of all terms (term, word edges, label), each once, by start, end and label.
     The automaton is built once in each task, and each text is searched once, however many terms there are."""
 
@@ -98,7 +100,7 @@ def term_hits(text: Column, terms: list[tuple[str, bool, str]], case_sensitive:
     of = [rank[label] for _, _, label in terms]
 
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Terms([(t, edges) for t, edges, _ in terms], case_sensitive, raw)
+        index = Terms([(t, edges) for t, edges, _ in terms], case_sensitive, raw, edges_after)
         for texts in batches:
             # one text at a time as a string; hits as three whole numbers each
             offsets, places = np.zeros(len(texts) + 1, np.int32), array("i")
