@@ -4,6 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from annolake.functions.automaton import term_hits
+from annolake.functions.starts import condition
+from annolake.operators import detect
 from annolake.plans import catalog_io, catalog_more, pipeline
 from annolake.plans.catalog import ORACLES
 from annolake.schema import SPANS
@@ -54,3 +56,13 @@ def test_phrases_that_overlap_themselves_as_in_sql(spark, tmp_path):
     for t in ("documents", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert got == sorted(r[:3] for r in db.execute(ORACLES["dictionary_phrases"]).fetchall()) == [(2, 0, 6), (2, 8, 14), (3, 3, 10)]
+
+
+def test_one_search_gives_places_and_groups(spark):
+    pack = {"ID": [r"\b(?:mrn|case\s+no)\s*[:#]?\s*([A-Z]?\d{2,})\b", r"\bDEA\s*(\d+)"], "ORG": [r"\b(?:(?-i:[A-Z])[a-z]+\s+){1,2}(?-i:Clinic)\b"], "YEAR": [r"'\d{2}s\b", r"\b(?:in|since)\s+(\d{4})\b"]}
+    text = "Case no: A12, dea 7; mrn 345 Old Town Clinic ſince 1999, the '90s, IN 2001 old town clinic"
+    docs = spark.createDataFrame([(1, text), (2, f"﷐{text}﷑"), (3, ""), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end, x.label) for x in r.spans] for r in detect.regex_ner(docs, pack).collect()}
+    said = sorted((text.index(x), text.index(x) + len(x), label) for x, label in (("A12", "ID"), ("7", "ID"), ("345", "ID"), ("Old Town Clinic", "ORG"), ("1999", "YEAR"), ("'90s", "YEAR"), ("2001", "YEAR")))
+    assert got == {1: said, 2: [(a + 1, b + 1, x) for a, b, x in said], 3: [], 4: []}
+    assert condition(pack["ID"], "(?iU)") and condition(["a|(?i:b)"], "") == condition([r"\p{L}a", "b"], "") == condition(["a*", "b"], "") == ""
