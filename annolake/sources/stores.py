@@ -33,7 +33,8 @@ class Store:
 
     def _newest(self, log: DataFrame) -> DataFrame:
         newest = log.groupBy("name").agg(F.max("version").alias("version"))
-        return log.join(newest, ["name", "version"])
+        # one row a name: a shuffle by name would put a dataset's whole texts into one task
+        return log.join(F.broadcast(newest), ["name", "version"])
 
     def _add(self, name: str, rows: DataFrame, gone: bool) -> None:
         last = self._log().where(F.col("name") == name).agg(F.max("version")).first()[0]
