@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from annolake.functions.automaton import term_hits
 from annolake.functions.starts import condition
-from annolake.operators import detect
-from annolake.plans import catalog_io, catalog_more, pipeline
+from annolake.operators import detect, tagging
+from annolake.plans import catalog, catalog_io, catalog_more, pipeline
 from annolake.plans.catalog import ORACLES
 from annolake.schema import SPANS
-from annolake.sources import readers, writers
+from annolake.sources import readers, stores, writers
 
 
 def spanned(spark, n):
@@ -66,3 +66,47 @@ def test_one_search_gives_places_and_groups(spark):
     said = sorted((text.index(x), text.index(x) + len(x), label) for x, label in (("A12", "ID"), ("7", "ID"), ("345", "ID"), ("Old Town Clinic", "ORG"), ("1999", "YEAR"), ("'90s", "YEAR"), ("2001", "YEAR")))
     assert got == {1: said, 2: [(a + 1, b + 1, x) for a, b, x in said], 3: [], 4: []}
     assert condition(pack["ID"], "(?iU)") and condition(["a|(?i:b)"], "") == condition([r"\p{L}a", "b"], "") == condition(["a*", "b"], "") == ""
+
+
+def test_sentences_of_tag_files_need_no_row_of_a_file(spark, tmp_path):
+    (tmp_path / "own.txt").write_text("a X\nb Y\n-DOCSTART- x\nc Z\n  \nd Z\n\n\n\n\ne Z")
+    rows = readers.conll(spark, str(tmp_path / "own.txt"))
+    assert sorted(r.line for r in readers.conll_sentences(rows).collect()) == ["a b", "c", "d", "e"]
+    assert readers.conll_text(rows).first().text == "a b\nc\nd\ne"
+
+
+def test_a_dataset_is_not_shuffled_by_its_name(spark, tmp_path):
+    store = stores.Datasets(spark, str(tmp_path / "s"))
+    store.commit("one.set", spanned(spark, 3))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = store.current()
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_labels_of_tokens_stay_in_their_document(spark):
+    text, spans = "aa bb cc dd", [(0, 5, "P-Q", None, "s"), (0, 2, "R", None, "s"), (3, 8, "S", None, "s"), (4, 11, "T", None, "s")]
+    d = spark.createDataFrame([(1, text, spans), (2, "", []), (3, "aa", [])], f"doc_id long, text string, spans {SPANS}")
+    got = {r.doc_id: r.x for r in d.select("doc_id", tagging.span_labels(tagging.tokens(F.col("text")), F.col("spans")).alias("x")).collect()}
+    assert got == {1: ["R", "P_Q", "S", "T"], 2: [], 3: [None]}
+
+
+def test_both_sides_come_from_one_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "Anned walk the abced 12 7", "en", "s"), (2, "the abced", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    scans = lambda f: f(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("documents.parquet") or f(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(catalog.compare_runs) == 2 and scans(catalog_io.custom_risk) == 1
+    assert "[doc_id#" in (plan := catalog.mode_bundle(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()) and "regexp" not in plan
+
+
+def test_lines_of_broken_files_are_dealt_by_size(spark, tmp_path):
+    spark.range(40).selectExpr("id AS doc_id", "concat('t', id) AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = {f for f in catalog_io.broken_lines(spark, str(tmp_path)).inputFiles()}
+        assert len(files) > 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
