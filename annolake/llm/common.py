@@ -46,7 +46,9 @@ class Stored:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
+        # createDataFrame([]) would start Python workers on every executor, beside those of mapInArrow
+        none = self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
+        none.write.mode("overwrite").parquet(self.path)
 
 
 # --------------------------------------------------------------------------- components
