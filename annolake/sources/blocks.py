@@ -4,9 +4,11 @@ over the blocks before it; each task then cuts its lines into records, and only
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -209,3 +211,107 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
     joined = parts.select("number", F.array_join(F.transform("of", lambda x: x["text"]), "\n").alias("text"), F.flatten(F.transform("of", lambda x: x["tags"])).alias("tags"), "tagged")
     whole = found.where("whole").select("number", F.coalesce("text", F.lit("")).alias("text"), "tags", "tagged")
     return whole.unionByName(joined).where("tagged").drop("tagged")
+
+
+# --------------------------------------------------------------------------- sentences
+
+
+def named_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line): the lines of files behind where their block begins and its path, parted by line ends; one column passes to Arrow in half
+    the time of three."""
+    name = [F.input_file_block_start().cast("string"), F.lit("\n"), F.input_file_name(), F.lit("\n")]
+    return spark.read.text(path, lineSep="\n").select(F.concat(*name, "value").alias("line"))
+
+
+def first_bytes(texts: pa.Array) -> bytes:
+    return texts.slice(0, 1).view(pa.binary())[0].as_py()
+
+
+def without_first(texts: pa.Array, size: int) -> pa.Array:
+    """Texts without their first ``size`` bytes."""
+    _, offsets, values = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    sizes = np.diff(at) - size
+    new = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    data = np.frombuffer(values, np.uint8)[np.repeat(at[:-1] + size - new[:-1], sizes) + np.arange(new[-1])]
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(new), pa.py_buffer(data))
+
+
+def in_named_runs(batches):
+    """(name of the block, its lines without it) for each run of a block's lines."""
+    for batch in batches:
+        lines = batch.column(0)
+        while len(lines):
+            first = first_bytes(lines)
+            name = first[: first.index(b"\n", first.index(b"\n") + 1) + 1]
+            other = pc.index(pc.starts_with(lines.view(pa.binary()), name), False).as_py()
+            own = lines if other < 0 else lines.slice(0, other)
+            yield name, without_first(own, len(name))
+            lines = lines.slice(len(own))
+
+
+def cut_sentences(column: int):
+    """Tokens, the cells of a column, joined by blanks between lines that part sentences: blank ones and -DOCSTART-. What stands before
+    a block's first such line and after its last one are pieces, null if that is nothing, so that each block says where it parts
+    sentences."""
+
+    def tokens(lines, gap):
+        cells = pc.ascii_split_whitespace(lines, max_splits=column + 1 if column >= 0 else -1)
+        begin, end = cells.offsets.to_numpy()[:-1][~gap], cells.offsets.to_numpy()[1:][~gap]
+        at = column + (begin if column >= 0 else end)
+        if ((at < begin) | (at >= end)).any():
+            raise ValueError(f"a line has no column {column}")
+        return cells.values.take(pa.array(at))
+
+    def run(batches):
+        name, seq, left, held = None, 0, True, []
+
+        def rows(texts, left, right):
+            nonlocal seq
+            seq, n = seq + len(texts), len(texts)
+            block, path = name[:-1].decode().split("\n")
+            same = {"path": path, "block": int(block), "left": left, "right": right}
+            columns = {k: pa.repeat(pa.scalar(v, PIECES.field(k).type), n) for k, v in same.items()}
+            return pa.RecordBatch.from_pydict(columns | {"seq": np.arange(seq - n, seq), "text": texts}, schema=PIECES)
+
+        def piece(right):
+            return rows(pa.array([b" ".join(held) if held else None], pa.binary()).view(pa.string()), left, right)
+
+        for own, lines in in_named_runs(batches):
+            if own != name:
+                if name:
+                    yield piece(True)
+                name, seq, left, held = own, 0, True, []
+            gap = pc.or_(pc.equal(pc.binary_length(pc.ascii_trim(lines, " ")), 0), pc.starts_with(lines, "-DOCSTART-")).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(gap)
+            bounds = np.concatenate([[0], np.cumsum(~gap)[ends], [len(gap) - len(ends)]]).astype(np.int32)
+            some = np.diff(bounds) > 0
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), tokens(lines, gap)), " ")
+            if some[0]:
+                held.append(first_bytes(texts))
+            if len(ends):
+                if left or held:
+                    yield piece(False)
+                left, held = False, [first_bytes(texts.slice(len(ends)))] if some[-1] else []
+                yield rows(texts.slice(1, len(ends) - 1).filter(pa.array(some[1:-1])), False, False)
+        if name:
+            yield piece(True)
+
+    return run
+
+
+def sentence_counts(spark: SparkSession, path: str, of: Callable[[Column], Column], column: int = 0) -> DataFrame:
+    """(value, n): how many sentences of tag files have each value of ``of``, a function of their tokens, joined by blanks.
+
+    One scan. A sentence's value is found where it is read, and equal ones are counted there, so no text is shuffled but the pieces of
+    sentences at the borders of blocks, two a block. These are put together within their file."""
+    whole = ~F.col("left") & ~F.col("right")
+    part = [F.when(~whole, F.col(c)).alias(c) for c in ("path", "block", "seq", "left", "text")]
+    counted = named_lines(spark, path).mapInArrow(cut_sentences(column), PIECES_SQL).select(F.when(whole, of(F.col("text"))).alias("value"), *part).groupBy("value", "path", "block", "seq", "left", "text").agg(F.count("*").alias("n"))
+    # whole sentences have no path and one row each here, pieces one row and no value
+    number = F.sum(F.when(F.col("left"), 0).otherwise(1)).over(W.partitionBy("value", "path").orderBy("block", "seq").rowsBetween(W.unboundedPreceding, W.currentRow))
+    pieces = F.array_sort(F.collect_list(F.struct("block", "seq", "text")))
+    records = counted.withColumn("record", number).groupBy("value", "path", "record").agg(pieces.alias("of"), F.max("n").alias("n"))
+    records = records.where(F.col("path").isNull() | F.exists("of", lambda x: x["text"].isNotNull()))
+    joined = F.array_join(F.transform("of", lambda x: x["text"]), " ")
+    return records.groupBy(F.when(F.col("path").isNull(), F.col("value")).otherwise(of(joined)).alias("value")).agg(F.sum("n").alias("n"))
